@@ -2,9 +2,8 @@
 
 Each rule votes good (1) or bad (0) on a document, or abstains (-1). How often
 each combination of votes occurs is counted over all documents; expectation
-maximisation on these counts estimates every rule's accuracy on good and on bad
-documents and the share of good ones. A document is kept when its posterior
-quality is at least MIN_POSTERIOR and it passes the base rules.
+maximisation on these counts estimates every rule's accuracy. A document is kept
+when its posterior quality is at least MIN_POSTERIOR and it passes the base rules.
 
 Defined results: null text has no words, so it fails the base rules, as does
 any text under BASE_WORDS words. Rows are judged one by one: ties and repeated
@@ -28,8 +27,9 @@ WINDOW = 5
 MIN_POSTERIOR = 0.5
 #: Steps of the estimation, and the counts it starts each estimate from.
 STEPS, SMOOTHING = 60, 1.0
-#: Where the estimation starts: the share of good documents, and a rule's accuracy.
-START_GOOD, START_ACCURACY = 0.85, 0.8
+#: The share of good documents before any vote, and the accuracy that each
+#: rule's estimate starts from, with the bounds it keeps within.
+PRIOR_GOOD, START_ACCURACY, LEAST_ACCURACY, MOST_ACCURACY = 0.5, 0.85, 0.55, 0.99
 
 
 def _repeated_words(w: Column) -> Column:
@@ -94,65 +94,55 @@ def _ratio(a: str, b: str) -> Column:
 
 
 def rules() -> dict[str, Column]:
-    """Each rule's vote: bad beyond one bound, good within another, else none."""
+    """Each rule's vote. Seven look for one fault each and abstain where they find
+    none: the lack of a fault is no merit. One looks for prose and abstains elsewhere."""
 
-    def vote(bad: Column, good: Column) -> Column:
-        return F.when(bad, 0).when(good, 1).otherwise(-1)
+    def fault(bad: Column) -> Column:
+        return F.when(bad, 0).otherwise(-1)
 
     length, upper = _ratio("word_chars", "n_words"), _ratio("n_upper", "word_chars")
     symbols, digits, marks = _ratio("n_symbols", "n_words"), _ratio("n_digits", "word_chars"), _ratio("n_marks", "n_words")
     lines, repeats = _ratio("n_dup_lines", "n_lines"), _ratio("n_repeat_words", "n_words")
+    prose = marks.between(0.02, 0.6) & length.between(3, 10) & (symbols < 0.05) & (upper < 0.15) & (digits < 0.1)
     return {
-        "size": vote(F.col("n_words") < 15, F.col("n_words") >= 50),
-        "word_length": vote((length < 2.5) | (length > 14), length.between(3.5, 9)),
-        "symbols": vote(symbols > 0.1, symbols < 0.01),
-        "upper": vote(upper > 0.3, upper < 0.08),
-        "digits": vote(digits > 0.2, digits < 0.05),
-        "marks": vote((marks > 0.9) | ((marks < 0.005) & (F.col("n_words") > 100)), marks.between(0.02, 0.6)),
-        "dup_lines": vote(lines > 0.3, lines < 0.05),
-        "repeats": vote(repeats > 0.2, repeats < 0.05),
+        "word_length": fault((length < 2.5) | (length > 14)),
+        "symbols": fault(symbols > 0.1),
+        "upper": fault(upper > 0.3),
+        "digits": fault(digits > 0.2),
+        "marks": fault((marks > 0.9) | ((marks < 0.005) & (F.col("n_words") > 100))),
+        "dup_lines": fault(lines > 0.5),
+        "repeats": fault(repeats > 0.2),
+        "prose": F.when(prose, 1).otherwise(-1),
     }
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[float, list[dict[tuple[int, int], float]]]:
-    """EM over vote patterns: the share of good documents and, for each rule, P(vote | class).
+def estimate(patterns: list[tuple[tuple[int, ...], int]]) -> list[float]:
+    """EM over vote patterns and their counts: each rule's accuracy where it votes.
 
-    Abstentions are part of a vote's distribution. There are at most 3^rules patterns.
+    There are at most 2^rules patterns, whatever the number of documents.
     """
     m = len(patterns[0][0]) if patterns else 0
-    good = START_GOOD
-    start = {(1, 1): START_ACCURACY, (1, 0): 1 - START_ACCURACY, (0, 0): START_ACCURACY, (0, 1): 1 - START_ACCURACY, (1, -1): 0.5, (0, -1): 0.5}
-    table = [dict(start) for _ in range(m)]
+    accuracy = [START_ACCURACY] * m
     for _ in range(STEPS):
-        weight = {1: SMOOTHING * START_GOOD, 0: SMOOTHING * (1 - START_GOOD)}
-        votes = [{k: SMOOTHING * v for k, v in start.items()} for _ in range(m)]
+        right, cast = [SMOOTHING * START_ACCURACY] * m, [SMOOTHING] * m
         for pattern, n in patterns:
-            p = posterior(pattern, good, table)
-            for c, share in ((1, p * n), (0, (1 - p) * n)):
-                weight[c] += share
-                for j, v in enumerate(pattern):
-                    votes[j][(c, v)] += share
-        good = weight[1] / (weight[1] + weight[0])
-        for j in range(m):
-            for c in (0, 1):
-                total = sum(votes[j][(c, v)] for v in (-1, 0, 1))
-                for v in (-1, 0, 1):
-                    table[j][(c, v)] = votes[j][(c, v)] / total
-    return good, table
-
-
-def log_odds(vote: int, given: dict[tuple[int, int], float]) -> float:
-    """What a vote adds to the log odds of good; an abstention adds nothing, and no
-    vote counts against its own meaning."""
-    if vote < 0:
-        return 0.0
-    odds = math.log(given[(1, vote)] / given[(0, vote)])
-    return max(odds, 0.0) if vote else min(odds, 0.0)
-
-
-def posterior(pattern: tuple[int, ...], good: float, table: list[dict]) -> float:
-    z = math.log(good / (1 - good)) + sum(log_odds(v, table[j]) for j, v in enumerate(pattern))
-    return 1 / (1 + math.exp(-max(-700.0, min(700.0, z))))
+            good = posterior(pattern, accuracy)
+            for j, vote in enumerate(pattern):
+                if vote >= 0:
+                    right[j] += n * (good if vote else 1 - good)
+                    cast[j] += n
+        accuracy = [min(MOST_ACCURACY, max(LEAST_ACCURACY, r / c)) for r, c in zip(right, cast)]
+    return accuracy
+
+
+def log_odds(accuracy: float) -> float:
+    return math.log(accuracy / (1 - accuracy))
+
+
+def posterior(pattern: tuple[int, ...], accuracy: list[float]) -> float:
+    """P(good | votes); an abstention says nothing."""
+    z = log_odds(PRIOR_GOOD) + sum(log_odds(a) * (1 if v else -1) for v, a in zip(pattern, accuracy) if v >= 0)
+    return 1 / (1 + math.exp(-z))
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -162,10 +152,10 @@ def judge(docs: DataFrame) -> DataFrame:
     voted = measured.select("*", *[v.cast("int").alias(f"vote_{k}") for k, v in named.items()])
     votes = [f"vote_{k}" for k in named]
     counts = voted.groupBy(*votes).agg(F.count(F.lit(1)).alias("n")).collect()
-    good, table = estimate([(tuple(r[v] for v in votes), r["n"]) for r in sorted(counts, key=tuple)])
-    z = F.lit(math.log(good / (1 - good)))
-    for v, given in zip(votes, table):
-        z = z + F.when(F.col(v) == 1, log_odds(1, given)).when(F.col(v) == 0, log_odds(0, given)).otherwise(0.0)
+    accuracy = estimate([(tuple(r[v] for v in votes), r["n"]) for r in sorted(counts, key=tuple)])
+    z = F.lit(log_odds(PRIOR_GOOD))
+    for v, a in zip(votes, accuracy or [PRIOR_GOOD] * len(votes)):
+        z = z + F.when(F.col(v) == 1, log_odds(a)).when(F.col(v) == 0, -log_odds(a)).otherwise(0.0)
     failed = (F.col("n_words") < BASE_WORDS) | (100 * F.col("n_repeat_words") > BASE_REPEATED_PERCENT * F.col("n_words"))
     out = voted.withColumns({"base_failed": failed, "quality": 1 / (1 + F.exp(-z))})
     kept = ~F.col("base_failed") & (F.col("quality") >= MIN_POSTERIOR)

@@ -86,3 +86,25 @@ def secrets(text):
 
 def held_out(doc_id):
     return zlib.crc32(str(doc_id).encode()) % 3 == 1
+
+
+def conversation(turns):
+    """turns: (turn, role, text) of one conversation; what op5 returns but formatted_chars."""
+    turns = sorted((t, r or "", x or "") for t, r, x in turns)
+    loss = "".join(x for _, r, x in turns if r == "assistant")
+    return len(turns), sha("".join(f"{r}\n{x}\n" for _, r, x in turns)), len(loss), sha(loss)
+
+
+def targets(sizes, weights, most=3):
+    """Shares by weight, what is above most times a size reshared, one step at a time."""
+    out, full = [0.0] * len(sizes), set()
+    while True:
+        left = sum(sizes) - sum(most * sizes[i] for i in full)
+        open_ = [i for i in range(len(sizes)) if i not in full]
+        total = sum(weights[i] for i in open_)
+        over = {i for i in open_ if left * weights[i] / total > most * sizes[i]}
+        if not over:
+            for i in range(len(sizes)):
+                out[i] = most * sizes[i] if i in full else left * weights[i] / total
+            return out
+        full |= over
