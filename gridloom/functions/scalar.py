@@ -83,7 +83,7 @@ def compare(sign: str, a: Value, b: Value) -> Value:
 
     as_number = lambda v: F.coalesce(v.part("number"), F.lit(0.0))
     nan = F.isnan(as_number(a)) | F.isnan(as_number(b))
-    if isinstance(a.kind, str) and a.kind == b.kind == "number":
+    if a.known("number") and b.known("number"):
         made = at(as_number(a), as_number(b))
     else:
         p, q = rank(a), rank(b)

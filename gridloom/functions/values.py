@@ -245,7 +245,7 @@ def ascii_upper(t: Column) -> Column:
 
 def choose(condition: Column, err: Column | None, yes: Value, no: Value) -> Value:
     """yes where the condition holds, else no; err where that is set. Columns merge by kind."""
-    if isinstance(yes.kind, str) and yes.kind == no.kind and yes.kind not in ("blank", "error"):
+    if isinstance(yes.kind, str) and isinstance(no.kind, str) and yes.kind == no.kind and yes.kind not in ("blank", "error"):
         part = F.when(condition, yes.part(yes.kind)).otherwise(no.part(yes.kind))
         inner = None if yes.err is None and no.err is None else F.when(condition, yes.part("error")).otherwise(no.part("error"))
         out = Value(yes.kind, err=first(err, inner))

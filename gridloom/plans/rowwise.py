@@ -72,5 +72,10 @@ def result(value: Value) -> Column:
     return value.struct()
 
 
+def fallback(text: str) -> str | None:
+    """Why a formula is not evaluated, from its text alone; None if it may be."""
+    return A.first_fallback(A.parse(text))
+
+
 def with_formula(df: DataFrame, name: str, text: str) -> DataFrame:
     return df.withColumn(name, result(compile_formula(text, df)))
