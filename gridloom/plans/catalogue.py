@@ -152,7 +152,7 @@ rowwise_query(
 
 rowwise_query("fn_if", "orders", ["o_orderkey"], {"size": 'IF(o_totalprice>200000,"large","small")', "mixed": 'IF(o_orderstatus="O",o_custkey,"done")'}, {"size": "CASE WHEN o_totalprice > 200000 THEN 'large' ELSE 'small' END", "mixed": "CASE WHEN o_orderstatus = 'O' THEN o_custkey::VARCHAR ELSE 'done' END"})
 rowwise_query("fn_iferror", "lineitem", LINE, {"result": "IFERROR(l_quantity/(l_linenumber-1),-1)"}, {"result": "CASE WHEN l_linenumber = 1 THEN -1.0 ELSE l_quantity/(l_linenumber-1) END"})
-rowwise_query("fn_ifna", "lineitem", LINE, {"result": "IFNA(IF(l_linenumber=2,#N/A,l_quantity),0)", "kept": "IFNA(1/(l_linenumber-l_linenumber),0)"}, {"result": "CASE WHEN l_linenumber = 2 THEN '0' ELSE format('{:.0f}', l_quantity) END", "kept": "'#DIV/0!'"})
+rowwise_query("fn_ifna", "lineitem", LINE, {"result": "IFNA(IF(l_linenumber=2,#N/A,l_quantity),0)", "kept": "IFNA(1/(l_linenumber-l_linenumber),0)"}, {"result": "CASE WHEN l_linenumber = 2 THEN '0' ELSE format('{:.0f}', l_quantity) END", "kept": "NULL::DOUBLE", "kept_err": "'#DIV/0!'"})
 rowwise_query("fn_not", "part", ["p_partkey"], {"result": "NOT(p_size>10)", "number": "NOT(p_size-1)"}, {"result": "NOT (p_size > 10)", "number": "p_size = 1"})
 rowwise_query("fn_and_or", "part", ["p_partkey"], {"both": 'AND(p_size>10,p_brand<>"x",1)', "any": "OR(p_size>45,p_retailprice<1000)"}, {"both": "p_size > 10", "any": "p_size > 45 OR p_retailprice < 1000"})
 rowwise_query("fn_isna", "lineitem", LINE, {"result": "ISNA(IF(l_linenumber=1,#N/A,1))"}, {"result": "l_linenumber = 1"})
