@@ -77,4 +77,3 @@ QUERIES = {
         op7_quality_rules, op8_license_scan, op9_secret_scan, op10_source_mix,
     )
 }
-ORACLES: dict[str, str] = {}
