@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from gridloom import schema
-from gridloom.sources import ods, xls, xlsx
+from gridloom.sources import ods, xls, xlsb, xlsx
 from gridloom.sources.model import ReadError, Workbook
 
 TABLES = {"cells": schema.CELLS, "sheets": schema.SHEETS, "names": schema.NAMES, "ranges": schema.RANGES, "parts": schema.PARTS, "errors": schema.ERRORS}
@@ -29,7 +29,7 @@ TABLES = {"cells": schema.CELLS, "sheets": schema.SHEETS, "names": schema.NAMES,
 def open_bytes(data: bytes, codepage: int | None = None) -> Workbook:
     """A workbook of any known container, by its first bytes and parts."""
     if data[:2] == b"PK":
-        return ods.read(data) if ods.is_ods(data) else xlsx.read(data)
+        return xlsb.read(data) if xlsb.is_xlsb(data) else ods.read(data) if ods.is_ods(data) else xlsx.read(data)
     return xls.read(data, codepage)
 
 

@@ -78,3 +78,82 @@ def test_formats_like_columns(spark):
     df = spark.createDataFrame([(v, k) for v in values for k in kinds], "x double, k string")
     for r in df.select("x", "k", dates.render(F.col("x"), F.col("k")).alias("shown")).collect():
         assert r.shown == numfmt.render(r.x, r.k), (r.x, r.k)
+
+
+def _record(kind, body):
+    out = bytes([kind]) if kind < 128 else bytes([kind & 0x7F | 0x80, kind >> 7])
+    size = len(body)
+    return out + (bytes([size]) if size < 128 else bytes([size & 0x7F | 0x80, size >> 7])) + body
+
+
+def _wide(text):
+    return len(text).to_bytes(4, "little") + text.encode("utf-16-le")
+
+
+def zipped(parts):
+    import io
+    import zipfile
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, content in parts.items():
+            z.writestr(name, content)
+    return out.getvalue()
+
+
+def test_xlsb():
+    import struct
+
+    rels = f'<Relationships xmlns="{xlsx.PACKAGE}/relationships"><Relationship Id="r1" Type="{xlsx.RELS}/worksheet" Target="s.bin"/><Relationship Id="r2" Type="{xlsx.RELS}/sharedStrings" Target="t.bin"/></Relationships>'
+    place = lambda c: struct.pack("<2I", c, 0)
+    tokens = b"\x44" + struct.pack("<IH", 0, 0xC001) + b"\x1e\x02\x00\x05"
+    cells = _record(0, struct.pack("<I", 0)) + _record(7, place(0) + struct.pack("<I", 0)) + _record(2, place(1) + struct.pack("<I", 42 << 2 | 2))
+    cells += _record(9, place(2) + struct.pack("<d", 84.0) + b"\0\0" + struct.pack("<I", len(tokens)) + tokens)
+    data = zipped({
+        "_rels/.rels": f'<Relationships xmlns="{xlsx.PACKAGE}/relationships"><Relationship Id="a" Type="{xlsx.RELS}/officeDocument" Target="xl/workbook.bin"/></Relationships>',
+        "xl/workbook.bin": _record(156, struct.pack("<2I", 1, 1) + _wide("r1") + _wide("Data")), "xl/_rels/workbook.bin.rels": rels,
+        "xl/s.bin": cells + _record(176, struct.pack("<4I", 2, 2, 0, 3)), "xl/t.bin": _record(19, b"\0" + _wide("road")),
+    })
+    book = workbook.open_bytes(data)
+    assert [(c[3], c[4], c[5], c[6], c[7], c[10]) for c in book.cells] == [(0, 0, "text", None, "road", None), (0, 1, "number", 42.0, None, None), (0, 2, "formula", None, None, "B1*2")]
+    assert book.sheets[0][3] == "hidden" and book.ranges[0][3:7] == (2, 0, 2, 3)
+
+
+def test_ods():
+    t, o, x = "urn:oasis:names:tc:opendocument:xmlns:table:1.0", "urn:oasis:names:tc:opendocument:xmlns:office:1.0", "urn:oasis:names:tc:opendocument:xmlns:text:1.0"
+    cell = lambda kind, attrs, text: f'<t:table-cell o:value-type="{kind}" {attrs}><x:p>{text}</x:p></t:table-cell>'
+    body = f'<t:table t:name="V"><t:table-row t:number-rows-repeated="2">{cell("string", "", "road")}{cell("float", chr(111) + ":value=" + chr(34) + "125" + chr(34) + " t:formula=" + chr(34) + "of:=[.A1]*2" + chr(34), "125")}</t:table-row><t:table-row>{cell("time", "o:time-value=" + chr(34) + "PT12H" + chr(34), "12:00")}</t:table-row></t:table>'
+    content = f'<o:document-content xmlns:t="{t}" xmlns:o="{o}" xmlns:x="{x}"><o:body><o:spreadsheet>{body}</o:spreadsheet></o:body></o:document-content>'
+    book = workbook.open_bytes(zipped({"mimetype": "application/vnd.oasis.opendocument.spreadsheet", "content.xml": content}))
+    assert [(c[3], c[4], c[5], c[10]) for c in book.cells] == [(0, 0, "text", None), (0, 1, "formula", "[.A1]*2"), (1, 0, "text", None), (1, 1, "formula", "[.A1]*2"), (2, 0, "number", None)]
+    assert book.cells[-1][6] == 0.5
+
+
+def _biff(kind, body=b""):
+    import struct
+
+    return struct.pack("<HH", kind, len(body)) + body
+
+
+def test_xls():
+    """A workbook stream in a compound file of one FAT sector."""
+    import struct
+
+    bof = lambda kind: _biff(0x809, struct.pack("<HHHH", 0x600, kind, 0, 0) + bytes(8))
+    sst = struct.pack("<II", 2, 2) + struct.pack("<HB", 4, 0) + b"road" + struct.pack("<HB", 2, 1) + "도로".encode("utf-16-le")
+    xfs = _biff(0xE0, struct.pack("<HH", 0, 0) + bytes(16)) + _biff(0xE0, struct.pack("<HH", 0, 14) + bytes(16))
+    head = bof(5) + _biff(0x85, struct.pack("<IBB", 0, 1, 0) + bytes([4, 0]) + b"Data") + xfs + _biff(0xFC, sst) + _biff(0x0A)
+    tokens = b"\x44" + struct.pack("<HH", 0, 0xC001) + b"\x1e\x02\x00\x05"
+    sheet = bof(16) + _biff(0xFD, struct.pack("<HHHI", 0, 0, 0, 1)) + _biff(0x27E, struct.pack("<HHHI", 0, 1, 0, 42 << 2 | 2)) + _biff(0x203, struct.pack("<HHHd", 1, 0, 1, 45366.0))
+    sheet += _biff(0x06, struct.pack("<HHHd", 2, 0, 0, 84.0) + bytes(6) + struct.pack("<H", len(tokens)) + tokens) + _biff(0xE5, struct.pack("<5H", 1, 3, 3, 0, 2)) + _biff(0x0A)
+    stream = (head + sheet).ljust(4096, b"\0")
+    stream += bytes(-len(stream) % 512)
+    n = len(stream) // 512
+    fat = struct.pack("<2I", 0xFFFFFFFD, 0xFFFFFFFE) + struct.pack(f"<{n}I", *range(3, n + 2), 0xFFFFFFFE)
+    entry = lambda name, kind, start, size: (name.encode("utf-16-le")).ljust(64, b"\0") + struct.pack("<HBB", 2 * len(name) + 2, kind, 1) + struct.pack("<3I", *[0xFFFFFFFF] * 3) + bytes(36) + struct.pack("<IQ", start, size)
+    directory = (entry("Root Entry", 5, 0xFFFFFFFE, 0) + entry("Workbook", 2, 2, len(stream))).ljust(512, b"\0")
+    header = b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1" + bytes(16) + struct.pack("<HHHHH", 0x3E, 3, 0xFFFE, 9, 6) + bytes(6) + struct.pack("<III", 0, 1, 1) + bytes(4) + struct.pack("<4I", 4096, 0xFFFFFFFE, 0, 0xFFFFFFFE) + bytes(4)
+    data = header[:76].ljust(76, b"\0") + struct.pack("<I", 0) + b"\xff" * 432 + fat.ljust(512, b"\xff") + directory + stream
+    book = workbook.open_bytes(data)
+    assert [(c[3], c[4], c[5], c[6], c[7], c[10]) for c in book.cells] == [(0, 0, "text", None, "도로", None), (0, 1, "number", 42.0, None, None), (1, 0, "date", 45366.0, None, None), (2, 0, "formula", None, None, "B1*2")]
+    assert book.cells[2][11 + 1] == "2024-03-15" and book.sheets[0][3] == "hidden" and book.ranges[0][3:7] == (3, 0, 3, 2)
