@@ -20,7 +20,7 @@ only pairs of different components are made, within size classes, if the hot
 columns alone could reach the overlap. Pairs within a component need no check,
 since the result is the components.
 
-Defined results: a null text and one without words has an empty set and links
+Defined results: a doc_id names one text; rows that repeat it are the same document. A null text and one without words has an empty set and links
 with nothing; under 5 words the whole sequence is one shingle. Equal rows link.
 Shingles are told apart by 64-bit hashes, sets by 128-bit ones.
 """
@@ -42,6 +42,8 @@ from gridloom.llm.components import components
 WORDS = 5
 #: A column in more first parts than this is hot.
 HOT = 64
+#: A side of a join with so many numbers at most is broadcast (16 MB); beyond, both sides are shuffled.
+BROADCAST = 1 << 20
 
 _rng = np.random.default_rng(20_240_229)
 _BYTES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -115,16 +117,20 @@ def rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, key binary, head array<long>, bits array<long>")
 
 
+def _side(table: DataFrame, numbers: Column) -> DataFrame:
+    """A stage table as a join side, marked for broadcast if its size is small."""
+    return F.broadcast(table) if (table.agg(F.sum(numbers)).first()[0] or 0) <= BROADCAST else table
+
+
 def whole_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """rep, columns (all of them, in order) of the documents in ids (column rep)."""
+    """rep, columns (all of them, in order) of the documents in the stage table ids (column rep)."""
 
     def run(batches):
         for batch in batches:
             made = pa.array([shingles(t.as_py()) for t in batch.column(1)], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), made], ["rep", "columns"])
 
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(ids, "rep", "left_semi")
-    # One document can fill several rows; any of them will do only if they agree.
+    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(_side(ids, F.lit(1)), "rep", "left_semi")
     return texts.mapInArrow(run, "rep long, columns array<long>")
 
 
@@ -169,7 +175,7 @@ def _within_bitmaps(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 def _linked(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
     """u, v of the pairs that link, counted on their whole sets."""
     near = stage_table(_within_bitmaps(pairs, reps), "near")
-    ids = near.select(F.explode(F.array("x", "y")).alias("rep")).distinct()
+    ids = stage_table(near.select(F.explode(F.array("x", "y")).alias("rep")).distinct(), "near-ids")
     sets = stage_table(whole_rows(docs, ids).dropDuplicates(["rep"]), "sets")
     a, b = sets.toDF("x", "sx"), sets.toDF("y", "sy")
     both = near.join(a, "x").join(b, "y").withColumn("inter", F.size(F.array_intersect("sx", "sy")))
@@ -240,20 +246,23 @@ def join(docs: DataFrame) -> DataFrame:
     drop_stage(made)
 
     hot = stage_table(_hot(reps, "head"), "hot")
-    found = reps.select("rep", F.explode("head").alias("t")).join(hot, "t").groupBy("rep").agg(F.collect_list("t").alias("hots"))
+    found = reps.select("rep", F.explode("head").alias("t")).join(_side(hot, F.lit(1)), "t").groupBy("rep").agg(F.collect_list("t").alias("hots"))
+    found = _side(stage_table(found, "found"), F.size("hots") + 4)
     k = (F.floor(F.col("n") / 5) + 1).cast("int")
     ordered = reps.select("rep", "n", "head").join(found, "rep", "left").withColumn("cold", F.array_except("head", F.coalesce("hots", _no_longs())))
     ordered = ordered.select("rep", "n", F.slice("cold", F.lit(1), k).alias("own"), (F.size("cold") < k).alias("dense"))
     blocks = stage_table(ordered.select("rep", "n", "dense", F.when(F.col("dense"), F.lit(None)).otherwise(F.col("own")).alias("own")), "first")
-    dense_ids = blocks.where("dense").select("rep", "n")
+    dense_ids = stage_table(blocks.where("dense").select("rep", "n"), "dense-ids")
     dense = stage_table(whole_rows(docs, dense_ids).dropDuplicates(["rep"]).join(dense_ids, "rep"), "dense")
     dense = stage_table(_dense_blocks(dense, hot), "dense-first")
 
     plain = blocks.where("NOT dense").select("rep", "n", F.explode("own").alias("t"))
     own = plain.union(dense.select("rep", "n", F.explode("own").alias("t")))
-    bridge = dense.select("rep", "n", F.explode("bridge").alias("t"))
+    bridge = stage_table(dense.select("rep", "n", F.explode("bridge").alias("t")), "bridge")
+    # Only columns that are hot among dense rows are bridges, and few of those.
+    across = plain.join(_side(stage_table(bridge.select("t").distinct(), "bridge-columns"), F.lit(1)), "t", "left_semi").select("rep", "n", "t")
     fill = stage_table(dense.select("rep", "n", "f", F.explode("fill").alias("t")), "fill")
-    pairs = _sparse_pairs(own, own, True).union(_sparse_pairs(bridge, plain, False)).union(_pivot_pairs(fill))
+    pairs = _sparse_pairs(own, own, True).union(_sparse_pairs(bridge, across, False)).union(_pivot_pairs(fill))
     links = _linked(pairs, docs, reps)
     linked = stage_table(components(links), "components")
     cross = stage_table(_cross_pairs(fill, linked).distinct(), "cross")
