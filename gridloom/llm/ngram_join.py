@@ -172,14 +172,29 @@ def _within_bitmaps(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return joined.where(9 * apart <= F.col("nx") + F.col("ny")).select("x", "y", "nx", "ny")
 
 
+def _counted(near: DataFrame, sets: DataFrame) -> DataFrame:
+    """u, v of the pairs in a stage table that link, counted on their whole sets."""
+    with_x = sets.toDF("x", "sx").join(_side(near, F.lit(4)), "x")
+    both = with_x.join(sets.toDF("y", "sy"), "y").withColumn("inter", F.size(F.array_intersect("sx", "sy")))
+    return stage_table(both.where(9 * F.col("inter") >= 4 * (F.col("nx") + F.col("ny"))).select(F.col("x").alias("u"), F.col("y").alias("v")), "links")
+
+
 def _linked(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """u, v of the pairs that link, counted on their whole sets."""
+    """u, v of pairs that link: enough of them to give the components of all.
+
+    Each row's pair with its smallest partner is counted first, then the pairs
+    that these left in different components.
+    """
     near = stage_table(_within_bitmaps(pairs, reps), "near")
     ids = stage_table(near.select(F.explode(F.array("x", "y")).alias("rep")).distinct(), "near-ids")
-    sets = stage_table(whole_rows(docs, ids).dropDuplicates(["rep"]), "sets")
-    a, b = sets.toDF("x", "sx"), sets.toDF("y", "sy")
-    both = near.join(a, "x").join(b, "y").withColumn("inter", F.size(F.array_intersect("sx", "sy")))
-    return stage_table(both.where(9 * F.col("inter") >= 4 * (F.col("nx") + F.col("ny"))).select(F.col("x").alias("u"), F.col("y").alias("v")), "links")
+    sets = stage_table(whole_rows(docs, ids), "sets")
+    star = near.groupBy("y").agg(F.min(F.struct("x", "nx", "ny")).alias("p")).select("p.x", "y", "p.nx", "p.ny")
+    links = _counted(stage_table(star, "star"), sets)
+    found = stage_table(components(links), "components")
+    a, b = found.toDF("x", "cx"), found.toDF("y", "cy")
+    left = near.join(star.select("x", "y"), ["x", "y"], "left_anti").join(a, "x", "left").join(b, "y", "left")
+    apart = F.coalesce("cx", "x") != F.coalesce("cy", "y")
+    return links.union(_counted(stage_table(left.where(apart).select("x", "y", "nx", "ny"), "left"), sets))
 
 
 def _dense_blocks(dense: DataFrame, hot: DataFrame) -> DataFrame:
@@ -253,7 +268,7 @@ def join(docs: DataFrame) -> DataFrame:
     ordered = ordered.select("rep", "n", F.slice("cold", F.lit(1), k).alias("own"), (F.size("cold") < k).alias("dense"))
     blocks = stage_table(ordered.select("rep", "n", "dense", F.when(F.col("dense"), F.lit(None)).otherwise(F.col("own")).alias("own")), "first")
     dense_ids = stage_table(blocks.where("dense").select("rep", "n"), "dense-ids")
-    dense = stage_table(whole_rows(docs, dense_ids).dropDuplicates(["rep"]).join(dense_ids, "rep"), "dense")
+    dense = stage_table(whole_rows(docs, dense_ids).join(_side(dense_ids, F.lit(2)), "rep"), "dense")
     dense = stage_table(_dense_blocks(dense, hot), "dense-first")
 
     plain = blocks.where("NOT dense").select("rep", "n", F.explode("own").alias("t"))
