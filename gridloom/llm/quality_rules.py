@@ -83,6 +83,7 @@ def measures(docs: DataFrame) -> DataFrame:
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         _repeated_words(F.col("w")).alias("n_repeat_words"),
         F.size("lines").cast("long").alias("n_lines"),
+        F.size(F.filter("w", lambda x, i: (i > 0) & F.get("w", i - 1).eqNullSafe(x))).cast("long").alias("n_stutters"),
         count(r"\p{Lu}").alias("n_upper"),
         count(r"[0-9]").alias("n_digits"),
         count(r"[.!?,;:]").alias("n_marks"),
@@ -94,8 +95,8 @@ def _ratio(a: str, b: str) -> Column:
 
 
 def rules() -> dict[str, Column]:
-    """Each rule's vote. Seven look for one fault each and abstain where they find
-    none: the lack of a fault is no merit. One looks for prose and abstains elsewhere."""
+    """Each rule's vote. All but one look for one fault each and abstain where they find
+    none: the lack of a fault is no merit. The last looks for prose and abstains elsewhere."""
 
     def fault(bad: Column) -> Column:
         return F.when(bad, 0).otherwise(-1)
@@ -108,10 +109,11 @@ def rules() -> dict[str, Column]:
         "word_length": fault((length < 2.5) | (length > 14)),
         "symbols": fault(symbols > 0.1),
         "upper": fault(upper > 0.3),
-        "digits": fault(digits > 0.2),
+        "digits": fault(digits > 0.4),
         "marks": fault((marks > 0.9) | ((marks < 0.005) & (F.col("n_words") > 100))),
         "dup_lines": fault(lines > 0.5),
         "repeats": fault(repeats > 0.2),
+        "stutter": fault(_ratio("n_stutters", "n_words") > 0.3),
         "prose": F.when(prose, 1).otherwise(-1),
     }
 
