@@ -61,3 +61,10 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "u long, v long")
     got = {r.node: r.component for r in components(edges).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
+
+
+def test_exact_hot_group(spark):
+    """A group larger than the bound for the merge join goes by broadcast."""
+    rows = [(i, "same  text" if i == 40 else "same text", None, None) for i in range(150)] + [(i, f"own {i}", None, None) for i in range(150, 200)]
+    got = digest_index.deduplicate(table(spark, rows))
+    assert sorted(map(tuple, got.collect())) == brute.exact([(d, t) for d, t, *_ in rows])
