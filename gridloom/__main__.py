@@ -1,6 +1,6 @@
 """Command line: python -m gridloom COMMAND PATH [...].
 
-Commands: info, dump, formula, csv, diagnose, inspect-package, compare, corpus-report.
+Commands: info, dump, sheet, metadata, formula, csv, diagnose, inspect-package, compare, corpus-report.
 Exit codes: 0 done, 1 differences or unreadable files, 64 usage.
 """
 
@@ -20,7 +20,7 @@ from gridloom.sources.workbook import workbooks
 
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="gridloom", description=__doc__.splitlines()[0])
-    parser.add_argument("command", choices=["info", "dump", "formula", "csv", "diagnose", "inspect-package", "compare", "corpus-report"])
+    parser.add_argument("command", choices=["info", "dump", "sheet", "metadata", "formula", "csv", "diagnose", "inspect-package", "compare", "corpus-report"])
     parser.add_argument("path")
     parser.add_argument("other", nargs="?")
     parser.add_argument("--sheet")
@@ -48,6 +48,13 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "info":
         sheets = workbooks(spark, args.path, "sheets")
         sheets.join(C.bounds(cells), C.SHEET, "left").orderBy(*order[:2]).show(args.limit, False)
+    elif args.command == "sheet":
+        chosen = workbooks(spark, args.path, "sheets").where(F.col("name") == (args.sheet or ""))
+        chosen.show(args.limit, False)
+        workbooks(spark, args.path, "ranges").join(chosen, C.SHEET, "left_semi").orderBy(*order[:2], "kind", "r0", "c0").show(args.limit, False)
+    elif args.command == "metadata":
+        tables = (workbooks(spark, args.path, t) for t in ("sheets", "ranges", "names"))
+        report.features(*tables).orderBy("workbook_id").show(args.limit, False)
     elif args.command == "dump":
         shown = cells.select(*order[:2], "sheet", C.a1(F.col("row"), F.col("col")).alias("at"), "kind", "display", "formula", "row", "col")
         report.head(shown, args.limit, *order).drop("row", "col").show(args.limit, False)
