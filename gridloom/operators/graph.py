@@ -10,24 +10,22 @@ MAX_DEPTH = 64
 
 
 def levels(nodes: DataFrame, edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """node and level: 0 without needs, else one over the highest level needed; NULL beyond
-    max_depth or in a cycle. edges: node, needs.
+    """node and level: 0 without needs, else one over the highest level needed; NULL for a
+    chain of max_depth or more, in a cycle, or above one. edges: node, needs.
 
-    One join and aggregate a level inside one plan; the frontier is what the last
-    level reached, so levels that are done are not looked at again.
+    Each round settles the nodes whose needs are all settled, and drops their edges.
     """
-    waiting = edges.join(nodes.select(F.col("node").alias("needs")), "needs", "left_semi")
-    done = nodes.join(waiting.select("node").distinct(), "node", "left_anti").withColumn("level", F.lit(0))
-    frontier = done
-    for level in range(1, max_depth + 1):
-        reached = waiting.join(frontier.select(F.col("node").alias("needs")), "needs", "left_semi").select("node").distinct()
-        frontier = _kept(reached.withColumn("level", F.lit(level)))
-        if frontier.isEmpty():
+    pending = edges.join(nodes.select(F.col("node").alias("needs")), "needs", "left_semi").select("node", "needs").distinct()
+    done = nodes.join(pending.select("node").distinct(), "node", "left_anti").withColumn("level", F.lit(0))
+    for _ in range(max_depth - 1):
+        known = done.select(F.col("node").alias("needs"), "level")
+        counts = pending.join(known, "needs", "left").groupBy("node").agg(F.count(F.lit(1)).alias("all"), F.count("level").alias("settled"), (F.max("level") + 1).alias("level"))
+        ready = _kept(counts.where(F.col("all") == F.col("settled")).select("node", "level"))
+        if ready.isEmpty():
             break
-        done = done.unionByName(frontier)
-    highest = done.groupBy("node").agg(F.max("level").alias("level"))
-    over = highest.where(F.col("level") >= max_depth)
-    return nodes.join(highest.join(over, "node", "left_anti"), "node", "left")
+        done = done.unionByName(ready)
+        pending = _kept(pending.join(ready, "node", "left_anti"))
+    return nodes.join(done, "node", "left")
 
 
 def _kept(df: DataFrame) -> DataFrame:

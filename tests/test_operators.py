@@ -80,9 +80,9 @@ def test_compare_and_levels(spark):
     a = spark.createDataFrame([(1, "x"), (2, "y"), (3, None)], "k int, v string")
     b = spark.createDataFrame([(2, "z"), (3, None), (4, "n")], "k int, v string")
     assert {(r.k, r.change) for r in report.compare(a, b, ["v"], ["k"]).collect()} == {(1, "removed"), (2, "changed"), (4, "added")}
-    nodes = spark.createDataFrame([(i,) for i in range(6)], "node int")
-    edges = spark.createDataFrame([(1, 0), (2, 1), (2, 0), (3, 4), (4, 3)], "node int, needs int")
-    assert {r.node: r.level for r in graph.levels(nodes, edges).collect()} == {0: 0, 1: 1, 2: 2, 3: None, 4: None, 5: 0}
+    nodes = spark.createDataFrame([(i,) for i in range(7)], "node int")
+    edges = spark.createDataFrame([(1, 0), (2, 1), (2, 0), (3, 4), (4, 3), (6, 0), (6, 3)], "node int, needs int")
+    assert {r.node: r.level for r in graph.levels(nodes, edges).collect()} == {0: 0, 1: 1, 2: 2, 3: None, 4: None, 5: 0, 6: None}
 
 
 def test_arrivals(spark, tmp_path):
