@@ -42,8 +42,8 @@ from gridloom.llm.components import components
 WORDS = 5
 #: A column in more first parts than this is hot.
 HOT = 64
-#: A side of a join with so many numbers at most is broadcast (16 MB); beyond, both sides are shuffled.
-BROADCAST = 1 << 20
+#: A side of a join with so many numbers at most is broadcast (32 MB); beyond, both sides are shuffled.
+BROADCAST = 1 << 22
 
 _rng = np.random.default_rng(20_240_229)
 _BYTES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
