@@ -24,31 +24,39 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Pre-tokens kept with their ids by each worker, and the longest of those.
-CACHED, CACHED_CHARS = 250_000, 64
+#: Pre-tokens that each worker keeps with their ids, twice over at most, and the longest of those.
+CACHED, CACHED_CHARS = 400_000, 64
 #: Pre-tokens of a text handled at once.
 CHUNK = 200_000
 
 
+_BIT = tuple(1 << k for k in range(64))
+
+
 class RankQueue:
-    """Positions by rank; pop() gives the lowest rank's leftmost position."""
+    """Positions by rank; pop() gives the lowest rank's leftmost position.
+
+    low has a bit a rank, mid one for each word of low, top one for each word of
+    mid. A drained queue is as new, so one queue serves many pre-tokens.
+    """
 
-    def __init__(self) -> None:
-        self.buckets: dict[int, list[int]] = {}
-        self.low: dict[int, int] = {}
-        self.mid: dict[int, int] = {}
+    def __init__(self, ranks: int):
+        self.buckets: list[list[int]] = [[] for _ in range(ranks)]
+        self.low = [0] * ((ranks >> 6) + 1)
+        self.mid = [0] * ((ranks >> 12) + 1)
         self.top = 0
 
     def push(self, rank: int, at: int) -> None:
-        bucket = self.buckets.get(rank)
+        bucket = self.buckets[rank]
         if bucket:
             heappush(bucket, at)
             return
-        self.buckets[rank] = [at]
+        bucket.append(at)
         word = rank >> 6
-        self.low[word] = self.low.get(word, 0) | 1 << (rank & 63)
-        self.mid[word >> 6] = self.mid.get(word >> 6, 0) | 1 << (word & 63)
-        self.top |= 1 << (word >> 6)
+        if not self.low[word]:
+            self.mid[word >> 6] |= _BIT[word & 63]
+            self.top |= 1 << (word >> 6)
+        self.low[word] |= _BIT[rank & 63]
 
     def pop(self) -> tuple[int, int] | None:
         top = self.top
@@ -57,70 +65,78 @@ class RankQueue:
         a = (top & -top).bit_length() - 1
         bits = self.mid[a]
         word = (a << 6) + (bits & -bits).bit_length() - 1
-        bits = self.low[word]
-        rank = (word << 6) + (bits & -bits).bit_length() - 1
+        low = self.low[word]
+        rank = (word << 6) + (low & -low).bit_length() - 1
         bucket = self.buckets[rank]
-        at = heappop(bucket)
-        if not bucket:
-            self.low[word] = bits & (bits - 1)
-            if not self.low[word]:
-                self.mid[a] &= self.mid[a] - 1
-                if not self.mid[a]:
-                    self.top &= top - 1
-        return rank, at
-
-
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+        if len(bucket) > 1:
+            return rank, heappop(bucket)
+        low &= low - 1
+        self.low[word] = low
+        if not low:
+            bits &= bits - 1
+            self.mid[a] = bits
+            if not bits:
+                self.top = top & (top - 1)
+        return rank, bucket.pop()
+
+
+def merge(piece: bytes, ranks: dict[bytes, int], queue: RankQueue) -> list[int]:
     """The ids of one pre-token: always the lowest-ranked, leftmost pair merges."""
     whole = ranks.get(piece)
     if whole is not None:
         return [whole]
     n = len(piece)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    waiting = [-1] * n
-    queue, rank_of = RankQueue(), ranks.get
-    for i in range(n - 1):
-        rank = rank_of(piece[i : i + 2])
-        if rank is not None:
-            waiting[i] = rank
-            queue.push(rank, i)
-    while entry := queue.pop():
+    rank_of, push, pop = ranks.get, queue.push, queue.pop
+    waiting = [rank_of(piece[i : i + 2], -1) for i in range(n - 1)]
+    waiting.append(-1)
+    for i, rank in enumerate(waiting):
+        if rank >= 0:
+            push(rank, i)
+    while entry := pop():
         rank, i = entry
         if waiting[i] != rank:
             continue
         gone = after[i]
-        end = after[gone]
-        after[i] = end
-        waiting[gone] = waiting[i] = -1
+        end = after[i] = after[gone]
+        waiting[gone] = -1
         if end < n:
             before[end] = i
-            rank = rank_of(piece[i : after[end]])
-            if rank is not None:
-                waiting[i] = rank
-                queue.push(rank, i)
+            rank = waiting[i] = rank_of(piece[i : after[end]], -1)
+            if rank >= 0:
+                push(rank, i)
+        else:
+            waiting[i] = -1
         left = before[i]
         if left >= 0:
-            rank = rank_of(piece[left:end])
-            waiting[left] = -1 if rank is None else rank
-            if rank is not None:
-                queue.push(rank, left)
+            rank = waiting[left] = rank_of(piece[left:end], -1)
+            if rank >= 0:
+                push(rank, left)
     ids, i = [], 0
     while i < n:
-        ids.append(ranks[piece[i : after[i]]])
-        i = after[i]
+        end = after[i]
+        ids.append(ranks[piece[i:end]])
+        i = end
     return ids
 
 
 class _Packed(dict):
-    """Pre-token -> its ids as little-endian 32-bit integers, made when missing."""
+    """Pre-token -> its ids as little-endian 32-bit integers, made when missing.
+
+    A full cache becomes the older one, from which what is used again comes back.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+        self.ranks, self.older = ranks, {}
+        self.queue = RankQueue(max(ranks.values(), default=0) + 1)
 
     def __missing__(self, piece: str) -> bytes:
-        packed = array("I", merge(piece.encode("utf-8", "surrogatepass"), self.ranks)).tobytes()
+        packed = self.older.get(piece)
+        if packed is None:
+            packed = array("I", merge(piece.encode("utf-8", "surrogatepass"), self.ranks, self.queue)).tobytes()
         if len(piece) <= CACHED_CHARS:
             if len(self) >= CACHED:
+                self.older = dict(self)
                 self.clear()
             self[piece] = packed
         return packed
@@ -140,11 +156,12 @@ class Codec:
 
     def chunks(self, text: str) -> Iterator[bytes]:
         """The ids of a text, packed, a bounded number of pre-tokens at once."""
-        found = self.pattern.finditer(text)
-        while pieces := [m.group() for m in islice(found, CHUNK)] if len(text) > CHUNK else None:
-            yield b"".join(map(self.packed.__getitem__, pieces))
         if len(text) <= CHUNK:
             yield b"".join(map(self.packed.__getitem__, self.pattern.findall(text)))
+            return
+        found = self.pattern.finditer(text)
+        while pieces := [m.group() for m in islice(found, CHUNK)]:
+            yield b"".join(map(self.packed.__getitem__, pieces))
 
     def encode(self, text: str | None) -> list[int]:
         return [i for chunk in self.chunks(text or "") for i in array("I", chunk)]
