@@ -32,15 +32,16 @@ STEPS, SMOOTHING = 60, 1.0
 PRIOR_GOOD, START_ACCURACY, LEAST_ACCURACY, MOST_ACCURACY = 0.5, 0.85, 0.55, 0.99
 
 
-def _repeated_words(w: Column) -> Column:
-    """Words within 5-word windows that the text holds twice or more."""
+def _windows(w: Column) -> Column:
+    """The hash of each 5-word window, in order."""
     last = F.size(w) - WINDOW
-    hashes = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)]))
-    return F.when(last < 1, F.lit(0)).otherwise(_covered(hashes)).cast("long")
+    made = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)]))
+    return F.when(last < 1, F.array().cast("array<long>")).otherwise(made)
 
 
 def _covered(hashes: Column) -> Column:
-    """The words that repeated windows cover; the costly part is for texts that repeat."""
+    """Words within 5-word windows that the text holds twice or more; the costly part is
+    for texts that repeat."""
     order = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
     def repeated(pairs: Column) -> Column:
@@ -70,6 +71,7 @@ def measures(docs: DataFrame) -> DataFrame:
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
     rows = docs.select("doc_id", text_or_empty().alias("text"))
     rows = rows.select("doc_id", "text", words(text).alias("w"), lines.alias("lines"), F.translate(text, SPACES, "").alias("bare"))
+    rows = rows.withColumn("windows", _windows(F.col("w")))
     bare = F.col("bare")
 
     def count(pattern: str) -> Column:
@@ -81,7 +83,7 @@ def measures(docs: DataFrame) -> DataFrame:
         F.length("bare").cast("long").alias("word_chars"),
         (F.length("bare") - F.length(F.translate(bare, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        _repeated_words(F.col("w")).alias("n_repeat_words"),
+        _covered(F.col("windows")).cast("long").alias("n_repeat_words"),
         F.size("lines").cast("long").alias("n_lines"),
         F.size(F.filter("w", lambda x, i: (i > 0) & F.get("w", i - 1).eqNullSafe(x))).cast("long").alias("n_stutters"),
         count(r"\p{Lu}").alias("n_upper"),
