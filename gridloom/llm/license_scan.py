@@ -1,10 +1,12 @@
 """License scan by sentence rules.
 
-A text is cut into sentences at line ends and after . ! ? ; and also with single
+A text is cut into sentences at line ends and after . ! ? ; : and also with single
 line ends as spaces (for licences that are wrapped). A sentence is lower-cased
 and what is not a letter or digit becomes one space; known sentences have an
-identifier. A licence is found where the identifiers of its rule stand one after
-another, with nothing between, in the sequence of recognised sentences.
+identifier. Known sentences are cut in the same way: one that is cut in two is
+recognised where both its pieces follow one another. A licence is found where
+the identifiers of its rule stand one after another, with nothing between, in
+the sequence of recognised sentences.
 
 Defined results: null text counts as empty and has none. A licence that several
 rules or places show is given once; the names are in order of code points.
@@ -69,16 +71,29 @@ RULES = [
 HINT = r"(?i)licen[sc]e|permi|copyright|warranty|redistribut"
 #: Where a sentence ends: after its mark and white space, or at a line's end.
 BREAK, SOFT_BREAK = r"(?<=[.!?;:])\s+|\n", r"(?<=[.!?;:])\s+|\n[ \t]*\n"
+#: Between the pieces of a known sentence that is cut; no normalised piece holds it.
+PIECES = "|"
 
 
 def normal(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(sentence), r"[^\p{L}\p{N}]+", " "))
 
 
-def _identifiers(text: Column, at: str, known: Column) -> Column:
-    """The identifiers of the known sentences, in order."""
-    found = F.transform(F.split(text, at), lambda s: F.try_element_at(known, normal(s)))
-    return F.filter(found, lambda x: x.isNotNull())
+def _identifiers(text: Column, at: str, known: Column, heads: dict[str, int]) -> Column:
+    """The identifiers of the known sentences, in order. heads: the first piece of each
+    known sentence that is cut, and its number of pieces."""
+
+    def among(pieces: Column) -> Column:
+        def identify(piece: Column, i: Column) -> Column:
+            whole = F.try_element_at(known, piece)
+            for head, n in heads.items():
+                whole = F.when(piece == head, F.try_element_at(known, F.array_join(F.slice(pieces, i + 1, n), PIECES))).otherwise(whole)
+            return whole
+
+        return F.filter(F.transform(pieces, identify), lambda x: x.isNotNull())
+
+    # A lambda over a one-element array computes its argument once.
+    return F.get(F.transform(F.array(F.transform(F.split(text, at), normal)), among), 0)
 
 
 def _holds(sequence: Column, rule: list[str]) -> Column:
@@ -91,14 +106,16 @@ def scan(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, n_sentences (known ones), sentences and licenses (comma-joined)."""
     need_columns(docs, "doc_id", "text")
     spark = docs.sparkSession
-    plain = spark.createDataFrame([(k, v) for k, v in SENTENCES.items()], "id string, sentence string").select("id", normal(F.col("sentence")).alias("s"))
-    # The fixed table of sentences, normalised as texts are.
-    table = {r["s"]: r["id"] for r in plain.collect()}
+    plain = spark.createDataFrame([(k, v) for k, v in SENTENCES.items()], "id string, sentence string").select("id", F.transform(F.split("sentence", BREAK), normal).alias("s"))
+    # The fixed table of sentences, cut and normalised as texts are.
+    cut = plain.collect()
+    table = {PIECES.join(r["s"]): r["id"] for r in cut}
+    heads = {r["s"][0]: len(r["s"]) for r in cut if len(r["s"]) > 1}
     known = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
     none = F.array().cast("array<string>")
     text = text_or_empty()
     hinted = F.col("text").rlike(HINT)
-    found = docs.select("doc_id", *[F.when(hinted, _identifiers(text, at, known)).otherwise(none).alias(name) for name, at in (("hard", BREAK), ("soft", SOFT_BREAK))])
+    found = docs.select("doc_id", *[F.when(hinted, _identifiers(text, at, known, heads)).otherwise(none).alias(name) for name, at in (("hard", BREAK), ("soft", SOFT_BREAK))])
     # The reading that recognises more sentences gives the sequence that is shown.
     shown = F.when(F.size("soft") > F.size("hard"), F.col("soft")).otherwise(F.col("hard"))
     hits = F.array(*[F.when(_holds(F.col("hard"), rule) | _holds(F.col("soft"), rule), F.lit(name)) for name, rule in RULES])

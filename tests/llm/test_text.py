@@ -111,6 +111,26 @@ def test_licenses(spark, docs, empty):
     assert license_scan.scan(docs).count() == docs.count() and license_scan.scan(empty).count() == 0
 
 
+def test_licenses_each_sentence_and_rule_from_its_own_text(spark):
+    s = license_scan.SENTENCES
+    rows = [(i, f"x y\n// {t}\nz", None, k) for i, (k, t) in enumerate(s.items())]
+    got = license_scan.scan(table(spark, rows)).collect()
+    assert {r.doc_id: (r.n_sentences, r.sentences) for r in got} == {i: (1, k) for i, _, _, k in rows}
+    rows = [(2 * i + k, sep.join(s[x] for x in ids), None, name) for i, (name, ids) in enumerate(license_scan.RULES) for k, sep in enumerate(("\n", " "))]
+    got = license_scan.scan(table(spark, rows)).collect()
+    assert {r.doc_id: r.licenses for r in got} == {i: name for i, _, _, name in rows}
+
+
+def test_licenses_cut_sentences_need_all_pieces(spark):
+    s = license_scan.SENTENCES
+    texts = [
+        "SPDX-License-Identifier:\nMIT", "SPDX-License-Identifier: LGPL-2.1\nMIT", "MIT\nSPDX-License-Identifier:", s["gpl-free"].replace(" ", "\n# ") + "\n" + s["gpl-hope"],
+        s["gpl-free"], "\n".join([s["mit-grant"], "MIT", s["mit-notice"], s["as-is-software"]]),
+    ]
+    got = license_scan.scan(table(spark, [(i, t, None, None) for i, t in enumerate(texts)])).collect()
+    assert [r.licenses for r in sorted(got)] == ["MIT", "", "", "GPL-3.0-or-later", "", "MIT"]
+
+
 PII = [
     "mail jane.doe99@mail.example.com now", "card 4111 1111 1111 1111, not 4111 1111 1111 1112", "4929348385146306 x", "ssn 123-45-6789 not 000-45-6789",
     "call +1 (487) 555-7209.", "at 192.168.0.1 not 300.1.1.1", "born 1984-02-29, not 1985-02-29, or 31/12/1999", "GB82WEST12345698765432", None, "",
