@@ -13,8 +13,12 @@ card (13 to 19 digits with a Luhn digit; the issuer's first digit stays), iban
 day/month/year of 1900 to 2099, permuted among all days of those years).
 
 Defined results: null text stays null. Numbers that fail validation stay as they
-are. Matches are leftmost; where kinds overlap the first listed wins. Rows pass
-one by one, whole; empty tables give no rows. All other columns are kept.
+are. Matches are leftmost; where kinds overlap the first listed that is valid
+wins. Of digits in groups, the longest valid run of 13 to 19 that starts and ends
+at group borders is a card, so a card beside other numbers is found. To undo, the
+spans column is read if it is there; without it the places are looked for again,
+and beside other numbers a pseudonym may by chance be read as another run.
+Rows pass one by one, whole; empty tables give no rows. All other columns are kept.
 """
 
 from __future__ import annotations
@@ -35,16 +39,20 @@ from gridloom.llm.common import need_columns
 ROUNDS = 8
 KINDS = ("email", "iban", "card", "ssn", "phone", "ip", "date")
 #: What a value of each kind looks like.
-PATTERN = re.compile(
-    r"(?P<email>(?<![\w.+-])[A-Za-z0-9_.+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+)"
-    r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![A-Za-z0-9]))"
-    r"|(?P<card>(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d))"
-    r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
-    r"|(?P<phone>(?<![\w+])\+\d{1,3} ?\(\d{3}\) ?\d{3}-\d{4}(?![\w-])|(?<![\w(+-])\(\d{3}\) ?\d{3}-\d{4}(?![\w-]))"
-    r"|(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d))"
-    r"|(?P<date>(?<![\w-])\d{4}-\d{2}-\d{2}(?![\w-])|(?<![\w/])\d{2}/\d{2}/\d{4}(?![\w/]))",
-    re.A,
-)
+FORMS = {
+    "email": r"(?<![\w.+-])[A-Za-z0-9_.+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
+    "card": r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d)",
+    "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
+    "phone": r"(?<![\w+])\+\d{1,3} ?\(\d{3}\) ?\d{3}-\d{4}(?![\w-])|(?<![\w(+-])\(\d{3}\) ?\d{3}-\d{4}(?![\w-])",
+    "ip": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)",
+    "date": r"(?<![\w-])\d{4}-\d{2}-\d{2}(?![\w-])|(?<![\w/])\d{2}/\d{2}/\d{4}(?![\w/])",
+}
+PATTERN = re.compile("|".join(f"(?P<{k}>{p})" for k, p in FORMS.items()), re.A)
+#: Digits in groups, whole, from where a card starts; and a card behind a hyphen within such groups.
+GROUPS = re.compile(r"\d+(?:[ -]\d+)*", re.A)
+LATER_CARD = re.compile(r"(?<=\d-)\d(?:[ -]?\d){12,18}(?![\w-]|\.\d)|(?<=\d-)\d(?:[ -]?\d){12,18}(?=-\d)", re.A)
+ONE = {k: re.compile(rf"(?P<{k}>{p})", re.A) for k, p in FORMS.items()}
 FIRST_DAY, DAYS = dt.date(1900, 1, 1), (dt.date(2100, 1, 1) - dt.date(1900, 1, 1)).days
 
 
@@ -169,19 +177,51 @@ class Pseudonyms:
             return None
         return (FIRST_DAY + dt.timedelta(Permutation(self.key, "date", DAYS)(day, back))).strftime(form)
 
-    def replace(self, text: str, back: bool = False) -> tuple[str, list[tuple[int, int, str]]]:
-        """The text with pseudonyms, and start, end and kind of each in the result."""
-        out, spans, at, length = [], [], 0, 0
-        for m in PATTERN.finditer(text):
-            new = self.of(m.lastgroup, m.group(), back)
-            if new is None:
-                continue
-            out += (text[at : m.start()], new)
-            length += m.start() - at
-            spans.append((length, length + len(new), m.lastgroup))
-            length, at = length + len(new), m.end()
+    def _at(self, text: str, start: int, kind: str, end: int, back: bool) -> tuple[int, str, str] | None:
+        """End, kind and pseudonym of what starts here, of a match of this kind and end: its
+        first valid reading, the longest first, or else a valid value of a later kind."""
+        while True:
+            ends = [end]
+            if kind == "card":  # the groups may go on behind the match
+                ends += [start + m.start() for m in re.finditer("[ -]", text[start : GROUPS.match(text, start).end()])]
+            for e in sorted(set(ends), reverse=True):
+                if kind == "card" and not 13 <= sum(c.isdigit() for c in text[start:e]) <= 19:
+                    continue
+                new = self.of(kind, text[start:e], back)
+                if new is not None:
+                    return e, kind, new
+            m = next((m for k in KINDS[KINDS.index(kind) + 1 :] if (m := ONE[k].match(text, start))), None)
+            if m is None:
+                return None
+            kind, end = m.lastgroup, m.end()
+
+    def find(self, text: str, back: bool = False):
+        """start, end, kind and pseudonym of each valid value."""
+        at, groups_end = 0, 0
+        while m := PATTERN.search(text, at):
+            start, kind, end = m.start(), m.lastgroup, m.end()
+            later = LATER_CARD.search(text, at, groups_end) if at < groups_end else None
+            if later and later.start() < start:
+                start, kind, end = later.start(), "card", later.end()
+            if kind == "card":
+                groups_end = max(groups_end, GROUPS.match(text, start).end())
+            found = self._at(text, start, kind, end, back)
+            if found:
+                yield start, *found
+            at = found[0] if found else start + 1
+
+    def replace(self, text: str, back: bool = False, spans: list | None = None) -> tuple[str, list[tuple[int, int, str]]]:
+        """The text with pseudonyms, and start, end and kind of each in the result. Where
+        the places are given (to undo), they are not looked for."""
+        out, made, at, length = [], [], 0, 0
+        known = None if spans is None else ((s["start"], s["end"], s["kind"], self.of(s["kind"], text[s["start"] : s["end"]], back)) for s in spans)
+        for start, end, kind, new in self.find(text, back) if known is None else known:
+            out += (text[at:start], new)
+            length += start - at
+            made.append((length, length + len(new), kind))
+            length, at = length + len(new), end
         out.append(text[at:])
-        return "".join(out), spans
+        return "".join(out), made
 
 
 _made: dict[bytes, Pseudonyms] = {}
@@ -192,15 +232,20 @@ def pseudonymise(docs: DataFrame, key: bytes, text: str = "text", spans: str = "
     need_columns(docs, text)
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
 
+    given = back and spans in docs.columns
+
     def run(batches):
         own = _made.setdefault(key, Pseudonyms(key))
         for batch in batches:
             at = batch.schema.get_field_index(text)
-            made = [(None, []) if t is None else own.replace(t, back) for t in (v.as_py() for v in batch.column(at))]
-            columns = list(batch.columns)
-            columns[at] = pa.array([m[0] for m in made], pa.string())
-            found = pa.array([[{"start": a, "end": b, "kind": k} for a, b, k in m[1]] for m in made], kind)
-            yield pa.RecordBatch.from_arrays([*columns, found], [*batch.schema.names, spans])
-
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{kept}, `{spans}` array<struct<start:int,end:int,kind:string>>")
+            places = batch.column(batch.schema.get_field_index(spans)).to_pylist() if given else [None] * batch.num_rows
+            made = [(None, []) if t is None else own.replace(t, back, p) for t, p in zip((v.as_py() for v in batch.column(at)), places)]
+            columns = {n: c for n, c in zip(batch.schema.names, batch.columns)}
+            columns[text] = pa.array([m[0] for m in made], pa.string())
+            columns[spans] = pa.array([[{"start": a, "end": b, "kind": k} for a, b, k in m[1]] for m in made], kind)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if not (given and f.name == spans))
+    if given:
+        docs = docs.select(*[c for c in docs.columns if c != spans], spans)
+    return docs.mapInArrow(run, f"{kept}`{spans}` array<struct<start:int,end:int,kind:string>>")
