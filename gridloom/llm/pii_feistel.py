@@ -9,8 +9,10 @@ equal pseudonyms in every document, and the key holder can undo them.
 
 Kinds: email (letters and digits of the local part, each within its class),
 card (13 to 19 digits with a Luhn digit; the issuer's first digit stays), iban
-(check digits made anew), ssn, phone, ip (IPv4), date (year-month-day or
-day/month/year of 1900 to 2099, permuted among all days of those years).
+(plain or in groups of four; check digits made anew), ssn, phone (+ and 7 to 15
+digits, the country code stays; or three, three and four digits), ip (IPv4), date
+(1900 to 2099, as year-month-day, day/month/year or, where that is no date,
+month/day/year, also with dots or hyphens and with fields of one digit).
 
 Defined results: null text stays null. Numbers that fail validation stay as they
 are. Matches are leftmost; where kinds overlap the first listed that is valid
@@ -41,14 +43,17 @@ KINDS = ("email", "iban", "card", "ssn", "phone", "ip", "date")
 #: What a value of each kind looks like.
 FORMS = {
     "email": r"(?<![\w.+-])[A-Za-z0-9_.+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)(?![A-Za-z0-9])",
     "card": r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "phone": r"(?<![\w+])\+\d{1,3} ?\(\d{3}\) ?\d{3}-\d{4}(?![\w-])|(?<![\w(+-])\(\d{3}\) ?\d{3}-\d{4}(?![\w-])",
+    "phone": r"(?<![\w+])\+\d{1,3}[ .-]?\(\d{1,4}\)(?:[ .-]?\d){4,10}(?![\w-]|\.\d)|(?<![\w+])\+\d(?:[ .-]?\d){6,14}(?![\w-]|\.\d)"
+    r"|(?<![\w+-])\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?![\w-])|(?<![\w.+-])\d{3}(?:-\d{3}-|\.\d{3}\.| \d{3} )\d{4}(?![\w-]|\.\d)",
     "ip": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)",
-    "date": r"(?<![\w-])\d{4}-\d{2}-\d{2}(?![\w-])|(?<![\w/])\d{2}/\d{2}/\d{4}(?![\w/])",
+    "date": r"(?<![\w-])\d{4}-\d{2}-\d{2}(?![\w-])|(?<![\w/.-])\d{1,2}(?:/\d{1,2}/|\.\d{1,2}\.|-\d{1,2}-)\d{4}(?![\w/-]|\.\d)",
 }
 PATTERN = re.compile("|".join(f"(?P<{k}>{p})" for k, p in FORMS.items()), re.A)
+#: Country codes of one and of two digits (E.164); all others have three.
+COUNTRY = re.compile(r"\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})")
 #: Digits in groups, whole, from where a card starts; and a card behind a hyphen within such groups.
 GROUPS = re.compile(r"\d+(?:[ -]\d+)*", re.A)
 LATER_CARD = re.compile(r"(?<=\d-)\d(?:[ -]?\d){12,18}(?![\w-]|\.\d)|(?<=\d-)\d(?:[ -]?\d){12,18}(?=-\d)", re.A)
@@ -131,10 +136,11 @@ class Pseudonyms:
         return f"{self._radices('email', local, back)}@{domain}"
 
     def _iban(self, value: str, back: bool) -> str | None:
-        if _mod97(value[4:] + value[:4]) != 1:
+        bare = value.replace(" ", "")
+        if not 15 <= len(bare) <= 34 or _mod97(bare[4:] + bare[:4]) != 1:
             return None
         rest = self._radices("iban", value[4:], back)
-        return f"{value[:2]}{98 - _mod97(rest + value[:2] + '00'):02d}{rest}"
+        return f"{value[:2]}{98 - _mod97(rest.replace(' ', '') + value[:2] + '00'):02d}{rest}"
 
     def _card(self, value: str, back: bool) -> str | None:
         digits = re.sub(r"\D", "", value)
@@ -156,8 +162,9 @@ class Pseudonyms:
         return f"{area:03d}-{group + 1:02d}-{serial + 1:04d}"
 
     def _phone(self, value: str, back: bool) -> str | None:
-        """The ten digits after the country code."""
-        at = value.index("(")
+        """The digits after the country code."""
+        found = COUNTRY.match(value)
+        at = value.index("(") if "(" in value else found.end() if found else 0
         return value[:at] + self._radices("phone", value[at:], back)
 
     def _ip(self, value: str, back: bool) -> str | None:
@@ -168,20 +175,37 @@ class Pseudonyms:
         return ".".join(map(str, x.to_bytes(4, "big")))
 
     def _date(self, value: str, back: bool) -> str | None:
-        form = "%Y-%m-%d" if "-" in value else "%d/%m/%Y"
+        """Day before month, or else month before day. A field of one digit stays one, and a day that
+        stands second stays over 12, so that a pseudonym is read as its value is."""
+        fields = re.split(r"[/.-]", value)
+        year_first = len(fields[0]) == 4
+        y, m, d = map(int, fields if year_first else fields[::-1])
+        month_first = not year_first and m > 12
+        if month_first:
+            m, d = d, m
         try:
-            day = (dt.datetime.strptime(value, form).date() - FIRST_DAY).days
+            day = (dt.date(y, m, d) - FIRST_DAY).days
         except ValueError:
             return None
         if not 0 <= day < DAYS:
             return None
-        return (FIRST_DAY + dt.timedelta(Permutation(self.key, "date", DAYS)(day, back))).strftime(form)
+        permutation = Permutation(self.key, "date", DAYS)
+        while True:
+            day = permutation(day, back)
+            new = FIRST_DAY + dt.timedelta(day)
+            made = [new.year, new.month, new.day] if year_first else [new.month, new.day, new.year] if month_first else [new.day, new.month, new.year]
+            written = [f"{x:0{len(f)}d}" for x, f in zip(made, fields)]
+            if list(map(len, written)) == list(map(len, fields)) and not (month_first and new.day <= 12):
+                rest = iter(written)
+                return re.sub(r"\d+", lambda _: next(rest), value)
 
     def _at(self, text: str, start: int, kind: str, end: int, back: bool) -> tuple[int, str, str] | None:
         """End, kind and pseudonym of what starts here, of a match of this kind and end: its
         first valid reading, the longest first, or else a valid value of a later kind."""
         while True:
             ends = [end]
+            if kind == "iban":  # a word behind may look like a group
+                ends += [start + m.start() for m in re.finditer(" ", text[start:end])]
             if kind == "card":  # the groups may go on behind the match
                 ends += [start + m.start() for m in re.finditer("[ -]", text[start : GROUPS.match(text, start).end()])]
             for e in sorted(set(ends), reverse=True):

@@ -177,6 +177,31 @@ def test_pii_card_beside_other_numbers(spark):
     assert back.columns == once.columns and {r.doc_id: r.text for r in back.collect()} == dict(enumerate(texts))
 
 
+FORMS = {
+    "phone": ["555-123-4567", "555.123.4567", "555 123 4567", "+1-555-123-4567", "+15551234567", "+44 20 7946 0958", "+49 (30) 901820", "(555) 123-4567", "+353 1 679 6222"],
+    "iban": ["GB82 WEST 1234 5698 7654 32", "GB82WEST12345698765432", "DE89 3704 0044 0532 0130 00", "ES91 2100 0418 4502 0005 1332"],
+    "date": ["31.12.1999", "1/2/1999", "12/31/1999", "1.12.1999", "2/29/2000", "31-12-1999", "7/4/2024", "1999-12-31"],
+}
+
+
+@pytest.mark.parametrize(("kind", "value"), [(k, v) for k, values in FORMS.items() for v in values])
+def test_pii_forms(kind, value):
+    for i in range(20):
+        p = pii_feistel.Pseudonyms(b"k%d" % i)
+        for text in (f"at {value}.", f"({value})", f"{value}, CODE 12", f"{value} THEN"):
+            new, spans = p.replace(text)
+            assert [(text[a:b], k) for a, b, k, _ in p.find(text)] == [(value, kind)]
+            assert new != text and len(new) == len(text) and p.replace(new, True)[0] == text
+    link = lambda a: re.sub(r"\D", "", a)[-10:]
+    assert link(p.of("phone", "+1-555-123-4567", False)) == link(p.of("phone", "(555) 123-4567", False)) == link(p.of("phone", "555.123.4567", False))
+
+
+def test_pii_forms_that_are_none():
+    p = pii_feistel.Pseudonyms(b"k")
+    for text in ("31.31.1999", "0/2/1999", "1/2/99", "GB83 WEST 1234 5698 7654 32", "v1.2.2000.5", "12-3-19999", "5551234567", "+12 34"):
+        assert p.replace(text) == (text, []), text
+
+
 @settings(max_examples=60, deadline=None)
 @given(n=st.integers(1, 3000), key=st.binary(min_size=1, max_size=8))
 def test_feistel_is_a_permutation(n, key):
