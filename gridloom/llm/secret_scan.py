@@ -1,9 +1,10 @@
 """Secret scan with corpus-wide ownership frequency.
 
 Candidates are found by pattern. The hash of each candidate's value is counted
-over the whole corpus by distinct documents (as repositories) and distinct
-sources (as owners). A value that several owners hold is a widely copied
-example; one that a single owner holds looks live. Random-looking tokens that
+over the whole corpus by distinct documents (as repositories, equal texts once)
+and distinct sources (as owners). A value that several owners hold, or that very
+many documents of one owner repeat, is a widely copied example; what else a single
+owner holds looks live. Random-looking tokens that
 the patterns do not name count as findings only if they look live.
 
 Spans are in code points, the end exclusive. Defined results: null text counts
@@ -26,6 +27,8 @@ ASSIGN_LEAST = 12
 OPAQUE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[a-z0-9+/_=-]*[A-Z])(?=[A-Z0-9+/_=-]*[a-z])[A-Za-z0-9+/_=-]{24,}"
 #: A value in so many owners' documents is a copied example.
 COPIED_OWNERS = 2
+#: So is one in so many different documents, whoever owns them.
+COPIED_REPOSITORIES = 100
 KINDS = ("assign", "access", "hex", "opaque")
 
 
@@ -63,13 +66,14 @@ def _found(text: Column, pattern: str, **how) -> Column:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, source and the spans of each kind."""
+    """doc_id, source, text_hash and the spans of each kind."""
     need_columns(docs, "doc_id", "text", "source")
     text = F.col("text")
     rows = docs.select("doc_id", "source", text_or_empty().alias("text"))
     return rows.select(
         "doc_id",
         "source",
+        F.sha2(text.cast("binary"), 256).alias("text_hash"),
         _found(text, ASSIGN, group=2, least=ASSIGN_LEAST).alias("assign"),
         _found(text, ACCESS).alias("access"),
         _found(text, HEX).alias("hex"),
@@ -80,12 +84,14 @@ def candidates(docs: DataFrame) -> DataFrame:
 def ownership(found: DataFrame) -> DataFrame:
     """value_hash, n_repositories, n_owners over the corpus.
 
-    Counted in two steps of partial aggregation, so a value that a third of all
+    Within an owner, documents of equal text are one repository, and so are rows that
+    repeat a doc_id. Counted in steps of partial aggregation, so a value that a third of all
     documents hold meets no single task.
     """
     each = F.explode(F.concat(*KINDS))
-    values = found.select("doc_id", "source", each.alias("s")).select(F.sha2(F.col("s.value").cast("binary"), 256).alias("value_hash"), "source", "doc_id")
-    pairs = values.groupBy("value_hash", "source", "doc_id").agg(F.lit(1).alias("one"))
+    values = found.select("doc_id", "source", "text_hash", each.alias("s")).select(F.sha2(F.col("s.value").cast("binary"), 256).alias("value_hash"), "source", "text_hash", "doc_id")
+    texts = values.groupBy("value_hash", "source", "text_hash").agg(F.min("doc_id").alias("doc_id"))
+    pairs = texts.groupBy("value_hash", "source", "doc_id").agg(F.lit(1).alias("one"))
     owners = pairs.groupBy("value_hash", "source").agg(F.count(F.lit(1)).alias("n_repositories"))
     return owners.groupBy("value_hash").agg(F.sum("n_repositories").alias("n_repositories"), F.count(F.lit(1)).alias("n_owners"))
 
@@ -105,7 +111,7 @@ def _with_kind(kind: str, order: int) -> Column:
 def scan(docs: DataFrame) -> DataFrame:
     """One row a document: counts, base_sha256, spans, n_live, n_copied."""
     found = stage_table(candidates(docs).withColumn("row", F.monotonically_increasing_id()), "secrets")
-    owned = ownership(found).where(F.col("n_owners") >= COPIED_OWNERS).select("value_hash", F.lit(True).alias("copied"))
+    owned = ownership(found).where((F.col("n_owners") >= COPIED_OWNERS) | (F.col("n_repositories") >= COPIED_REPOSITORIES)).select("value_hash", F.lit(True).alias("copied"))
     flat = [_with_kind(kind, order) for order, kind in enumerate(KINDS)]
     spans = found.select("row", F.explode(F.concat(*flat)).alias("s")).withColumn("value_hash", F.sha2(F.col("s.value").cast("binary"), 256))
     judged = spans.join(owned, "value_hash", "left").select("row", "s", F.coalesce("copied", F.lit(False)).alias("copied"))

@@ -100,6 +100,18 @@ def test_secrets_opaque_only_if_live(spark):
     assert {r.doc_id: r.spans for r in got} == {1: "opaque:2:26", 2: "", 3: ""}
 
 
+def test_secrets_repeated_within_one_source(spark):
+    """A key in very many documents of one source is an example; copies of one text, or rows of one id, are not many."""
+    keys = [f"{c}b1Cd2Ef3Gh4Ij5Kl6Mn7Op8" for c in "ABCD"]
+    most = secret_scan.COPIED_REPOSITORIES
+    rows = [(i, f"{keys[0]} n {i}", None, "a") for i in range(most)] + [(1000 + i, f"{keys[1]} n {i}", None, "a") for i in range(most - 1)]
+    rows += [(2000 + i, keys[2], None, "a") for i in range(most + 50)] + [(3000, f"{keys[3]} n {i}", None, "a") for i in range(most + 50)]
+    found = {}
+    for r in secret_scan.scan(table(spark, rows)).collect():
+        found.setdefault(r.doc_id // 1000, set()).add((r.spans, r.n_live))
+    assert found == {0: {("", 0)}, 1: {("opaque:0:24", 1)}, 2: {("opaque:0:24", 1)}, 3: {("opaque:0:24", 1)}}
+
+
 def test_licenses(spark, docs, empty):
     s = license_scan.SENTENCES
     texts = [
