@@ -6,9 +6,13 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from functools import wraps
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 #: The characters that separate words, [\x20\x09-\x0D].
 SPACES = " \t\n\x0b\x0c\r"
@@ -35,25 +39,113 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[app]
 
 
+#: Removes a query's shuffle files when the query ends.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Folders of the stage tables that this process has written and not deleted.
+_stages: list[str] = []
+
+
 def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Writes df to a table in the shared folder and reads it back.
 
     This cuts the lineage: a lost executor costs a reread, not a recomputation.
-    Void columns are stored as strings.
+    What was shuffled to make it is deleted once it is written. Void columns are
+    stored as strings.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stage-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/gridloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df = df.withColumns({c: df[c].cast("string") for c, kind in df.dtypes if kind == "void"})
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+    _stages.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def settled(name: str):
+    """Makes an operator write its result as a stage table and then delete the stage
+    tables that it made on the way, so only results stay in the shared folder."""
+
+    def wrap(operator):
+        @wraps(operator)
+        def run(docs: DataFrame, *args, **more) -> DataFrame:
+            before = len(_stages)
+            out = stage_table(operator(docs, *args, **more), name)
+            for path in _stages[before:-1]:
+                _delete(docs.sparkSession, path)
+            del _stages[before:-1]
+            return out
+
+        return run
+
+    return wrap
+
+
 def drop_stage(df: DataFrame) -> None:
     """Deletes a stage table that nothing reads any more."""
-    jvm = df.sparkSession._jvm
     for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        _delete(df.sparkSession, name)
+        _stages[:] = [s for s in _stages if s.rsplit("/", 1)[-1] != name.rsplit("/", 1)[-1]]
+
+
+def drop_stages(spark: SparkSession) -> None:
+    """Deletes all stage tables of this process, results too."""
+    while _stages:
+        _delete(spark, _stages.pop())
+
+
+#: Parts that the rows of one key are dealt over by spread_join().
+PARTS = 256
+
+
+def spread_join(many: DataFrame, told: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """many joined with told, which has few rows a key, on the column key.
+
+    A key may hold any share of many: its rows are dealt over PARTS by a hash of
+    the column by, each part counts once against told, and the rows then join by
+    key and part. So no task gets all rows of a key.
+    """
+    dealt = many.withColumn("__part", F.pmod(F.xxhash64(by), F.lit(PARTS)).cast("int"))
+    pairs = dealt.groupBy(key, "__part").agg(F.lit(1).alias("__one")).drop("__one")
+    return dealt.join(pairs.join(told, key), [key, "__part"], how).drop("__part")
+
+
+def running_totals(df: DataFrame, order: list[str], totals: dict[str, str]) -> DataFrame:
+    """A stage table of df with sums over all rows before, in the given order: value -> name.
+
+    Rows are dealt by range of all order columns, so the order should tell rows
+    apart; sums run within each range, and each range's total (one row a range)
+    is added to those behind it.
+    """
+    values, names = list(totals), list(totals.values())
+    schema = StructType([*df.schema.fields, StructField("__part", IntegerType()), *[StructField(n, LongType()) for n in names]])
+
+    def run(batches):
+        at = [0] * len(values)
+        for batch in batches:
+            made = []
+            for k, value in enumerate(values):
+                own = batch.column(value).to_numpy(zero_copy_only=False)
+                ends = np.cumsum(own, dtype=np.int64) + at[k]
+                made.append(pa.array(ends - own, pa.int64()))
+                at[k] = int(ends[-1]) if len(ends) else at[k]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [f.name for f in schema])
+
+    ranged = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()).sortWithinPartitions(*order)
+    summed = stage_table(ranged.mapInArrow(run, schema), "ranges")
+    each = summed.groupBy("__part").agg(*[F.max(F.col(n) + F.col(v)).alias(f"__{n}") for v, n in totals.items()])
+    before = each.select("__part", *[(F.sum(f"__{n}").over(Window.orderBy("__part")) - F.col(f"__{n}")).alias(f"__{n}") for n in names])
+    # One row a range: at most as many as the session's shuffle partitions.
+    joined = summed.join(F.broadcast(before), "__part")
+    return joined.withColumns({n: F.col(n) + F.col(f"__{n}") for n in names}).drop("__part", *[f"__{n}" for n in names])
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

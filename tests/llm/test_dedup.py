@@ -1,7 +1,8 @@
 import brute
+import pytest
 from conftest import table
 
-from gridloom.llm import digest_index, ngram_join
+from gridloom.llm import common, digest_index, ngram_join
 from gridloom.llm.components import components
 
 
@@ -68,3 +69,44 @@ def test_exact_hot_group(spark):
     rows = [(i, "same  text" if i == 40 else "same text", None, None) for i in range(150)] + [(i, f"own {i}", None, None) for i in range(150, 200)]
     got = digest_index.deduplicate(table(spark, rows))
     assert sorted(map(tuple, got.collect())) == brute.exact([(d, t) for d, t, *_ in rows])
+
+
+def test_index_reopened_with_its_own_layout(spark, tmp_path):
+    """An index is opened with the buckets it was made with, and refuses others: no digest is appended twice."""
+    path = str(tmp_path / "index")
+    rows = digest_index.digests(table(spark, [(i, f"text {i}", None, None) for i in range(200)]))
+    index = digest_index.DigestIndex(spark, "digest_index_eight", path, 8)
+    index.ingest(rows)
+    index.drop()
+    with pytest.raises(ValueError, match="8 buckets"):
+        digest_index.DigestIndex(spark, "digest_index_other", path, 2)
+    index = digest_index.DigestIndex(spark, "digest_index_again", path)
+    index.ingest(rows)
+    assert index.buckets == 8 and index.table().count() == 200
+    with pytest.raises(ValueError, match="8 buckets"):
+        digest_index.DigestIndex(spark, "digest_index_again", buckets=3)
+    index.drop()
+
+
+def test_index_second_batch_with_a_digest_newly_hot(spark):
+    index = digest_index.DigestIndex(spark)
+    index.ingest(digest_index.digests(table(spark, [(5, "hot", None, None), (6, "cold", None, None)])))
+    again = digest_index.digests(table(spark, [(i, "h o t", None, None) for i in range(100, 400)] + [(9, "cold", None, None), (5, "hot", None, None)]))
+    index.ingest(again)
+    got = {(r.doc_id, r.keep_id, r.kept) for r in index.resolve(again).collect()}
+    index.drop()
+    assert got == {(i, 5, False) for i in range(100, 400)} | {(9, 6, False), (5, 5, True)}
+
+
+def test_first_copies_of_repeated_ids(spark):
+    """One row of each text stays, also where one id has several texts or rows."""
+    rows = [(1, "a b", "en", "s"), (1, "ab", "en", "s"), (1, "a b", "en", "s"), (2, "ab", None, None), (1, "other", None, None), (None, "x", None, None), (None, "x", None, None)]
+    got = digest_index.keep_first_copies(table(spark, rows)).collect()
+    assert sorted((str(r.doc_id), r.text) for r in got) == [("1", "a b"), ("1", "other"), ("None", "x")]
+
+
+def test_no_tables_are_left(spark):
+    tables = {t.name for t in spark.catalog.listTables()}
+    before = len(common._stages)
+    digest_index.deduplicate(table(spark, [(1, "a", None, None)])).collect()
+    assert {t.name for t in spark.catalog.listTables()} == tables and len(common._stages) == before + 1
