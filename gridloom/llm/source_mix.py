@@ -1,149 +1,171 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
-Slot i of the mix has the point frac((i + 1) * golden ratio). The point's place
-among the cumulative targets names the source, so any run of slots holds every
-source close to its share. The r-th slot of a source takes its block r modulo
-its number of blocks, which are equal-sized stretches of the source's documents
-in shuffled order; later rounds repeat them. Slots are ranked within runs of
-slots and documents placed within buckets of the shuffle, each with a running
-total over runs or buckets, so that a hot source is never in one task.
+Each source is cut into equal blocks of words, and its target is a whole number
+of blocks: its quota of slots. The quotas, one behind another, are the
+cumulative weights; slot i of the mix has the i-th van der Corput point (the
+bits of i reversed), and the interval that the point falls in names the source.
+As the number of slots is a power of two, every source gets exactly its quota,
+spread so evenly that any run of slots holds every source close to its share.
+Points behind the last quota are idle. The r-th slot of a source takes its block
+r modulo its number of blocks, which are stretches of the source's documents in
+shuffled order; later rounds repeat them. A slot's rank in its source follows
+from its number alone, so no slots are sorted or gathered, and documents are
+placed by running totals over ranges of the shuffle, so a hot source is never in
+one task. Sources are rows of a table: there may be any number of them.
 
 Defined results: null text has no words; a document without words is never
 taken. A null source is a source of its own, last in order. Equal rows count
-each. An empty table gives no rows. A source's number of slots is bounded by
-three times its blocks, so no document is taken more than three times.
+each. An empty table gives no rows. A source's quota is at most three times its
+blocks, so no document is taken more than three times.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import n_words, need_columns, stage_table
+from gridloom.llm.common import n_words, need_columns, running_totals, settled, spread_join, stage_table
 
 #: Weights of the sources in order, repeating, and how often a source may be used up.
 WEIGHTS, MOST = (1, 2, 3), 3
-#: Words of a block: total size / BLOCKS, but within these bounds.
-BLOCKS, LEAST_BLOCK, LARGEST_BLOCK = 1 << 18, 16, 2048
-#: Slots that are ranked together.
-RUN = 1 << 14
-#: Documents of a source that are placed together, about.
-PLACED = 4096
-#: The fractional part of the golden ratio, and of 2^20 times it.
-GOLDEN, GOLDEN_20 = 0.6180339887498949, 0.607787409740351
-
-
-@dataclass(frozen=True)
-class Source:
-    index: int
-    name: str | None
-    size: int
-    docs: int
-    target: float
+#: Words of a block: total size / BLOCKS, but within these bounds; and the least number of blocks of a source that has so many words.
+BLOCKS, LEAST_BLOCK, LARGEST_BLOCK, LEAST_BLOCKS = 1 << 18, 16, 2048, 256
+#: Points that are worked on together.
+RUN = 1 << 12
 
 
 def targets(sizes: list[int], weights: list[float], most: float = MOST) -> list[float]:
     """Shares of the total by weight; what is above most times a size goes to the others."""
-    left, open_ = float(sum(sizes)), set(range(len(sizes)))
-    out = [0.0] * len(sizes)
-    while open_:
-        total = sum(weights[i] for i in open_)
-        over = [i for i in open_ if left * weights[i] / total > most * sizes[i]]
-        if not over:
-            for i in open_:
-                out[i] = left * weights[i] / total
-            break
-        for i in over:
-            out[i] = float(most * sizes[i])
-            open_.remove(i)
-        left -= sum(out[i] for i in over)
-    return out
-
-
-def sources(sized: DataFrame, weights: tuple = WEIGHTS, most: float = MOST) -> list[Source]:
-    """The sources by code point, null last: one row each on the driver."""
-    rows = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("docs")).collect()
-    rows.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
-    shares = targets([r["size"] for r in rows], [float(weights[i % len(weights)]) for i in range(len(rows))], most)
-    return [Source(i, r["source"], r["size"], r["docs"], t) for i, (r, t) in enumerate(zip(rows, shares))]
+    total, level = sum(sizes), 0.0
+    while True:
+        full = [most * s <= level * w for s, w in zip(sizes, weights)]
+        open_ = sum(w for w, f in zip(weights, full) if not f)
+        new = (total - sum(most * s for s, f in zip(sizes, full) if f)) / open_ if open_ else level
+        if new <= level:
+            return [float(most * s) if most * s <= level * w else level * w for s, w in zip(sizes, weights)]
+        level = new
 
 
 def block_words(total: int) -> int:
     return max(LEAST_BLOCK, min(LARGEST_BLOCK, total // BLOCKS))
 
 
-def _point(slot: Column) -> Column:
-    """frac((slot + 1) * golden ratio), in two parts so that no digits are lost."""
-    n = slot + 1
-    sums = F.shiftright(n, 20) * F.lit(GOLDEN_20) + n.bitwiseAND(F.lit((1 << 20) - 1)) * F.lit(GOLDEN)
-    return sums - F.floor(sums)
-
-
-def schedule(spark, found: list[Source], block: int) -> DataFrame:
-    """slot, src, block_no, round: what each slot of the mix takes."""
-    total = sum(s.size for s in found)
-    n_slots = -(-total // block)
-    ends, acc = [], 0.0
-    for s in found:
-        acc += s.target / total if total else 0.0
-        ends.append(acc)
-    # Sources without a target are passed over: their interval is empty.
-    last = max((s.index for s in found if s.target > 0), default=0)
-    below = F.size(F.filter(F.lit(ends[:last]) if last else F.array().cast("array<double>"), lambda e: e <= F.col("point")))
-    slots = spark.range(n_slots).withColumnRenamed("id", "slot").select("slot", _point(F.col("slot")).alias("point"))
-    slots = slots.select("slot", below.alias("src"), F.expr(f"slot div {RUN}").alias("run"))
-    per_run = slots.groupBy("src", "run").agg(F.count(F.lit(1)).alias("n"))
-    # One row a source and run: 1 / RUN of the slots.
-    before = per_run.select("src", "run", (F.sum("n").over(Window.partitionBy("src").orderBy("run")) - F.col("n")).alias("before"))
-    ranked = slots.withColumn("within", F.row_number().over(Window.partitionBy("run", "src").orderBy("slot")) - 1)
-    blocks = F.element_at(F.lit([max(1, -(-s.size // block)) for s in found] or [1]), F.col("src") + 1).cast("long")
-    rank = F.col("before") + F.col("within")
-    out = ranked.join(before, ["src", "run"]).select("slot", "src", (rank % blocks).alias("block_no"), F.expr("(before + within)").alias("rank"), blocks.alias("blocks"))
-    # The last rounding may give a source one slot over its bound: it is left empty.
-    return out.where(F.col("rank") < MOST * F.col("blocks")).select("slot", "src", "block_no", F.expr("rank div blocks").alias("round"))
-
-
-def placed(sized: DataFrame, found: list[Source]) -> DataFrame:
-    """Adds src, source_size, target and start: the document's place in its shuffled source."""
-    spark = sized.sparkSession
-    total_docs = sum(s.docs for s in found)
-    table = spark.createDataFrame([(s.name, s.index, s.size, s.target) for s in found], "source string, src int, source_size long, target double")
-    buckets = max(1, -(-total_docs // PLACED))
-    drawn = F.xxhash64(F.lit("source-mix"), "doc_id")
-    rows = sized.join(table.withColumnRenamed("source", "__source"), sized["source"].eqNullSafe(F.col("__source"))).drop("__source")
-    rows = rows.withColumns({"drawn": drawn, "bucket": F.pmod(drawn, F.lit(buckets))})
-    sums = rows.groupBy("src", "bucket").agg(F.sum("size").alias("words"))
-    # One row a source and bucket: a small fraction of the documents.
-    before = sums.select("src", "bucket", (F.sum("words").over(Window.partitionBy("src").orderBy("bucket")) - F.col("words")).alias("before"))
-    order = Window.partitionBy("src", "bucket").orderBy("drawn", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("within", F.sum("size").over(order) - F.col("size"))
-    return rows.join(before, ["src", "bucket"]).withColumn("start", F.col("before") + F.col("within")).drop("before", "within", "bucket", "drawn", "words")
-
-
-def mix(docs: DataFrame) -> DataFrame:
-    """One row a document: doc_id, size, source_size, target, taken (in words)."""
+def sources(sized: DataFrame, weights: tuple = WEIGHTS, most: float = MOST) -> DataFrame:
+    """A table of the sources by code point, null last: source, src, source_size, target,
+    n_blocks, quota, base (words of the sources before) and first (their quotas).
+
+    The level of water-filling is found as targets() does it, each step one aggregate.
+    """
+    found = sized.groupBy("source").agg(F.sum("size").alias("source_size")).withColumns({"nil": F.col("source").isNull(), "one": F.lit(1).cast("long")})
+    found = running_totals(found, ["nil", "source"], {"one": "src", "source_size": "base"})
+    weight = F.element_at(F.lit([float(w) for w in weights]), (F.col("src") % len(weights) + 1).cast("int"))
+    found = stage_table(found.withColumn("weight", weight), "sources")
+    total = found.agg(F.sum("source_size")).first()[0] or 0
+    level = 0.0
+    while True:
+        full = most * F.col("source_size") <= level * F.col("weight")
+        r = found.agg(F.sum(F.when(~full, F.col("weight"))).alias("open"), F.sum(F.when(full, F.col("source_size"))).alias("full")).first()
+        new = (total - most * (r["full"] or 0)) / r["open"] if r["open"] else level
+        if new <= level:
+            break
+        level = new
+    size, least = F.col("source_size"), F.lit(float(most)) * F.col("source_size")
+    block = block_words(total)
+    found = found.withColumn("target", F.when(least <= level * F.col("weight"), least).otherwise(level * F.col("weight")))
+    found = found.withColumn("n_blocks", F.least(size, F.greatest(F.lit(LEAST_BLOCKS), F.expr(f"(source_size + {block - 1}) div {block}"))).cast("long"))
+    blocks = F.round(F.col("target") * F.col("n_blocks") / F.greatest(size, F.lit(1))).cast("long")
+    found = found.withColumn("quota", F.least(blocks, F.lit(int(most)) * F.col("n_blocks")))
+    return running_totals(found.drop("nil", "one", "weight"), ["src"], {"quota": "first"})
+
+
+def _reversed(x: Column, bits: int) -> Column:
+    """The lowest bits of x in reversed order."""
+    return F.conv(F.reverse(F.lpad(F.conv(x.cast("string"), 10, 2), bits, "0")), 2, 10).cast("long") if bits else F.lit(0).cast("long")
+
+
+def _earlier(point: Column, below: Column, bits: int) -> Column:
+    """How many slots before a point's own have a point below a bound.
+
+    Of the slots before, those that differ first (from the top) in a bit that is set
+    in this slot's number have its lower point bits, a 0 in that bit's place and any
+    bits above it in the point: they are evenly spaced, so a shift counts them.
+    """
+    total = F.lit(0).cast("long")
+    for q in range(bits):
+        least = point.bitwiseAND(F.lit((1 << q) - 1))
+        n = F.shiftright(below - least + F.lit((2 << q) - 1), q + 1)
+        n = F.least(F.greatest(n, F.lit(0).cast("long")), F.lit(1 << (bits - 1 - q)).cast("long"))
+        total = total + F.when(point.bitwiseAND(F.lit(1 << q)) != 0, n).otherwise(F.lit(0).cast("long"))
+    return total
+
+
+def schedule(found: DataFrame) -> DataFrame:
+    """slot, src, rank, block_no, round: what each slot of the mix takes.
+
+    Runs of points meet the sources whose interval they overlap (as equal run
+    numbers), so a source of any quota is dealt over many tasks.
+    """
+    n_slots = found.agg(F.sum("quota")).first()[0] or 0
+    bits = max(0, n_slots - 1).bit_length()
+    runs = F.sequence(F.expr(f"first div {RUN}"), F.expr(f"(first + quota - 1) div {RUN}"))
+    parts = found.where("quota > 0").select("src", "n_blocks", "first", "quota", F.explode(runs).alias("run")).repartition("run")
+    low, high = F.greatest(F.col("first"), F.col("run") * RUN), F.least(F.col("first") + F.col("quota"), (F.col("run") + 1) * RUN) - 1
+    points = parts.select("src", "n_blocks", "first", "quota", F.explode(F.sequence(low, high)).alias("point"))
+    slots = points.withColumn("slot", _reversed(F.col("point"), bits))
+    rank = _earlier(F.col("point"), F.col("first") + F.col("quota"), bits) - _earlier(F.col("point"), F.col("first"), bits)
+    slots = slots.select("slot", "src", rank.cast("long").alias("rank"), "n_blocks")
+    return slots.select("slot", "src", "rank", F.expr("rank % n_blocks").alias("block_no"), F.expr("rank div n_blocks").alias("round"))
+
+
+def placed(sized: DataFrame, found: DataFrame) -> DataFrame:
+    """Adds src, source_size, target, n_blocks and start: the document's place in its shuffled source."""
+    # A struct of the source is a key that nulls have too.
+    table = found.select(F.struct("source").alias("key"), "src", "source_size", "target", "n_blocks", "base")
+    rows = sized.withColumns({"drawn": F.xxhash64(F.lit("source-mix"), "doc_id"), "key": F.struct("source")})
+    rows = spread_join(rows, table, "key", "row").drop("key")
+    rows = running_totals(rows, ["src", "drawn", "doc_id", "size", "row"], {"size": "start"})
+    return rows.withColumn("start", F.col("start") - F.col("base")).drop("base", "drawn")
+
+
+def _mixed(docs: DataFrame) -> DataFrame:
+    """One row a document: doc_id, source, size, source_size, target, taken (in words)."""
     need_columns(docs, "doc_id", "text", "source")
-    spark = docs.sparkSession
-    sized = stage_table(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")
+    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size")).withColumn("row", F.monotonically_increasing_id())
+    sized = stage_table(sized, "sizes")
     found = sources(sized)
-    block = block_words(sum(s.size for s in found))
     rows = placed(sized, found)
-    # A document's words by block: it has at most size / block + 2 of those.
-    first, last = F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}")
-    parts = rows.where("size > 0").select("src", "doc_id", "start", "size", F.explode(F.sequence(first, last)).alias("block_no"))
-    overlap = F.least(F.col("start") + F.col("size"), (F.col("block_no") + 1) * block) - F.greatest("start", F.col("block_no") * block)
-    takes = schedule(spark, found, block).groupBy("src", "block_no").agg(F.count(F.lit(1)).alias("times"))
-    taken = parts.join(takes, ["src", "block_no"]).groupBy("src", "start", "doc_id").agg(F.sum(overlap * F.col("times")).alias("taken"))
-    keys = [F.col("a." + k).eqNullSafe(F.col("b." + k)) for k in ("src", "start", "doc_id")]
-    out = rows.alias("a").join(taken.alias("b"), keys[0] & keys[1] & keys[2] & (F.col("a.size") > 0), "left")
-    return out.select(F.col("a.doc_id").alias("doc_id"), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    # Block b of a source of S words in n blocks has the words from b * S div n on: a document's
+    # words lie in size * n / S + 2 blocks at most.
+    of = lambda at: F.expr(f"(({at} + 1) * n_blocks - 1) div source_size")
+    parts = rows.where("size > 0").select("src", "row", "start", "size", "source_size", "n_blocks", F.explode(F.sequence(of("start"), of("(start + size - 1)"))).alias("block_no"))
+    begin, end = F.expr("block_no * source_size div n_blocks"), F.expr("(block_no + 1) * source_size div n_blocks")
+    overlap = F.least(F.col("start") + F.col("size"), end) - F.greatest(F.col("start"), begin)
+    takes = schedule(found).groupBy("src", "block_no").agg(F.count(F.lit(1)).alias("times"))
+    taken = parts.join(takes, ["src", "block_no"]).groupBy("row").agg(F.sum(overlap * F.col("times")).alias("taken"))
+    out = rows.join(taken, "row", "left")
+    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+@settled("mix")
+def mix(docs: DataFrame) -> DataFrame:
+    """One row a document: doc_id, size, source_size, target, taken (in words)."""
+    return _mixed(docs).drop("source")
+
+
+@settled("copies")
+def _copies(docs: DataFrame) -> DataFrame:
+    """doc_id, source, size and how often rows of these go into the mix."""
+    taken = _mixed(docs).where("size > 0").groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("taken"), F.sum("size").alias("total"))
+    return taken.select("doc_id", "source", "size", F.expr("(2 * taken + total) div (2 * total)").alias("n")).where("n > 0")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it: taken / size, rounded half up."""
-    copies = mix(docs).where("size > 0").select(F.col("doc_id").alias("__doc_id"), F.expr("(2 * taken + size) div (2 * size)").alias("__copies"))
-    copies = copies.where("__copies > 0").groupBy("__doc_id").agg(F.max("__copies").alias("__copies"))
-    rows = docs.join(copies, docs["doc_id"].eqNullSafe(copies["__doc_id"])).drop("__doc_id")
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).drop("__copies", "__copy")
+    """The rows of docs, each as often as the mix takes it: taken / size, rounded half up.
+
+    Rows of the same doc_id, source and size are taken equally often.
+    """
+    copies = _copies(docs).toDF("__doc_id", "__source", "__size", "__copies")
+    sized = docs.withColumn("__own_size", n_words(F.col("text")))
+    same = docs["doc_id"].eqNullSafe(copies["__doc_id"]) & docs["source"].eqNullSafe(copies["__source"]) & (F.col("__own_size") == F.col("__size"))
+    rows = sized.join(copies, same)
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)

@@ -108,3 +108,40 @@ def targets(sizes, weights, most=3):
                 out[i] = most * sizes[i] if i in full else left * weights[i] / total
             return out
         full |= over
+
+
+def _drawn(doc_id):
+    """Where a document stands in its shuffled source: a 64-bit hash, signed."""
+    import struct
+
+    import xxhash
+
+    h = xxhash.xxh64_intdigest(b"source-mix", 42)
+    if doc_id is not None:
+        h = xxhash.xxh64_intdigest(struct.pack("<q", doc_id), h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def mix(rows, block, least_blocks, weights=(1, 2, 3), most=3):
+    """rows: (doc_id, source, size). The mix walked slot by slot, word by word: taken of each row, in order of rows."""
+    names = sorted({s for _, s, _ in rows}, key=lambda s: (s is None, s or ""))
+    sizes = [sum(n for _, s, n in rows if s == name) for name in names]
+    want = targets(sizes, [weights[i % len(weights)] for i in range(len(names))], most) if sum(sizes) else [0.0] * len(names)
+    words, n_blocks, quota = [], [], []
+    for name, size, target in zip(names, sizes, want):
+        order = sorted((k for k, (_, s, _) in enumerate(rows) if s == name), key=lambda k: (_drawn(rows[k][0]), rows[k][0] is not None, rows[k][0] or 0, rows[k][2], k))
+        words.append([k for k in order for _ in range(rows[k][2])])
+        n_blocks.append(min(size, max(least_blocks, -(-size // block))))
+        quota.append(min(int(target * n_blocks[-1] / max(size, 1) + 0.5), most * n_blocks[-1]))
+    owner = [i for i, q in enumerate(quota) for _ in range(q)]
+    bits, taken, used = max(0, len(owner) - 1).bit_length(), [0] * len(rows), [0] * len(names)
+    for slot in range(1 << bits):
+        point = int(f"{slot:0{bits}b}"[::-1], 2) if bits else 0
+        if point >= len(owner):
+            continue
+        i = owner[point]
+        b = used[i] % n_blocks[i]
+        used[i] += 1
+        for k in words[i][b * sizes[i] // n_blocks[i] : (b + 1) * sizes[i] // n_blocks[i]]:
+            taken[k] += 1
+    return taken

@@ -1,7 +1,5 @@
 import brute
 import pytest
-from conftest import table
-from pyspark.sql import functions as F
 
 from gridloom.llm import chat_tree, source_mix
 from gridloom.llm.queries import HOSTILE
@@ -28,20 +26,35 @@ def test_mix_comes_near_its_targets(docs, rows, empty):
     assert source_mix.mix(empty).count() == 0 and source_mix.mixed_documents(empty).columns == empty.columns
 
 
-def test_mix_block_by_block(spark):
-    """Each document's words against the schedule walked slot by slot."""
-    docs = table(spark, [(i, "w " * (i % 40), None, "ab"[i % 2]) for i in range(60)])
-    sized = docs.select("doc_id", "source", (F.col("doc_id") % 40).alias("size"))
-    found = source_mix.sources(sized)
-    block = source_mix.block_words(sum(s.size for s in found))
-    places = source_mix.placed(sized, found).collect()
-    want = {r.doc_id: 0 for r in places}
-    for slot in source_mix.schedule(spark, found, block).collect():
-        low = slot.block_no * block
-        for r in places:
-            if r.src == slot.src:
-                want[r.doc_id] += max(0, min(r.start + r["size"], low + block) - max(r.start, low))
-    assert {r.doc_id: r.taken for r in source_mix.mix(docs).collect()} == want
+@pytest.mark.parametrize("case", ["even", "small sources", "nulls and repeated rows"])
+def test_mix_walked_slot_by_slot(spark, case):
+    """Each document's words against the schedule walked in plain Python, and each source's against its target."""
+    if case == "even":
+        rows = [(i, "ab"[i % 2], i % 40) for i in range(60)]
+    elif case == "small sources":
+        rows = [(i, "big", 60) for i in range(500)] + [(1000, "mid", 17), (1001, "small", 5), (1002, "none", 0)]
+    else:
+        rows = [(None, None, 9)] * 3 + [(7, "a", 4), (7, "a", 4), (7, "a", 900), (7, "b", 3), (8, None, 50)]
+    docs = spark.createDataFrame([(d, "w " * n, s) for d, s, n in rows], "doc_id long, text string, source string")
+    got = source_mix.mix(docs).collect()
+    want = brute.mix(rows, source_mix.block_words(sum(n for _, _, n in rows)), source_mix.LEAST_BLOCKS)
+    assert sorted((str(r.doc_id), r["size"], r.taken) for r in got) == sorted((str(d), n, t) for (d, _, n), t in zip(rows, want))
+    for size, target in {(r.source_size, r.target) for r in got}:
+        taken = sum(r.taken for r in got if (r.source_size, r.target) == (size, target))
+        assert abs(taken - target) <= max(1, 0.01 * size)
+    times = source_mix.mixed_documents(docs).groupBy("doc_id").count().collect()
+    assert all(r["count"] <= 3 * sum(d == r.doc_id for d, _, _ in rows) for r in times)
+
+
+def test_schedule_spreads_sources(spark):
+    """Ranks count a source's slots in order, and every run of slots has each source close to its share."""
+    sized = spark.createDataFrame([(i, "abc"[i % 3], 400, i) for i in range(300)], "doc_id long, source string, size long, row long")
+    slots = [r.src for r in source_mix.schedule(source_mix.sources(sized)).orderBy("slot").collect()]
+    ranks = [(r.src, r["rank"]) for r in source_mix.schedule(source_mix.sources(sized)).orderBy("slot").collect()]
+    assert all(sorted(k for s, k in ranks if s == src) == [k for s, k in ranks if s == src] == list(range(slots.count(src))) for src in range(3))
+    for at in range(0, len(slots) - 64, 64):
+        for src in range(3):
+            assert abs(slots[at : at + 64].count(src) / 64 - slots.count(src) / len(slots)) < 0.1
 
 
 def chats(spark):
