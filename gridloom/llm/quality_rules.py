@@ -1,9 +1,13 @@
 """Quality rules by weak supervision.
 
-Each rule votes good (1) or bad (0) on a document, or abstains (-1). How often
-each combination of votes occurs is counted over all documents; expectation
-maximisation on these counts estimates every rule's accuracy. A document is kept
-when its posterior quality is at least MIN_POSTERIOR and it passes the base rules.
+Each rule looks at one trait and votes good (1) or bad (0) on a document, or
+abstains (-1) between its two bounds; several rules see each kind of fault. How
+often each combination of votes occurs is counted over all documents. On these
+counts expectation maximisation estimates how many documents are good and how
+many bad in each way (KINDS), and for each of these classes apart how often each
+rule gives each of its three votes. A document is kept when its posterior quality
+is at least MIN_POSTERIOR and it passes the base rules. So a bad vote that the
+other rules contradict counts as little as that rule has proved to agree with them.
 
 Defined results: null text has no words, so it fails the base rules, as does
 any text under BASE_WORDS words. Rows are judged one by one: ties and repeated
@@ -13,23 +17,34 @@ result rows. Whole texts are measured; other columns are not read.
 
 from __future__ import annotations
 
-import math
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import SPACES, need_columns, stage_table, text_or_empty, words
+from gridloom.llm.common import SPACES, need_columns, settled, stage_table, text_or_empty, words
 
 #: The characters that count as symbols, and the base rules' bounds.
 SYMBOLS, BASE_WORDS, BASE_REPEATED_PERCENT = "#*$%&|<>", 10, 20
 #: Words of a window in which repetition is looked for.
 WINDOW = 5
 MIN_POSTERIOR = 0.5
-#: Steps of the estimation, and the counts it starts each estimate from.
-STEPS, SMOOTHING = 60, 1.0
-#: The share of good documents before any vote, and the accuracy that each
-#: rule's estimate starts from, with the bounds it keeps within.
-PRIOR_GOOD, START_ACCURACY, LEAST_ACCURACY, MOST_ACCURACY = 0.5, 0.85, 0.55, 0.99
+#: Ways in which documents are bad, each with the rules that look for it.
+KINDS = {
+    "symbols": ("symbols", "plain"),
+    "shouting": ("upper", "marks", "plain"),
+    "numbers": ("digits", "plain", "word_length"),
+    "repetition": ("repeats", "stutter", "distinct", "dup_lines"),
+}
+#: Steps of the estimation, and the change of a share that ends it.
+STEPS, SETTLED = 300, 1e-8
+#: What the estimates start from: the share of good documents, the others sharing the rest;
+#: how often a rule votes rightly and wrongly. And the documents each share is smoothed with.
+START_GOOD, START_RIGHT, START_WRONG, SMOOTHING = 0.8, 0.7, 0.1, 1.0
+VOTES = (-1, 0, 1)
+#: A word of letters with one mark behind it at most.
+PLAIN = r"(?<![^\x20\x09-\x0D])\p{L}+(?:['’-]\p{L}+)*[.,;:!?]?(?![^\x20\x09-\x0D])"
 
 
 def _windows(w: Column) -> Column:
@@ -89,6 +104,8 @@ def measures(docs: DataFrame) -> DataFrame:
         count(r"\p{Lu}").alias("n_upper"),
         count(r"[0-9]").alias("n_digits"),
         count(r"[.!?,;:]").alias("n_marks"),
+        F.coalesce(F.regexp_count(text, F.lit(PLAIN)), F.lit(0)).cast("long").alias("n_plain"),
+        F.size(F.array_distinct(F.transform("w", lambda x: F.xxhash64(x)))).cast("long").alias("n_distinct"),
     )
 
 
@@ -97,71 +114,91 @@ def _ratio(a: str, b: str) -> Column:
 
 
 def rules() -> dict[str, Column]:
-    """Each rule's vote. All but one look for one fault each and abstain where they find
-    none: the lack of a fault is no merit. The last looks for prose and abstains elsewhere."""
+    """Each rule's vote, from the document's measures."""
 
-    def fault(bad: Column) -> Column:
-        return F.when(bad, 0).otherwise(-1)
+    def vote(bad: Column, good: Column) -> Column:
+        return F.when(bad, 0).when(good, 1).otherwise(-1)
 
     length, upper = _ratio("word_chars", "n_words"), _ratio("n_upper", "word_chars")
     symbols, digits, marks = _ratio("n_symbols", "n_words"), _ratio("n_digits", "word_chars"), _ratio("n_marks", "n_words")
-    lines, repeats = _ratio("n_dup_lines", "n_lines"), _ratio("n_repeat_words", "n_words")
-    prose = marks.between(0.02, 0.6) & length.between(3, 10) & (symbols < 0.05) & (upper < 0.15) & (digits < 0.1)
+    lines, repeats, plain = _ratio("n_dup_lines", "n_lines"), _ratio("n_repeat_words", "n_words"), _ratio("n_plain", "n_words")
+    stutters, distinct = _ratio("n_stutters", "n_words"), _ratio("n_distinct", "n_words")
+    many = F.col("n_words") >= 50
     return {
-        "word_length": fault((length < 2.5) | (length > 14)),
-        "symbols": fault(symbols > 0.1),
-        "upper": fault(upper > 0.3),
-        "digits": fault(digits > 0.4),
-        "marks": fault((marks > 0.9) | ((marks < 0.005) & (F.col("n_words") > 100))),
-        "dup_lines": fault(lines > 0.5),
-        "repeats": fault(repeats > 0.2),
-        "stutter": fault(_ratio("n_stutters", "n_words") > 0.3),
-        "prose": F.when(prose, 1).otherwise(-1),
+        "word_length": vote((length < 2.5) | (length > 14), length.between(3.5, 9)),
+        "symbols": vote(symbols > 0.1, symbols < 0.02),
+        "upper": vote(upper > 0.3, upper < 0.12),
+        "digits": vote(digits > 0.3, digits < 0.05),
+        "marks": vote((marks > 0.7) | (many & (marks < 0.005)), marks.between(0.02, 0.4)),
+        "plain": vote(plain < 0.7, plain > 0.85),
+        "dup_lines": vote(lines > 0.3, lines < 0.1),
+        "repeats": vote(repeats > 0.15, repeats < 0.05),
+        "stutter": vote(stutters > 0.1, stutters < 0.03),
+        "distinct": vote(many & (distinct * F.sqrt(F.col("n_words").cast("double")) < 2.5), ~many | (distinct * F.sqrt(F.col("n_words").cast("double")) > 4)),
     }
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]]) -> list[float]:
-    """EM over vote patterns and their counts: each rule's accuracy where it votes.
+@dataclass(frozen=True)
+class Estimate:
+    """The share of each class, good first, and of each class and rule the shares of the
+    rule's votes (in the order of VOTES)."""
 
-    There are at most 2^rules patterns, whatever the number of documents.
-    """
-    m = len(patterns[0][0]) if patterns else 0
-    accuracy = [START_ACCURACY] * m
-    for _ in range(STEPS):
-        right, cast = [SMOOTHING * START_ACCURACY] * m, [SMOOTHING] * m
-        for pattern, n in patterns:
-            good = posterior(pattern, accuracy)
-            for j, vote in enumerate(pattern):
-                if vote >= 0:
-                    right[j] += n * (good if vote else 1 - good)
-                    cast[j] += n
-        accuracy = [min(MOST_ACCURACY, max(LEAST_ACCURACY, r / c)) for r, c in zip(right, cast)]
-    return accuracy
+    classes: tuple[float, ...]
+    votes: tuple[tuple[tuple[float, ...], ...], ...]
 
+    def posteriors(self, patterns: np.ndarray) -> np.ndarray:
+        """P(class | votes): a row a pattern of votes, a column a class."""
+        told = np.log(np.array(self.votes))
+        logs = np.log(np.array(self.classes)) + sum(told[:, j, patterns[:, j] + 1].T for j in range(patterns.shape[1]))
+        parts = np.exp(logs - logs.max(axis=1, keepdims=True))
+        return parts / parts.sum(axis=1, keepdims=True)
 
-def log_odds(accuracy: float) -> float:
-    return math.log(accuracy / (1 - accuracy))
 
+def start(names: list[str]) -> Estimate:
+    """Rules vote rightly: bad in the classes that they look for and good in all others."""
+    bad, good = ((1 - START_RIGHT - START_WRONG, *x) for x in ((START_RIGHT, START_WRONG), (START_WRONG, START_RIGHT)))
+    kinds = [(), *KINDS.values()]
+    shares = [START_GOOD] + [(1 - START_GOOD) / len(KINDS)] * len(KINDS)
+    return Estimate(tuple(shares), tuple(tuple(bad if name in kind else good for name in names) for kind in kinds))
 
-def posterior(pattern: tuple[int, ...], accuracy: list[float]) -> float:
-    """P(good | votes); an abstention says nothing."""
-    z = log_odds(PRIOR_GOOD) + sum(log_odds(a) * (1 if v else -1) for v, a in zip(pattern, accuracy) if v >= 0)
-    return 1 / (1 + math.exp(-z))
 
+def estimate(patterns: list[tuple[tuple[int, ...], int]], now: Estimate) -> Estimate:
+    """Expectation maximisation over vote patterns and their counts.
 
+    There are at most 3^rules patterns, whatever the number of documents.
+    """
+    if not patterns:
+        return now
+    seen, n = np.array([p for p, _ in patterns]), np.array([float(n) for _, n in patterns])
+    n_classes, total = len(now.classes), n.sum()
+    for _ in range(STEPS):
+        weights = now.posteriors(seen) * n[:, None]
+        classes = (weights.sum(axis=0) + SMOOTHING / n_classes) / (total + SMOOTHING)
+        sums = np.stack([weights.T @ (seen == v) for v in VOTES], axis=2) + SMOOTHING / len(VOTES)
+        votes = sums / sums.sum(axis=2, keepdims=True)
+        change = np.abs(classes - now.classes).max()
+        now = Estimate(tuple(classes.tolist()), tuple(tuple(map(tuple, rules)) for rules in votes.tolist()))
+        if change < SETTLED:
+            break
+    return now
+
+
+@settled("quality")
 def judge(docs: DataFrame) -> DataFrame:
     """One row a document: the measures, base_failed, kept and the posterior."""
-    named = rules()
+    spark, named = docs.sparkSession, rules()
     measured = stage_table(measures(docs), "measures")
     voted = measured.select("*", *[v.cast("int").alias(f"vote_{k}") for k, v in named.items()])
     votes = [f"vote_{k}" for k in named]
     counts = voted.groupBy(*votes).agg(F.count(F.lit(1)).alias("n")).collect()
-    accuracy = estimate([(tuple(r[v] for v in votes), r["n"]) for r in sorted(counts, key=tuple)])
-    z = F.lit(log_odds(PRIOR_GOOD))
-    for v, a in zip(votes, accuracy or [PRIOR_GOOD] * len(votes)):
-        z = z + F.when(F.col(v) == 1, log_odds(a)).when(F.col(v) == 0, -log_odds(a)).otherwise(0.0)
+    patterns = sorted((tuple(r[v] for v in votes), r["n"]) for r in counts)
+    found = estimate(patterns, start(list(named)))
+    # One row a pattern of votes, of which there are at most 3^rules.
+    good = found.posteriors(np.array([p for p, _ in patterns], int).reshape(-1, len(votes)))[:, 0]
+    quality = [(*pattern, float(q)) for (pattern, _), q in zip(patterns, good)]
+    told = spark.createDataFrame(quality, ", ".join(f"{v} int" for v in votes) + ", quality double")
     failed = (F.col("n_words") < BASE_WORDS) | (100 * F.col("n_repeat_words") > BASE_REPEATED_PERCENT * F.col("n_words"))
-    out = voted.withColumns({"base_failed": failed, "quality": 1 / (1 + F.exp(-z))})
+    out = voted.join(F.broadcast(told), votes).withColumn("base_failed", failed)
     kept = ~F.col("base_failed") & (F.col("quality") >= MIN_POSTERIOR)
     first = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     return out.select(*first, kept.alias("kept"), "quality", *votes)
