@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import need_columns, stage_table, text_or_empty
+from gridloom.llm.common import need_columns, settled, spread_join, stage_table, text_or_empty
 
 #: The patterns of the base kinds, and the least length of what counts.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -30,6 +30,8 @@ COPIED_OWNERS = 2
 #: So is one in so many different documents, whoever owns them.
 COPIED_REPOSITORIES = 100
 KINDS = ("assign", "access", "hex", "opaque")
+#: Matches of a text that are placed together.
+BLOCK = 256
 
 
 def _spans(text: Column, pattern: str, group: int | None = None, least: int = 0) -> Column:
@@ -41,19 +43,28 @@ def _spans(text: Column, pattern: str, group: int | None = None, least: int = 0)
     found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
     lengths = F.transform(found, lambda m: F.length(m))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
+    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
     # Struct fields stand in for local names, so each array is computed once.
     parts = F.array(F.struct(between.alias("between"), lengths.alias("lengths"), values.alias("values")))
 
     def place(p: Column) -> Column:
+        n = F.size(p["lengths"])
+
         def at(acc: Column, i: Column) -> Column:
             start = acc["at"] + F.length(F.get(p["between"], i))
             end = start + F.get(p["lengths"], i)
             span = F.struct(start.alias("start"), end.alias("end"), F.get(p["values"], i).alias("value"))
             return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-        n = F.size(p["lengths"])
-        return F.when(n > 0, F.aggregate(F.sequence(F.lit(0), n - 1), zero, at, lambda acc: acc["out"])).otherwise(zero["out"])
+        def block(acc: Column, k: Column) -> Column:
+            """A block's own array grows by copying; the blocks before are passed on whole."""
+            zero = F.struct(acc["at"].alias("at"), none.alias("out"))
+            within = F.sequence(k * BLOCK, F.least((k + 1) * BLOCK, n) - 1)
+            return F.aggregate(within, zero, at, lambda r: F.struct(r["at"].alias("at"), F.concat(acc["blocks"], F.array(r["out"])).alias("blocks")))
+
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start:int,end:int,value:string>>>").alias("blocks"))
+        blocks = F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int"))
+        return F.when(n > 0, F.flatten(F.aggregate(blocks, zero, block, lambda acc: acc["blocks"]))).otherwise(none)
 
     spans = F.get(F.transform(parts, place), 0)
     return F.filter(spans, lambda s: F.length(s["value"]) >= least) if least else spans
@@ -108,13 +119,15 @@ def _with_kind(kind: str, order: int) -> Column:
     return F.transform(kind, named)
 
 
+@settled("findings")
 def scan(docs: DataFrame) -> DataFrame:
     """One row a document: counts, base_sha256, spans, n_live, n_copied."""
     found = stage_table(candidates(docs).withColumn("row", F.monotonically_increasing_id()), "secrets")
     owned = ownership(found).where((F.col("n_owners") >= COPIED_OWNERS) | (F.col("n_repositories") >= COPIED_REPOSITORIES)).select("value_hash", F.lit(True).alias("copied"))
     flat = [_with_kind(kind, order) for order, kind in enumerate(KINDS)]
     spans = found.select("row", F.explode(F.concat(*flat)).alias("s")).withColumn("value_hash", F.sha2(F.col("s.value").cast("binary"), 256))
-    judged = spans.join(owned, "value_hash", "left").select("row", "s", F.coalesce("copied", F.lit(False)).alias("copied"))
+    # A value may stand in any share of all documents.
+    judged = spread_join(spans, owned, "value_hash", "row", "left").select("row", "s", F.coalesce("copied", F.lit(False)).alias("copied"))
     plain = F.struct("s.start", "s.order", "s.end", "s.kind")
     per = judged.groupBy("row").agg(
         F.collect_list(F.when(F.col("s.kind") != "opaque", plain)).alias("base"),
