@@ -145,3 +145,50 @@ def mix(rows, block, least_blocks, weights=(1, 2, 3), most=3):
         for k in words[i][b * sizes[i] // n_blocks[i] : (b + 1) * sizes[i] // n_blocks[i]]:
             taken[k] += 1
     return taken
+
+
+def em(rows, classes, votes, steps):
+    """Expectation maximisation document by document. rows: votes of each; classes: shares;
+    votes[class][rule][vote + 1]: shares. The classes' shares and each row's P(first class)."""
+    import numpy as np
+
+    x = np.array(rows) + 1
+    share, v = np.array(classes, float), np.array(votes, float)
+    for _ in range(steps):
+        like = share * np.array([np.prod(v[:, np.arange(x.shape[1]), r], axis=1) for r in x])
+        post = like / like.sum(axis=1, keepdims=True)
+        share = (post.sum(axis=0) + 1 / len(share)) / (len(x) + 1)
+        sums = np.full(v.shape, 1 / 3)
+        for r, q in zip(x, post):
+            sums[:, np.arange(x.shape[1]), r] += q[:, None]
+        v = sums / sums.sum(axis=2, keepdims=True)
+    like = share * np.array([np.prod(v[:, np.arange(x.shape[1]), r], axis=1) for r in x])
+    return share, v, like[:, 0] / like.sum(axis=1)
+
+
+OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{24,}")
+
+
+def findings(rows, owners=2, repositories=100):
+    """rows: (doc_id, text, source). kind:start:end of all spans, n_live and n_copied, in order of rows."""
+    found, texts = [], {}
+    for d, t, s in rows:
+        spans = [(m.start(), 0, m.end(), "assign", m[2]) for m in ASSIGN.finditer(t or "") if len(m[2]) >= 12]
+        spans += [(m.start(), 1, m.end(), "access", m[0]) for m in re.finditer("AKIA[A-Z0-9]+", t or "") if len(m[0]) >= 18]
+        spans += [(m.start(), 2, m.end(), "hex", m[0]) for m in re.finditer("[0-9a-f]+", t or "") if len(m[0]) >= 16]
+        mixed = lambda x: re.search("[0-9]", x) and re.search("[A-Z]", x) and re.search("[a-z]", x)
+        spans += [(m.start(), 3, m.end(), "opaque", m[0]) for m in OPAQUE.finditer(t or "") if mixed(m[0])]
+        found.append(sorted(spans))
+        for x in spans:
+            texts.setdefault(x[4], {}).setdefault(s, {}).setdefault(t or "", set()).add(str(d))
+    copied = set()
+    for value, by in texts.items():
+        # Of an owner: equal texts count once, by their smallest id, and an id once.
+        n = sum(len({min(ids) for ids in of.values()}) for of in by.values())
+        if len(by) >= owners or n >= repositories:
+            copied.add(value)
+    out = []
+    for spans in found:
+        shown = [x for x in spans if x[3] != "opaque" or x[4] not in copied]
+        out.append((",".join(f"{k}:{a}:{b}" for a, _, b, k, _ in shown), sum(x[4] not in copied for x in spans), sum(x[4] in copied and x[3] != "opaque" for x in spans)))
+    return out
