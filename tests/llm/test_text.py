@@ -93,7 +93,7 @@ def planted(n, seed):
     return names, rows, truth, shares
 
 
-def test_quality_em_recovers_planted_shares_and_matches_brute_force():
+def test_quality_em_recovers_planted_shares_and_matches_brute_force(spark):
     from collections import Counter
 
     names, rows, truth, shares = planted(3000, 4)
