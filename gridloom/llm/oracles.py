@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridloom.llm.license_scan import RULES, SENTENCES
+from gridloom.llm.license_scan import HINT, RULES, SENTENCES, WIDER
 from gridloom.llm.queries import HOSTILE
 
 EXACT = r"""
@@ -36,25 +36,40 @@ def _quoted(text: str) -> str:
 
 
 def licenses() -> str:
-    """Sentences by position, known ones in order, then each rule as a run of identifiers."""
+    """Pieces by position; known sentences as runs of pieces, the longest first; then each
+    rule on what the rules before have left of the joined identifiers."""
     normal = r"trim(regexp_replace(lower({x}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+    cut = r"regexp_replace({x}, '([.!?;:])\s+', '\1' || chr(1), 'g')"
+    hard, soft = f"replace({cut.format(x='text')}, chr(10), chr(1))", rf"regexp_replace({cut.format(x='text')}, '\n[ \t\r]*\n', chr(1), 'g')"
     known = ", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in SENTENCES.items())
-    hits = ", ".join(f"CASE WHEN contains(hard, ' {' '.join(ids)} ') OR contains(soft, ' {' '.join(ids)} ') THEN '{name}' END" for name, ids in RULES)
-
-    def reading(name: str, cut: str) -> str:
-        return f"""{name} AS (SELECT doc_id, string_agg(id, ' ' ORDER BY pos) AS ids, count(*) AS n FROM
-            (SELECT doc_id, unnest(string_split({cut}, chr(1))) AS s, unnest(range(0, len(string_split({cut}, chr(1))))) AS pos FROM hinted) JOIN known ON key = {normal.format(x='s')} GROUP BY doc_id)"""
-
-    ends = r"regexp_replace(text, '([.!?;:])\s+', '\1' || chr(1), 'g')"
+    pieces = "list_transform(string_split({cut}, chr(1)), lambda x: {normal})"
+
+    def reading(name: str, at: str) -> str:
+        listed = pieces.format(cut=at, normal=normal.format(x="x"))
+        return f"""{name}_pieces AS (SELECT doc_id, {listed} AS p FROM hinted),
+{name}_at AS (SELECT doc_id, pos, array_to_string(p[pos:pos + n - 1], '|') AS key, n FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS pos FROM {name}_pieces), (SELECT DISTINCT n FROM known) WHERE pos + n - 1 <= len(p)),
+{name}_ids AS (SELECT doc_id, list(id ORDER BY pos) AS ids FROM (SELECT doc_id, pos, arg_max(id, known.n) AS id FROM {name}_at JOIN known USING (key) GROUP BY doc_id, pos) GROUP BY doc_id)"""
+
+    def matched(name: str, of: str) -> str:
+        steps, left = [f"array_to_string(list_transform({of}, lambda x: '<' || x || '>'), '') AS {name}0"], f"{name}0"
+        for k, (_, ids) in enumerate(RULES, 1):
+            rule = "".join(f"<{i}>" for i in ids)
+            steps += [f"contains({left}, '{rule}') AS {name}_hit{k}", f"replace({left}, '{rule}', '|') AS {name}{k}"]
+            left = f"{name}{k}"
+        hits = ", ".join(f"CASE WHEN {name}_hit{k} THEN '{n}' END" for k, (n, _) in enumerate(RULES, 1))
+        return ", ".join(steps) + f", list_distinct([x FOR x IN [{hits}] IF x IS NOT NULL]) AS {name}_names"
+
+    within = " ".join(f"WHEN x = '{n}' THEN len(list_intersect(s_names || o_names, {over!r})) = 0" for n, over in WIDER.items() if over)
     return rf"""
-WITH known AS (SELECT id, {normal.format(x='sentence')} AS key FROM (VALUES {known}) AS k(id, sentence)),
-hinted AS (SELECT doc_id, text FROM documents WHERE regexp_matches(text, '(?i)licen[sc]e|permi|copyright|warranty|redistribut')),
-{reading('h', f"replace({ends}, chr(10), chr(1))")},
-{reading('s', rf"regexp_replace({ends}, '\n[ \t]*\n', chr(1), 'g')")},
-both_ AS (SELECT d.doc_id, ' ' || coalesce(h.ids, '') || ' ' AS hard, ' ' || coalesce(s.ids, '') || ' ' AS soft, coalesce(h.n, 0) AS nh, coalesce(s.n, 0) AS ns
-          FROM documents d LEFT JOIN h USING (doc_id) LEFT JOIN s USING (doc_id))
-SELECT doc_id, greatest(nh, ns) AS n_sentences, replace(trim(CASE WHEN ns > nh THEN soft ELSE hard END), ' ', ',') AS sentences,
-       array_to_string(list_sort(list_distinct([x FOR x IN [{hits}] IF x IS NOT NULL])), ',') AS licenses FROM both_
+WITH known AS (SELECT id, array_to_string(p, '|') AS key, len(p) AS n FROM (SELECT id, {pieces.format(cut=cut.format(x='sentence'), normal=normal.format(x='x'))} AS p FROM (VALUES {known}) AS k(id, sentence))),
+hinted AS (SELECT doc_id, text FROM documents WHERE regexp_matches(text, {_quoted(HINT)})),
+{reading('h', hard)},
+{reading('s', soft)},
+both_ AS (SELECT d.doc_id, coalesce(h.ids, []) AS hard, coalesce(s.ids, []) AS soft FROM documents d LEFT JOIN h_ids h USING (doc_id) LEFT JOIN s_ids s USING (doc_id)),
+shown AS (SELECT doc_id, CASE WHEN len(soft) > len(hard) THEN soft ELSE hard END AS ids, CASE WHEN len(soft) > len(hard) THEN hard ELSE soft END AS other FROM both_),
+named AS (SELECT doc_id, ids, {matched('s', 'ids')}, {matched('o', 'other')} FROM shown)
+SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_sentences, array_to_string(ids, ',') AS sentences,
+       array_to_string(list_sort(list_distinct(s_names || [x FOR x IN o_names IF CASE {within} ELSE true END])), ',') AS licenses FROM named
 """
 
 
