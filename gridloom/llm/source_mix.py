@@ -30,8 +30,8 @@ from gridloom.llm.common import n_words, need_columns, running_totals, settled,
 WEIGHTS, MOST = (1, 2, 3), 3
 #: Words of a block: total size / BLOCKS, but within these bounds; and the least number of blocks of a source that has so many words.
 BLOCKS, LEAST_BLOCK, LARGEST_BLOCK, LEAST_BLOCKS = 1 << 18, 16, 2048, 256
-#: Points that are worked on together.
-RUN = 1 << 12
+#: Points that are worked on together, and the slots of a task, about.
+RUN, TASK = 1 << 12, 1 << 18
 
 
 def targets(sizes: list[int], weights: list[float], most: float = MOST) -> list[float]:
@@ -108,7 +108,9 @@ def schedule(found: DataFrame) -> DataFrame:
     n_slots = found.agg(F.sum("quota")).first()[0] or 0
     bits = max(0, n_slots - 1).bit_length()
     runs = F.sequence(F.expr(f"first div {RUN}"), F.expr(f"(first + quota - 1) div {RUN}"))
-    parts = found.where("quota > 0").select("src", "n_blocks", "first", "quota", F.explode(runs).alias("run")).repartition("run")
+    parts = found.where("quota > 0").select("src", "n_blocks", "first", "quota", F.explode(runs).alias("run"))
+    # A number of its own: by their few bytes the runs would be put together.
+    parts = parts.repartition(max(1, -(-n_slots // TASK)), "run")
     low, high = F.greatest(F.col("first"), F.col("run") * RUN), F.least(F.col("first") + F.col("quota"), (F.col("run") + 1) * RUN) - 1
     points = parts.select("src", "n_blocks", "first", "quota", F.explode(F.sequence(low, high)).alias("point"))
     slots = points.withColumn("slot", _reversed(F.col("point"), bits))
