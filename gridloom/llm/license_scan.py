@@ -137,7 +137,7 @@ for _name, _ids in RULES:
     _over = {n for n, ids in RULES if n != _name and any(ids[i : i + len(_ids)] == _ids for i in range(len(ids)))}
     WIDER[_name] = sorted(_over | set(WIDER.get(_name, [])))
 #: A known sentence has one of these words; texts without any are not cut up.
-HINT = r"(?i)licen[sc]e|permi|copyright|warranty|redistribut|public domain|free software|anyone is free|version [23]|liable|misrepresented|advertising|neither the name|eclipse"
+HINT = r"(?i)licen[sc]e|permi|copyright|warrant|redistribut|public domain|free software|anyone is free|version [23]|liable|misrepresented|advertising|neither the name|eclipse"
 #: Where a sentence ends: after its mark and white space, or at a line's end.
 BREAK, SOFT_BREAK = r"(?<=[.!?;:])\s+|\n", r"(?<=[.!?;:])\s+|\n[ \t\r]*\n"
 #: Between the pieces of a known sentence that is cut; no normalised piece holds it.
