@@ -38,17 +38,16 @@ SENTENCES = {
     "as-is-software": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
     "apache-title": "Apache License",
     "apache-version": "Version 2.0, January 2004",
+    "apache-title-version": "Apache License Version 2.0, January 2004",
     "apache-licensed": "Licensed under the Apache License, Version 2.0.",
     "apache-licensed-the": "Licensed under the Apache License, Version 2.0 (the \"License\");",
     "apache-may-not": "you may not use this file except in compliance with the License.",
     "apache-obtain": "You may obtain a copy of the License at",
-    "gnu-gpl": "GNU GENERAL PUBLIC LICENSE",
-    "gnu-lgpl": "GNU LESSER GENERAL PUBLIC LICENSE",
-    "gnu-agpl": "GNU AFFERO GENERAL PUBLIC LICENSE",
-    "gnu-2": "Version 2, June 1991",
-    "gnu-2.1": "Version 2.1, February 1999",
-    "gnu-3": "Version 3, 29 June 2007",
-    "gnu-3-affero": "Version 3, 19 November 2007",
+    "gnu-gpl-2": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "gnu-gpl-3": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "gnu-lgpl-2.1": "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+    "gnu-lgpl-3": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "gnu-agpl-3": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
     "gpl3-work": "This work is licensed under the GNU General Public License, version 3.",
     "gpl-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "gpl2-free": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
@@ -102,21 +101,22 @@ RULES = [
     ("LGPL-2.1-or-later", ["lgpl2.1-free", "lgpl-hope"]),
     ("LGPL-3.0-or-later", ["lgpl3-free", "gpl-hope"]),
     ("AGPL-3.0-or-later", ["agpl3-free", "gpl-hope"]),
-    ("GPL-2.0", ["gnu-gpl", "gnu-2"]),
-    ("GPL-3.0", ["gnu-gpl", "gnu-3"]),
-    ("LGPL-2.1", ["gnu-lgpl", "gnu-2.1"]),
-    ("LGPL-3.0", ["gnu-lgpl", "gnu-3"]),
-    ("AGPL-3.0", ["gnu-agpl", "gnu-3-affero"]),
     ("Unlicense", ["unlicense-public", "unlicense-anyone"]),
     ("CC0-1.0", ["cc0-dedicated", "cc0-warranty"]),
+    ("AGPL-3.0", ["gnu-agpl-3"]),
     ("Apache-2.0", ["apache-licensed"]),
+    ("Apache-2.0", ["apache-title-version"]),
     ("BSL-1.0", ["bsl-distributed"]),
     ("BSL-1.0", ["bsl-grant"]),
     ("CC-BY-4.0", ["cc-by-4"]),
     ("CC-BY-NC-4.0", ["cc-by-nc-4"]),
     ("CC-BY-SA-4.0", ["cc-by-sa-4"]),
     ("EPL-2.0", ["epl2-available"]),
+    ("GPL-2.0", ["gnu-gpl-2"]),
+    ("GPL-3.0", ["gnu-gpl-3"]),
     ("GPL-3.0", ["gpl3-work"]),
+    ("LGPL-2.1", ["gnu-lgpl-2.1"]),
+    ("LGPL-3.0", ["gnu-lgpl-3"]),
     ("MIT", ["mit-licensed"]),
     ("MIT", ["mit-released"]),
     ("MPL-2.0", ["mpl2-subject"]),
