@@ -32,18 +32,20 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import drop_stage, need_columns, stage_table
+from gridloom.llm.common import drop_stage, need_columns, settled, spread_join, stage_table
 from gridloom.llm.components import components
 
 #: Words of a shingle.
 WORDS = 5
 #: A column in more first parts than this is hot.
 HOT = 64
-#: A side of a join with so many numbers at most is broadcast (32 MB); beyond, both sides are shuffled.
-BROADCAST = 1 << 22
+#: Bits of a sketch of keys: 4 MB, however many keys there are. It only spares shuffling what has no
+#: partner; as more keys set more bits, it spares less, and results stay the same.
+SKETCH = 1 << 25
 
 _rng = np.random.default_rng(20_240_229)
 _BYTES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -117,23 +119,90 @@ def rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, key binary, head array<long>, bits array<long>")
 
 
-def _side(table: DataFrame, numbers: Column) -> DataFrame:
-    """A stage table as a join side, marked for broadcast if its size is small."""
-    return F.broadcast(table) if (table.agg(F.sum(numbers)).first()[0] or 0) <= BROADCAST else table
+def _places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two bits of a sketch for each key."""
+    mixed = _mixed(keys.view(np.uint64) ^ _STEP)
+    return (mixed & np.uint64(SKETCH - 1)).astype(np.int64), (mixed >> np.uint64(39)).astype(np.int64) & (SKETCH - 1)
+
+
+def sketch(keys: DataFrame):
+    """A broadcast bit table in which two bits of each key of a one-column table are set.
+
+    Tasks send the 64-bit words that they set, which are united by word: at most
+    SKETCH / 64 of them come to the driver, whatever the number of keys.
+    """
+
+    def run(batches):
+        found = np.zeros(SKETCH // 64, np.uint64)
+        for batch in batches:
+            for at in _places(batch.column(0).to_numpy(zero_copy_only=False)):
+                np.bitwise_or.at(found, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+        word = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(word, pa.int64()), pa.array(found[word].view(np.int64))], ["word", "bits"])
+
+    words = keys.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    found = np.zeros(SKETCH // 64, np.uint64)
+    found[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    return keys.sparkSession.sparkContext.broadcast(found)
+
+
+def _may_hold(found: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether each key may be in a sketch."""
+    a, b = ((found[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) for at in _places(keys))
+    return (a & b).astype(bool)
 
 
 def whole_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """rep, columns (all of them, in order) of the documents in the stage table ids (column rep)."""
+    """rep, columns (all of them, in order) of the documents in the stage table ids (column rep).
+
+    Texts whose id is not in the ids' sketch are not shuffled.
+    """
+    wanted = sketch(ids.select("rep"))
+
+    def choose(batches):
+        for batch in batches:
+            ids_ = batch.column(0)
+            mask = _may_hold(wanted.value, pc.fill_null(ids_, 0).to_numpy(zero_copy_only=False))
+            yield batch.filter(pa.array(mask & ids_.is_valid().to_numpy(zero_copy_only=False)))
 
     def run(batches):
         for batch in batches:
             made = pa.array([shingles(t.as_py()) for t in batch.column(1)], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), made], ["rep", "columns"])
 
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(_side(ids, F.lit(1)), "rep", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").mapInArrow(choose, "rep long, text string").join(ids.select("rep"), "rep", "left_semi")
     return texts.mapInArrow(run, "rep long, columns array<long>")
 
 
+def _postings(table: DataFrame, among) -> DataFrame:
+    """rep, n, t of the columns (array own) that may be in a sketch."""
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(2)
+            t = lists.flatten().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+            held = _may_hold(among.value, t)
+            row = pa.array(row[held])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(t[held])], ["rep", "n", "t"])
+
+    return table.select("rep", "n", "own").mapInArrow(run, "rep long, n long, t long")
+
+
+def _split(reps: DataFrame, marked) -> DataFrame:
+    """rep, n, and own (the first part) of rows that have no hot column, head of those that may have."""
+
+    def run(batches):
+        for batch in batches:
+            may = _may_hold(marked.value, batch.column(0).to_numpy(zero_copy_only=False))
+            heads = batch.column(2).to_pylist() if not may.all() else [None] * batch.num_rows
+            own = pa.array([None if m else h[: first_part(n)] for m, h, n in zip(may, heads, batch.column(1).to_pylist())], pa.list_(pa.int64()))
+            head = pc.if_else(pa.array(may), batch.column(2), pa.scalar(None, pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), own, head], ["rep", "n", "own", "head"])
+
+    return reps.select("rep", "n", "head").mapInArrow(run, "rep long, n long, own array<long>, head array<long>")
+
+
 def _hot(table: DataFrame, columns: str) -> DataFrame:
     return table.select(F.explode(columns).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > HOT).select("t")
 
@@ -174,7 +243,7 @@ def _within_bitmaps(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
 def _counted(near: DataFrame, sets: DataFrame) -> DataFrame:
     """u, v of the pairs in a stage table that link, counted on their whole sets."""
-    with_x = sets.toDF("x", "sx").join(_side(near, F.lit(4)), "x")
+    with_x = sets.toDF("x", "sx").join(near, "x")
     both = with_x.join(sets.toDF("y", "sy"), "y").withColumn("inter", F.size(F.array_intersect("sx", "sy")))
     return stage_table(both.where(9 * F.col("inter") >= 4 * (F.col("nx") + F.col("ny"))).select(F.col("x").alias("u"), F.col("y").alias("v")), "links")
 
@@ -228,7 +297,10 @@ def _pivot_pairs(blocks: DataFrame) -> DataFrame:
     best = F.min(F.struct((F.col("n") - F.col("f")).alias("own"), "rep", "n")).alias("best")
     some = F.min(F.struct(F.xxhash64("rep", "t").alias("h"), "rep", "n")).alias("some")
     pivots = blocks.groupBy("t").agg(best, some).select("t", F.explode(F.array(*[F.struct(F.col(f"{p}.rep").alias("rep"), F.col(f"{p}.n").alias("n")) for p in ("best", "some")])).alias("p"))
-    return _sparse_pairs(blocks.select("t", "rep", "n"), pivots.select("t", "p.rep", "p.n"), False)
+    # A block's rows are dealt over parts: a passage may stand in any share of all documents.
+    joined = spread_join(blocks.select("t", "rep", "n"), pivots.select("t", F.col("p.rep").alias("p"), F.col("p.n").alias("np")), "t", "rep")
+    near = joined.where((F.col("rep") != F.col("p")) & _near_sizes(F.col("n"), F.col("np")))
+    return near.select(F.least("rep", "p").alias("x"), F.greatest("rep", "p").alias("y"))
 
 
 def _cross_pairs(blocks: DataFrame, found: DataFrame) -> DataFrame:
@@ -236,7 +308,7 @@ def _cross_pairs(blocks: DataFrame, found: DataFrame) -> DataFrame:
     known = blocks.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     known = known.withColumn("size_class", F.floor(F.log(F.col("n").cast("double")) / math.log(1.25)).cast("long"))
     split = known.groupBy("t").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a != b").select("t")
-    known = stage_table(known.join(split, "t", "left_semi"), "blocks")
+    known = stage_table(spread_join(known, split, "t", "rep"), "blocks")
     a = known.withColumn("near_class", F.explode(F.array(*[F.col("size_class") + d for d in (-1, 0, 1)]))).alias("a")
     b = known.alias("b")
     shared = F.least("a.f", "b.f")
@@ -248,6 +320,7 @@ def _cross_pairs(blocks: DataFrame, found: DataFrame) -> DataFrame:
     return joined.select(F.col("a.rep").alias("x"), F.col("b.rep").alias("y"))
 
 
+@settled("near")
 def join(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (the smallest linked doc_id), copy_of.
 
@@ -261,21 +334,23 @@ def join(docs: DataFrame) -> DataFrame:
     drop_stage(made)
 
     hot = stage_table(_hot(reps, "head"), "hot")
-    found = reps.select("rep", F.explode("head").alias("t")).join(_side(hot, F.lit(1)), "t").groupBy("rep").agg(F.collect_list("t").alias("hots"))
-    found = _side(stage_table(found, "found"), F.size("hots") + 4)
+    held = _postings(reps.select("rep", "n", F.col("head").alias("own")), sketch(hot))
+    found = stage_table(spread_join(held, hot, "t", "rep").groupBy("rep").agg(F.collect_list("t").alias("hots")), "found")
+    split = stage_table(_split(reps, sketch(found.select("rep"))), "split")
     k = (F.floor(F.col("n") / 5) + 1).cast("int")
-    ordered = reps.select("rep", "n", "head").join(found, "rep", "left").withColumn("cold", F.array_except("head", F.coalesce("hots", _no_longs())))
-    ordered = ordered.select("rep", "n", F.slice("cold", F.lit(1), k).alias("own"), (F.size("cold") < k).alias("dense"))
-    blocks = stage_table(ordered.select("rep", "n", "dense", F.when(F.col("dense"), F.lit(None)).otherwise(F.col("own")).alias("own")), "first")
+    marked = split.where("head IS NOT NULL").select("rep", "n", "head").join(found, "rep", "left")
+    marked = marked.withColumn("cold", F.array_except("head", F.coalesce("hots", _no_longs())))
+    marked = marked.select("rep", "n", F.slice("cold", F.lit(1), k).alias("own"), (F.size("cold") < k).alias("dense"))
+    marked = stage_table(marked.select("rep", "n", "dense", F.when(F.col("dense"), F.lit(None)).otherwise(F.col("own")).alias("own")), "marked")
+    blocks = split.where("head IS NULL").select("rep", "n", F.lit(False).alias("dense"), "own").union(marked)
     dense_ids = stage_table(blocks.where("dense").select("rep", "n"), "dense-ids")
-    dense = stage_table(whole_rows(docs, dense_ids).join(_side(dense_ids, F.lit(2)), "rep"), "dense")
+    dense = stage_table(whole_rows(docs, dense_ids).join(dense_ids, "rep"), "dense")
     dense = stage_table(_dense_blocks(dense, hot), "dense-first")
 
     plain = blocks.where("NOT dense").select("rep", "n", F.explode("own").alias("t"))
     own = plain.union(dense.select("rep", "n", F.explode("own").alias("t")))
     bridge = stage_table(dense.select("rep", "n", F.explode("bridge").alias("t")), "bridge")
-    # Only columns that are hot among dense rows are bridges, and few of those.
-    across = plain.join(_side(stage_table(bridge.select("t").distinct(), "bridge-columns"), F.lit(1)), "t", "left_semi").select("rep", "n", "t")
+    across = _postings(blocks.where("NOT dense"), sketch(bridge.select("t")))
     fill = stage_table(dense.select("rep", "n", "f", F.explode("fill").alias("t")), "fill")
     pairs = _sparse_pairs(own, own, True).union(_sparse_pairs(bridge, across, False)).union(_pivot_pairs(fill))
     links = _linked(pairs, docs, reps)
