@@ -45,7 +45,7 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     hostile = spark.createDataFrame([(-1, 0, "user", HOSTILE), (-1, 1, "assistant", HOSTILE)], "conv_id long, turn long, role string, text string")
-    return chat_tree.read_back(*chat_tree.format_tree(rows.unionByName(hostile)))
+    return chat_tree.round_trip(rows.unionByName(hostile))
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

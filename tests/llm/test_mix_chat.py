@@ -94,6 +94,38 @@ def test_chat_tree_shape(spark):
             assert n.segment[n.loss_end :] == chat_tree.END and n.segment[: n.loss_begin].endswith(chat_tree.TEXT)
 
 
+def test_chat_shared_over_ranges(spark):
+    """A first turn that all share, and a conversation that a third repeat, over many small ranges: nothing
+    is emitted twice, and each conversation reads back."""
+    rows = [(i, 0, "system", "the same for all") for i in range(300)]
+    rows += [(i, 1, "user", "again" if i % 3 == 0 else f"ask {i % 7}") for i in range(300)]
+    rows += [(i, 2, "assistant", "yes" if i % 3 == 0 else f"say {i}") for i in range(300)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    aqe = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        nodes, members = chat_tree.format_tree(frame)
+        nodes, members = nodes.cache(), members.cache()
+        assert nodes.select("part").distinct().count() > 8 and members.where("entry IS NOT NULL").count() > 8
+        found = sorted(nodes.collect(), key=lambda n: n.offset)
+        got = {r.conv_id: tuple(r)[1:5] for r in chat_tree.read_back(nodes, members).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", aqe)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    paths = {tuple(t for c, _, _, t in sorted(rows) if c == i)[:k] for i in range(300) for k in (1, 2, 3)}
+    assert len(found) == len({bytes(n.key) for n in found}) == len(paths)
+    assert [n.offset for n in found] == [sum(m.length for m in found[:k]) for k in range(len(found))]
+    by = {bytes(n.key): n for n in found}
+    for n in found:
+        chain, p = [], n.parent
+        while p:
+            chain.append(by[bytes(p)])
+            p = by[bytes(p)].parent
+        assert sorted(x for c in chain for x in range(c.offset, c.offset + c.length)) == [x for i in n.attends for x in range(i.begin, i.end)]
+    assert got == {i: brute.conversation([(t, r, x) for c, t, r, x in rows if c == i]) for i in range(300)}
+
+
 def test_chat_empty(spark):
     _, frame = chats(spark)
     assert chat_tree.read_back(*chat_tree.format_tree(frame.limit(0))).count() == 0
