@@ -25,7 +25,9 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Pre-tokens that each worker keeps with their ids, twice over at most, and the longest of those.
-CACHED, CACHED_CHARS = 400_000, 64
+#: A pre-token takes 64 characters of four bytes and as many ids and 150 bytes of objects at most: 270 MB
+#: in all at worst, and about 100 MB for words of usual length.
+CACHED, CACHED_CHARS = 200_000, 64
 #: Pre-tokens of a text handled at once.
 CHUNK = 200_000
 
@@ -187,7 +189,8 @@ def _read_vocabulary(df: DataFrame, path: str):
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """All columns of docs and the ids of the text as an array."""
+    """All columns of docs and the ids of the text as an array, which replaces a column of that name."""
+    docs = docs.drop(ids)
     raw = _read_vocabulary(docs, path)
 
     def run(batches):
@@ -201,7 +204,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", out: str = "bytes") -> DataFrame:
-    """All columns and the bytes that the ids stand for; null ids give null."""
+    """All columns and the bytes that the ids stand for, which replace a column of that name; null ids give null."""
+    encoded = encoded.drop(out)
     raw = _read_vocabulary(encoded, path)
 
     def run(batches):
@@ -215,7 +219,7 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", out: str = "bytes")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text.
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text. A doc_id of any type is kept as it is.
 
     Encodes, then decodes the ids, in one pass: the ids never leave the worker.
     """
@@ -236,4 +240,5 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             columns = [pa.array([m[k] for m in made], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

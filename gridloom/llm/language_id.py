@@ -49,6 +49,7 @@ def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     keep = letter.copy()
     keep[1:] |= letter[:-1]
     runs = np.concatenate(([0], np.where(letter, points, 0)[keep], [0]))
+    runs = runs[: len(runs) - (not letter[-1])]
     two = runs[:-1] << 21 | runs[1:]
     three = two[:-1] << 21 | runs[2:]
     every = np.concatenate((runs[runs > 0], two[two > 0] | 1 << 42, three | 1 << 62))
@@ -133,7 +134,8 @@ def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> Profiles:
 
 
 def predict(docs: DataFrame, model: Profiles, text: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
-    """All columns of docs with the predicted language and its score."""
+    """All columns of docs with the predicted language and its score, which replace columns of these names."""
+    docs = docs.drop(pred, score)
 
     def run(batches):
         for batch in batches:

@@ -11,7 +11,7 @@ Kinds: email (letters and digits of the local part, each within its class),
 card (13 to 19 digits with a Luhn digit; the issuer's first digit stays), iban
 (plain or in groups of four; check digits made anew), ssn, phone (+ and 7 to 15
 digits, the country code stays; or three, three and four digits), ip (IPv4), date
-(1900 to 2099, as year-month-day, day/month/year or, where that is no date,
+(1900 to 2099, as year-month-day, year/month/day, day/month/year or, where that is no date,
 month/day/year, also with dots or hyphens and with fields of one digit).
 
 Defined results: null text stays null. Numbers that fail validation stay as they
@@ -19,7 +19,8 @@ are. Matches are leftmost; where kinds overlap the first listed that is valid
 wins. Of digits in groups, the longest valid run of 13 to 19 that starts and ends
 at group borders is a card, so a card beside other numbers is found. To undo, the
 spans column is read if it is there; without it the places are looked for again,
-and beside other numbers a pseudonym may by chance be read as another run.
+and beside other numbers a pseudonym may by chance be read as another run. A column
+that has the name of the spans column is replaced.
 Rows pass one by one, whole; empty tables give no rows. All other columns are kept.
 """
 
@@ -42,14 +43,14 @@ ROUNDS = 8
 KINDS = ("email", "iban", "card", "ssn", "phone", "ip", "date")
 #: What a value of each kind looks like.
 FORMS = {
-    "email": r"(?<![\w.+-])[A-Za-z0-9_.+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+",
+    "email": r"(?<![\w.+-])[A-Za-z0-9_.+-]+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)(?![A-Za-z0-9])",
     "card": r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "phone": r"(?<![\w+])\+\d{1,3}[ .-]?\(\d{1,4}\)(?:[ .-]?\d){4,10}(?![\w-]|\.\d)|(?<![\w+])\+\d(?:[ .-]?\d){6,14}(?![\w-]|\.\d)"
     r"|(?<![\w+-])\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?![\w-])|(?<![\w.+-])\d{3}(?:-\d{3}-|\.\d{3}\.| \d{3} )\d{4}(?![\w-]|\.\d)",
     "ip": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)",
-    "date": r"(?<![\w-])\d{4}-\d{2}-\d{2}(?![\w-])|(?<![\w/.-])\d{1,2}(?:/\d{1,2}/|\.\d{1,2}\.|-\d{1,2}-)\d{4}(?![\w/-]|\.\d)",
+    "date": r"(?<![\w-])\d{4}-\d{2}-\d{2}(?![\w-])|(?<![\w/-])\d{4}/\d{2}/\d{2}(?![\w/-])|(?<![\w/.-])\d{1,2}(?:/\d{1,2}/|\.\d{1,2}\.|-\d{1,2}-)\d{4}(?![\w/-]|\.\d)",
 }
 PATTERN = re.compile("|".join(f"(?P<{k}>{p})" for k, p in FORMS.items()), re.A)
 #: Country codes of one and of two digits (E.164); all others have three.
@@ -257,6 +258,7 @@ def pseudonymise(docs: DataFrame, key: bytes, text: str = "text", spans: str = "
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
 
     given = back and spans in docs.columns
+    docs = docs if given else docs.drop(spans)
 
     def run(batches):
         own = _made.setdefault(key, Pseudonyms(key))

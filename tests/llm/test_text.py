@@ -68,6 +68,53 @@ def test_language_held_out(docs, empty):
     assert language_id.predict(empty, model).count() == 0
 
 
+def test_language_matches_brute_force(docs, rows):
+    """The nearest profile and its score, from learned profiles, in plain Python."""
+    model = language_id.fit(docs.where(~language_id.in_fold(docs["doc_id"], 1)))
+
+    def unpacked(key):
+        size = 3 if key >> 62 else 2 if key >> 42 else 1
+        return tuple(key >> 21 * k & (1 << 20 if size == 3 and k == 2 else 1 << 21) - 1 for k in reversed(range(size)))
+
+    profiles = {}
+    for name, ranks in zip(model.languages, model.ranks):
+        order = sorted((r, k) for r, k in zip(ranks.tolist(), model.keys.tolist()) if r >= 0)
+        profiles[name] = [unpacked(k) for _, k in order]
+    extra = ["mañana über, l'été! x1y2", "a", "ÉÉ éé", "123 45", "日本 語", "der die das the of and"]
+    for text in [t for _, t, *_ in rows[:60] + rows[95:110]] + extra:
+        name, score = model.predict(text)
+        want = brute.language(profiles, text)
+        assert (name, round(score, 9)) == (want[0], round(want[1], 9)), text
+
+
+def test_outputs_replace_columns_of_their_names(spark):
+    frame = spark.createDataFrame([(1, "mail a@b.example at 10.0.0.1", "x", 2.0, [3], "y", "z")], "doc_id long, text string, lang_pred string, score double, ids array<int>, bytes string, pii string")
+    model = language_id.Profiles({"en": [1]})
+    got = language_id.predict(frame, model)
+    assert got.columns.count("score") == got.columns.count("lang_pred") == 1 and got.where(language_id.accepted()).count() == 0
+    ids = byte_bpe.encode(frame, PATH, public_tokenizers.PATTERN)
+    assert ids.columns.count("ids") == 1 and bytes(byte_bpe.decode(ids, PATH).first()["bytes"]).decode() == "mail a@b.example at 10.0.0.1"
+    assert [s.kind for s in pii_feistel.pseudonymise(frame, b"k").first()["pii"]] == ["email", "ip"]
+
+
+def test_pii_matches_brute_force(spark):
+    rng, key = random.Random(11), b"k"
+    words = ["plain", "12", "4111111111111111", "4111111111111112", "378282246310005", "10.1.2.3", "300.1.2.3", "123-45-6789", "666-45-6789", "2001-02-28", "1999-12-31", "2099-01-01", "0000000000000000"]
+    rows = [(i, " ".join(rng.choice(words + [str(rng.randrange(10**9)) + "x"]) for _ in range(8))) for i in range(120)]
+    # Digits in neighbouring words may be read as one number, so letters stand between.
+    rows = [(i, t.replace(" ", " and ")) for i, t in rows]
+    got = pii_feistel.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), key)
+    assert {r.doc_id: r.text for r in got.collect()} == {i: brute.personal(t, key) for i, t in rows}
+
+
+def test_pii_long_local_part():
+    p = pii_feistel.Pseudonyms(b"k")
+    value = "a" * 70 + "@mail.example.com"
+    assert [(x[2], x[1] - x[0]) for x in p.find(f"to {value} now")] == [("email", len(value))]
+    new, _ = p.replace("on 2024/03/15, not 2024/13/15")
+    assert re.fullmatch(r"on \d{4}/\d\d/\d\d, not 2024/13/15", new) and "2024/03/15" not in new
+
+
 def test_quality_counts_match_brute_force(docs, rows, empty):
     got = quality_rules.judge(docs).collect()
     found = sorted((str(r.doc_id), r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got)
