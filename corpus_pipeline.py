@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import byte_bpe, digest_index, language_id, ngram_join, source_mix
-from gridloom.llm.common import documents, stage_table
+from gridloom.llm.common import documents, drop_stage, stage_table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +56,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; of the tables between stages only the last one stays, as those rows are made from it."""
     docs = documents(spark, sf_dir)
-    for name, stage in STAGES[:-1]:
-        docs = stage_table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, stage_table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if k:
+            drop_stage(before)
     return STAGES[-1][1](spark, docs, sf_dir)
