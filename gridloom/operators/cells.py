@@ -63,13 +63,16 @@ def densify(cells: DataFrame, c0: int, c1: int) -> DataFrame:
 
 
 def headers(cells: DataFrame, header_row: int | None = None) -> DataFrame:
-    """col and header of each sheet's header row, by default the first populated one."""
+    """col and header of each sheet's header row, by default the first populated one: one for each
+    column of the sheet's used rectangle, '' where the row has no cell."""
+    used = bounds(cells)
     if header_row is None:
-        first = cells.groupBy(*SHEET).agg(F.min("row").alias("row"))
-        cells = cells.join(first, [*SHEET, "row"], "left_semi")
+        top = cells.join(used.select(*SHEET, F.col("r0").alias("row")), [*SHEET, "row"], "left_semi")
     else:
-        cells = cells.where(F.col("row") == header_row)
-    return cells.select(*SHEET, "col", F.coalesce("display", F.lit("")).alias("header"))
+        top = cells.where(F.col("row") == header_row)
+    by = top.groupBy(*SHEET).agg(F.map_from_entries(F.collect_list(F.struct("col", F.coalesce("display", F.lit(""))))).alias("by"))
+    wide = used.join(by, SHEET, "left").select(*SHEET, "by", F.explode(F.sequence("c0", "c1")).alias("col"))
+    return wide.select(*SHEET, "col", F.coalesce(F.try_element_at("by", F.col("col")), F.lit("")).alias("header"))
 
 
 def value_as(kind: str, c: Column) -> Column:

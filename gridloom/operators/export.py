@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from gridloom.operators.cells import SHEET
 
-#: The largest export.
-MAX_BYTES = 256 << 20
+#: The largest export, and the widest Markdown table.
+MAX_BYTES, MARKDOWN_COLUMNS = 256 << 20, 256
 
 
 def quoted(text: Column, delimiter: str = ",") -> Column:
@@ -33,12 +33,12 @@ def html_escape(text: Column) -> Column:
 
 
 def markdown_escape(text: Column) -> Column:
-    text = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
-    return F.regexp_replace(text, "\r\n|\r|\n", "<br>")
+    """Bars with a backslash before; each CR and each LF is a line break. Backslashes stay single."""
+    return F.regexp_replace(F.replace(text, F.lit("|"), F.lit("\\|")), "[\r\n]", "<br>")
 
 
-def _row_cells(cells: DataFrame, *more: Column) -> DataFrame:
-    return cells.groupBy(*SHEET, "row").agg(F.array_sort(F.collect_list(F.struct("col", F.coalesce("display", F.lit("")).alias("display"), *more))).alias("cells"))
+def _row_cells(cells: DataFrame, keep: list[str] = ()) -> DataFrame:
+    return cells.groupBy(*SHEET, "row", *keep).agg(F.array_sort(F.collect_list(F.struct("col", F.coalesce("display", F.lit("")).alias("display")))).alias("cells"))
 
 
 def text_rows(cells: DataFrame) -> DataFrame:
@@ -70,8 +70,10 @@ def csv_rows(cells: DataFrame, delimiter: str = ",", pad_leading: bool = False,
     return rows.select(*SHEET, "row", line.alias("line"))
 
 
-def html_rows(cells: DataFrame, width: Column, merges: DataFrame | None = None) -> DataFrame:
-    """One <tr> a populated row, from column 0 to width - 1. merges (r0, c0, r1, c1) span."""
+def html_rows(cells: DataFrame, width: Column | None = None, merges: DataFrame | None = None) -> DataFrame:
+    """One <tr> a populated row, from column 0 to width - 1, by default to its own last cell.
+    merges (r0, c0, r1, c1) span."""
+    width = F.element_at("cells", -1)["col"] + 1 if width is None else width
     rows = _row_cells(cells).withColumn("by", F.map_from_entries(F.transform("cells", lambda c: F.struct(c["col"], c["display"]))))
     none = F.array().cast("array<struct<r0:int,c0:int,r1:int,c1:int>>")
     if merges is None:
@@ -92,15 +94,61 @@ def html_rows(cells: DataFrame, width: Column, merges: DataFrame | None = None)
     return rows.select(*SHEET, "row", F.concat(F.lit("<tr>"), line, F.lit("</tr>")).alias("line"))
 
 
-def markdown_rows(cells: DataFrame, width: Column) -> DataFrame:
-    rows = _row_cells(cells).withColumn("by", F.map_from_entries(F.transform("cells", lambda c: F.struct(c["col"], c["display"]))))
+def markdown_rows(cells: DataFrame, width: Column, keep: list[str] = ()) -> DataFrame:
+    """One line a populated row, from column 0 to width - 1; columns to keep are the same in all of a row's cells."""
+    rows = _row_cells(cells, keep=keep).withColumn("by", F.map_from_entries(F.transform("cells", lambda c: F.struct(c["col"], c["display"]))))
     texts = F.transform(F.sequence(F.lit(0), width - 1), lambda c: markdown_escape(F.coalesce(F.try_element_at("by", c), F.lit(""))))
-    return rows.select(*SHEET, "row", F.concat(F.lit("| "), F.array_join(texts, " | "), F.lit(" |")).alias("line"))
+    return rows.select(*SHEET, "row", *keep, F.concat(F.lit("| "), F.array_join(texts, " | "), F.lit(" |")).alias("line"))
+
+
+def document(lines: DataFrame, newline: str = "\n", max_bytes: int = MAX_BYTES, bom: bool = False) -> DataFrame:
+    """The lines of each sheet as one text; one that is too long is an error, not cut.
+
+    The lengths are summed first, so no task gathers the lines of a sheet that is too long.
+    """
+    mark = "\ufeff" if bom else ""
+    each = F.octet_length("line") + len(newline.encode())
+    sizes = lines.groupBy(*SHEET).agg((F.sum(each) - len(newline.encode()) + len(mark.encode())).alias("bytes"))
+    fits = F.when(F.col("bytes") <= max_bytes, True).otherwise(F.raise_error(F.lit("export is larger than its limit")).cast("boolean"))
+    whole = lines.join(sizes.where(fits), SHEET).groupBy(*SHEET).agg(F.array_sort(F.collect_list(F.struct("row", "line"))).alias("lines"))
+    return whole.select(*SHEET, F.concat(F.lit(mark), F.array_join(F.col("lines.line"), newline)).alias("text"))
 
 
-def document(lines: DataFrame, newline: str = "\n", max_bytes: int = MAX_BYTES) -> DataFrame:
-    """The lines of each sheet as one text; one that is too long is an error, not cut."""
-    whole = lines.groupBy(*SHEET).agg(F.array_sort(F.collect_list(F.struct("row", "line"))).alias("lines"))
-    text = F.array_join(F.col("lines.line"), newline)
-    size = F.octet_length(text)
-    return whole.select(*SHEET, F.when(size <= max_bytes, text).otherwise(F.raise_error(F.lit("export is larger than its limit"))).alias("text"))
+def html_document(cells: DataFrame, merges: DataFrame | None = None, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """Each sheet as one <table> fragment."""
+    text = document(html_rows(cells, None, merges), "", max_bytes)
+    return text.select(*SHEET, F.concat(F.lit("<table>"), "text", F.lit("</table>")).alias("text"))
+
+
+def markdown_document(cells: DataFrame, merges: DataFrame | None = None, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """Each sheet as a Markdown table, the first populated row as its header; sheets with merges
+    or of more than MARKDOWN_COLUMNS columns, which Markdown cannot hold, as HTML."""
+    widths = cells.groupBy(*SHEET).agg((F.max("col") + 1).alias("width"), F.min("row").alias("first"))
+    if merges is not None:
+        merged = merges.select(*SHEET).distinct().withColumn("merged", F.lit(True))
+        widths = widths.join(merged, SHEET, "left")
+    else:
+        widths = widths.withColumn("merged", F.lit(None).cast("boolean"))
+    widths = widths.withColumn("html", F.coalesce("merged", F.lit(False)) | (F.col("width") > MARKDOWN_COLUMNS))
+    plain = widths.where(~F.col("html")).select(*SHEET, "width", "first")
+    rows = markdown_rows(cells.join(plain.select(*SHEET, "width"), SHEET), F.col("width"), ["width"])
+    rows = rows.join(plain.select(*SHEET, "first"), SHEET)
+    rule = F.concat(F.lit("|"), F.repeat(F.lit(" --- |"), F.col("width")))
+    rows = rows.select(*SHEET, "row", F.when(F.col("row") == F.col("first"), F.concat("line", F.lit("\n"), rule)).otherwise(F.col("line")).alias("line"))
+    other = cells.join(widths.where("html").select(*SHEET), SHEET, "left_semi")
+    return document(rows, "\n", max_bytes).unionByName(html_document(other, merges, max_bytes))
+
+
+def workbook_text(cells: DataFrame, sheets: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """workbook_id and text: the texts of its worksheets in order, each under a line '# name'."""
+    own = sheets.where("sheet_type = 'WorkSheet'").select(*SHEET, "name")
+    each = own.join(document(text_rows(cells), "\n", max_bytes), SHEET, "left")
+    block = F.concat(F.lit("# "), "name", F.lit("\n"), F.coalesce("text", F.lit("")), F.lit("\n"))
+    whole = each.groupBy("workbook_id").agg(F.array_sort(F.collect_list(F.struct("sheet_index", block.alias("text")))).alias("parts"))
+    return whole.select("workbook_id", F.array_join(F.col("parts.text"), "\n").alias("text"))
+
+
+def extract_text(cells: DataFrame, sheets: DataFrame) -> DataFrame:
+    """workbook_id, text and error: no_text, and no text, where there is no letter or digit in it."""
+    some = F.col("text").rlike(r"[\p{IsAlphabetic}\p{N}]")
+    return workbook_text(cells, sheets).select("workbook_id", F.when(some, F.col("text")).alias("text"), F.when(~some, "no_text").alias("error"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,19 +15,22 @@ def levels(nodes: DataFrame, edges: DataFrame, max_depth: int = MAX_DEPTH) -> Da
     """node and level: 0 without needs, else one over the highest level needed; NULL for a
     chain of max_depth or more, in a cycle, or above one. edges: node, needs.
 
-    Each round settles the nodes whose needs are all settled, and drops their edges.
+    Each round settles the nodes whose last needs the round before settled: their number of
+    open needs is counted down by the edges to those, so a round reads the edges and the open
+    nodes once, whatever has been settled before.
     """
-    pending = edges.join(nodes.select(F.col("node").alias("needs")), "needs", "left_semi").select("node", "needs").distinct()
-    done = nodes.join(pending.select("node").distinct(), "node", "left_anti").withColumn("level", F.lit(0))
-    for _ in range(max_depth - 1):
-        known = done.select(F.col("node").alias("needs"), "level")
-        counts = pending.join(known, "needs", "left").groupBy("node").agg(F.count(F.lit(1)).alias("all"), F.count("level").alias("settled"), (F.max("level") + 1).alias("level"))
-        ready = _kept(counts.where(F.col("all") == F.col("settled")).select("node", "level"))
-        if ready.isEmpty():
+    needs = _kept(edges.join(nodes.select(F.col("node").alias("needs")), "needs", "left_semi").select("node", "needs").distinct())
+    open_ = needs.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    front = _kept(nodes.select("node").join(open_, "node", "left_anti"))
+    open_, found = _kept(open_), [front.withColumn("level", F.lit(0))]
+    for level in range(1, max_depth):
+        met = needs.join(front.withColumnRenamed("node", "needs"), "needs").groupBy("node").agg(F.count(F.lit(1)).alias("met"))
+        now = _kept(open_.join(met, "node", "left").select("node", (F.col("n") - F.coalesce("met", F.lit(0))).alias("n")))
+        front, open_ = now.where("n = 0").select("node"), now.where("n > 0")
+        if front.isEmpty():
             break
-        done = done.unionByName(ready)
-        pending = _kept(pending.join(ready, "node", "left_anti"))
-    return nodes.join(done, "node", "left")
+        found.append(front.withColumn("level", F.lit(level)))
+    return nodes.join(reduce(DataFrame.unionByName, found), "node", "left")
 
 
 def _kept(df: DataFrame) -> DataFrame:

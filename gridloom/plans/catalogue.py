@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.functions import dates, scalar
+from gridloom.functions import casts, dates, scalar
 from gridloom.functions import values as V
 from gridloom.operators import cells as C
 from gridloom.operators import export as X
@@ -317,6 +317,78 @@ def cast_or_string(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "lineitem").select(*LINE, value.alias("value"), F.when(value.isNull(), text).alias("error_text"))
 
 
+# Cells of every kind: numbers in quarters, whole texts and others, booleans, errors and missing ones.
+
+_CELLS = f"""(SELECT event_id, kind, num, str, b, err, CASE kind WHEN 'number' THEN CASE WHEN num = trunc(num) THEN format('{{:.0f}}', num) ELSE num::VARCHAR END WHEN 'text' THEN str
+              WHEN 'bool' THEN CASE WHEN b THEN 'TRUE' ELSE 'FALSE' END WHEN 'error' THEN err ELSE '' END AS display
+              FROM (SELECT event_id, {_MIXED} AS kind, CASE WHEN {_MIXED} = 'number' THEN round(value * 4) / 4 END AS num,
+                    CASE WHEN {_MIXED} = 'text' THEN CASE WHEN event_id % 7 = 3 THEN CAST(event_id % 300 AS VARCHAR) ELSE event_type END END AS str,
+                    CASE WHEN {_MIXED} = 'bool' THEN event_id % 2 = 0 END AS b, CASE WHEN {_MIXED} = 'error' THEN '#N/A' END AS err FROM events))"""
+
+
+def event_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """event_id and c, a cell; NULL for a missing one."""
+    kind, eid = F.expr(_MIXED), F.col("event_id")
+    num = F.when(kind == "number", F.round(F.col("value") * 4) / 4)
+    text = F.when(kind == "text", F.when(eid % 7 == 3, (eid % 300).cast("string")).otherwise(F.col("event_type")))
+    flag, err = F.when(kind == "bool", eid % 2 == 0), F.when(kind == "error", "#N/A")
+    shown = F.coalesce(V.format_number(num), text, F.when(flag, "TRUE").when(~flag, "FALSE"), err, F.lit(""))
+    cell = F.struct(kind.alias("kind"), num.alias("num"), text.alias("str"), flag.alias("bool"), err.alias("err"), shown.alias("display"))
+    return read(spark, sf_dir, "events").select("event_id", F.when(kind != "blank", cell).alias("c"))
+
+
+def _strict(kinds: list[str], optional: bool = False) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        made = [(k, (casts.optional if optional else casts.strict)(k, F.col("c"))) for k in kinds]
+        return event_cells(spark, sf_dir).select("event_id", *[x["value"].alias(f"{k}_value") for k, x in made], *[x["error"].alias(f"{k}_error") for k, x in made])
+
+    return run
+
+
+def _strict_sql(values: dict[str, str], beyond: dict[str, str] = {}, optional: bool = False) -> str:
+    empty = "NULL" if optional else "'empty cell'"
+    errors = {k: f"CASE WHEN kind = 'blank' THEN {empty} WHEN ({v}) IS NULL THEN 'expected {k}'" + (f" WHEN {beyond[k]} THEN 'out of range'" if k in beyond else "") + " END" for k, v in values.items()}
+    shown = [f"CASE WHEN kind != 'blank'" + (f" AND NOT ({beyond[k]})" if k in beyond else "") + f" THEN {v} END AS {k}_value" for k, v in values.items()]
+    return f"SELECT event_id, {', '.join(shown)}, {', '.join(f'{e} AS {k}_error' for k, e in errors.items())} FROM {_CELLS}"
+
+
+_WHOLE = "CASE kind WHEN 'number' THEN CASE WHEN num = trunc(num) THEN num::BIGINT END WHEN 'text' THEN try_cast(str AS BIGINT) END"
+_FLOAT = "CASE kind WHEN 'number' THEN num WHEN 'text' THEN try_cast(str AS DOUBLE) END"
+_SHOWN = "CASE kind WHEN 'text' THEN str WHEN 'error' THEN err ELSE display END"
+CATALOGUE["cast_strict_f64"] = _strict(["f64"]), _strict_sql({"f64": _FLOAT})
+CATALOGUE["cast_strict_ints"] = _strict(["i64", "u8", "i8"]), _strict_sql({k: _WHOLE for k in ("i64", "u8", "i8")}, {"u8": f"({_WHOLE}) NOT BETWEEN 0 AND 255", "i8": f"({_WHOLE}) NOT BETWEEN -128 AND 127"})
+CATALOGUE["cast_strict_str_bool"] = _strict(["str", "bool"]), _strict_sql({"str": _SHOWN, "bool": "CASE WHEN kind = 'bool' THEN b END"})
+CATALOGUE["cast_strict_option"] = _strict(["f64", "str"], True), _strict_sql({"f64": _FLOAT, "str": _SHOWN}, optional=True)
+
+
+def _moments_sql(then: str) -> str:
+    day = "CASE WHEN num < 60 THEN DATE '1899-12-31' ELSE DATE '1899-12-30' END + floor(num)::INT"
+    clock = "CASE (num - floor(num)) * 4 WHEN 0 THEN '00:00:00' WHEN 1 THEN '06:00:00' WHEN 2 THEN '12:00:00' ELSE '18:00:00' END"
+    made = {
+        "date": f"strftime({day}, '%Y-%m-%d')", "time": clock, "datetime": f"strftime({day}, '%Y-%m-%d') || ' ' || {clock}", "duration": "CAST(num * 86400000 AS BIGINT)",
+        "date_1904": "strftime(DATE '1904-01-01' + floor(num)::INT, '%Y-%m-%d')", "time_1904": clock, "datetime_1904": f"strftime(DATE '1904-01-01' + floor(num)::INT, '%Y-%m-%d') || ' ' || {clock}",
+    }
+    return f"SELECT event_id, {', '.join(then.format(value=f'CASE WHEN num IS NOT NULL THEN {v} END', name=k) for k, v in made.items())} FROM {_CELLS}"
+
+
+def _moments() -> dict[str, Column]:
+    """Each cast's value, dates and datetimes as text."""
+    made = {k: casts.moment_or_none(k, F.col("c")) for k in casts.TIMES} | {f"{k}_1904": casts.moment_or_none(k, F.col("c"), True) for k in casts.TIMES[:3]}
+    forms = {"date": "yyyy-MM-dd", "datetime": "yyyy-MM-dd HH:mm:ss"}
+    return {k: F.date_format(v, forms[k.removesuffix("_1904")]) if k.removesuffix("_1904") in forms else v for k, v in made.items()}
+
+
+@query(_moments_sql("{value} AS {name}"))
+def cast_moments_or_none(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_cells(spark, sf_dir).select("event_id", *[v.alias(k) for k, v in _moments().items()])
+
+
+@query(_moments_sql("{value} AS {name}, CASE WHEN num IS NULL THEN display END AS {name}_text"))
+def cast_moments_or_string(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = {k: casts.or_string(v, F.col("c")) for k, v in _moments().items()}
+    return event_cells(spark, sf_dir).select("event_id", *[v["value"].alias(k) for k, v in made.items()], *[v["text"].alias(f"{k}_text") for k, v in made.items()])
+
+
 @query("SELECT p_partkey, p_brand, p_size FROM part WHERE p_partkey BETWEEN 101 AND 300")
 def table_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The body of a named table of rows 100 to 300: its range without the header row."""
@@ -447,6 +519,68 @@ def csv_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.select(F.octet_length("text").cast("long").alias("bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
 
 
+# A workbook whose sheets are the regions and whose rows are their nations: names with bars,
+# quotes, line ends and backslashes, an empty column, and a merge in each sheet of an odd number.
+
+_NATION = "replace(replace(replace(replace(n_name, 'A', '|'), 'E', chr(13) || chr(10)), 'I', chr(92)), 'U', '<' || chr(34))"
+
+
+def nation_cells(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Its cells, sheets and merges."""
+    name = F.expr("replace(replace(replace(replace(n_name, 'A', '|'), 'E', char(13) || char(10)), 'I', char(92)), 'U', '<' || char(34))")
+    nations = read(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey", name.alias("name"), F.lit(None).cast("string").alias("none"), F.length("n_name").alias("size"))
+    cells = C.melt(nations.select("*"), ["name", "none", "size"], F.col("n_nationkey"))
+    by = nations.select(F.col("n_nationkey").cast("int").alias("row"), F.col("n_regionkey").cast("int").alias("__sheet"))
+    cells = cells.join(by, "row").withColumn("sheet_index", F.col("__sheet")).drop("__sheet").withColumn("workbook_id", F.lit("world"))
+    sheets = read(spark, sf_dir, "region").select(F.lit("world").alias("workbook_id"), F.col("r_regionkey").cast("int").alias("sheet_index"), F.col("r_name").alias("name"), F.when(F.col("r_regionkey") == 4, "ChartSheet").otherwise("WorkSheet").alias("sheet_type"))
+    first = cells.groupBy("workbook_id", "sheet_index").agg(F.min("row").alias("r0"))
+    merges = first.where("sheet_index % 2 = 1").select("workbook_id", "sheet_index", "r0", F.lit(0).alias("c0"), F.col("r0").alias("r1"), F.lit(1).alias("c1"))
+    return cells, sheets, merges
+
+
+_ESCAPED = f"replace(replace(replace(replace({_NATION}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;')"
+_HTML_ROW = f"'<tr><td' || CASE WHEN merged AND n_nationkey = first THEN ' colspan=\"2\">' || {_ESCAPED} || '</td>' ELSE '>' || {_ESCAPED} || '</td><td></td>' END || '<td>' || length(n_name) || '</td></tr>'"
+_NATIONS = "(SELECT *, min(n_nationkey) OVER (PARTITION BY n_regionkey) AS first FROM nation)"
+
+
+@query(f"SELECT sheet_index, '<table>' || string_agg(line, '' ORDER BY n_nationkey) || '</table>' AS text FROM (SELECT n_regionkey::INT AS sheet_index, n_nationkey, {_HTML_ROW} AS line FROM (SELECT *, n_regionkey % 2 = 1 AS merged FROM {_NATIONS})) GROUP BY 1")
+def html_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells, _, merges = nation_cells(spark, sf_dir)
+    return X.html_document(cells, merges).select("sheet_index", "text")
+
+
+_MARKDOWN_ROW = f"'| ' || regexp_replace(replace({_NATION}, '|', chr(92) || '|'), '[\\r\\n]', '<br>', 'g') || ' |  | ' || length(n_name) || ' |' || CASE WHEN n_nationkey = first THEN chr(10) || '| --- | --- | --- |' ELSE '' END"
+
+
+@query(f"""SELECT sheet_index, CASE WHEN sheet_index % 2 = 1 THEN '<table>' || string_agg(html, '' ORDER BY n_nationkey) || '</table>' ELSE string_agg(line, chr(10) ORDER BY n_nationkey) END AS text
+           FROM (SELECT n_regionkey::INT AS sheet_index, n_nationkey, {_HTML_ROW} AS html, {_MARKDOWN_ROW} AS line FROM (SELECT *, n_regionkey % 2 = 1 AS merged FROM {_NATIONS})) GROUP BY 1""")
+def markdown_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sheets with merges are HTML."""
+    cells, _, merges = nation_cells(spark, sf_dir)
+    return X.markdown_document(cells, merges).select("sheet_index", "text")
+
+
+_SHEET_TEXT = f"SELECT n_regionkey, string_agg({_NATION} || chr(9) || length(n_name), chr(10) ORDER BY n_nationkey) AS t FROM nation GROUP BY 1"
+
+
+@query(f"SELECT 'world' AS workbook_id, string_agg('# ' || r_name || chr(10) || t || chr(10), chr(10) ORDER BY r_regionkey) AS text FROM region JOIN ({_SHEET_TEXT}) ON r_regionkey = n_regionkey WHERE r_regionkey != 4")
+def workbook_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chart sheets are left out."""
+    cells, sheets, _ = nation_cells(spark, sf_dir)
+    return X.workbook_text(cells, sheets)
+
+
+@query("""SELECT p_brand AS workbook_id, CASE WHEN n > 0 THEN '# ' || CASE WHEN p_brand LIKE '%1' THEN '-' ELSE 'P' END || chr(10) || t || chr(10) END AS text, CASE WHEN n = 0 THEN 'no_text' END AS error
+          FROM (SELECT p_brand, count(*) FILTER (p_brand NOT LIKE '%1') AS n, string_agg(CASE WHEN p_brand LIKE '%1' THEN '--' ELSE p_name END, chr(10) ORDER BY p_partkey) AS t FROM part GROUP BY 1)""")
+def extract_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A workbook a brand; those whose texts hold no letter or digit have no text."""
+    bare = F.col("p_brand").like("%1")
+    parts = read(spark, sf_dir, "part").withColumn("said", F.when(bare, "--").otherwise(F.col("p_name")))
+    cells = parts.select(F.col("p_brand").alias("workbook_id"), F.lit(0).alias("sheet_index"), F.col("p_partkey").cast("int").alias("row"), F.lit(0).alias("col"), F.col("said").alias("display"))
+    sheets = parts.select(F.col("p_brand").alias("workbook_id"), F.lit(0).alias("sheet_index"), F.when(bare, "-").otherwise("P").alias("name"), F.lit("WorkSheet").alias("sheet_type")).distinct()
+    return X.extract_text(cells, sheets)
+
+
 # Reports
 
 
