@@ -6,11 +6,11 @@ import re
 
 from gridloom.plans.grid import number_text
 from gridloom.sources import numfmt
-from gridloom.sources.model import ReadError, Workbook, open_zip, part
+from gridloom.sources.model import MAX_TEXT, ReadError, Workbook, open_zip, part
 from gridloom.sources.xlsx import every, get, local, tree
 
-#: Copies of one repeated cell or row that are written out, and of all in a sheet.
-MAX_REPEAT = 100_000
+#: What a copy of a repeated cell counts besides its text, against the budget of MAX_TEXT; and the grid.
+COPY_COST, ROWS, COLUMNS = 2048, 1 << 20, 16_384
 
 
 def is_ods(data: bytes) -> bool:
@@ -56,32 +56,48 @@ def read(data: bytes) -> Workbook:
     return book
 
 
+class _Copies:
+    """The budget for copies of repeated cells; cells that are written out themselves cost nothing here."""
+
+    def __init__(self, book: Workbook):
+        self.book, self.left = book, MAX_TEXT
+
+    def take(self, text: str) -> bool:
+        cost = len(text.encode()) + COPY_COST
+        if cost > self.left:
+            self.left, self.book.truncated = 0, True
+            return False
+        self.left -= cost
+        return True
+
+
 def _table(book: Workbook, index: int, table, hidden: bool) -> None:
-    title, row, left = get(table, "name", ""), 0, MAX_REPEAT
+    title, row, copies = get(table, "name", ""), 0, _Copies(book)
     book.sheets.append((index, title, "WorkSheet", "hidden" if hidden else "visible", None, None, None, False, True, None, get(table, "protected") == "true", None))
     for r in every(table, "table-row"):
-        times, col, found = int(get(r, "number-rows-repeated") or 1), 0, []
+        times, col, found, notes = int(get(r, "number-rows-repeated") or 1), 0, [], []
         for c in r:
             if local(c.tag) not in ("table-cell", "covered-table-cell"):
                 continue
             across = int(get(c, "number-columns-repeated") or 1)
             made = _value(c)
             if made and local(c.tag) == "table-cell":
-                found += [(col + k, *made) for k in range(min(across, left))]
-            for a in (x for x in c if local(x.tag) == "annotation"):
-                book.add_range(index, "comment", (row, col, row, col), text=_paragraphs(a))
-            for a in every(c, "a"):
-                book.add_range(index, "hyperlink", (row, col, row, col), text=get(a, "href"))
+                for k in range(min(across, COLUMNS - col)):
+                    if k and not copies.take(made[1]):
+                        break
+                    found.append((col + k, *made))
+            notes += [("comment", col, _paragraphs(a)) for a in c if local(a.tag) == "annotation"] + [("hyperlink", col, get(a, "href")) for a in every(c, "a")]
             down, wide = int(get(c, "number-rows-spanned") or 1), int(get(c, "number-columns-spanned") or 1)
             if down > 1 or wide > 1:
                 book.add_range(index, "merge", (row, col, row + down - 1, col + wide - 1))
             col += across
-        copies = min(times, left // max(1, len(found))) if found else 0
-        left -= copies * len(found)
-        book.truncated |= bool(found) and copies < times
-        for k in range(copies):
+        for k in range(min(times, ROWS - row) if found or notes else 0):
+            if k and not all(copies.take(x) for x in (*(f[2] for f in found), *(n[2] or "" for n in notes))):
+                break
             for at, value, shown, kind, source in found:
                 book.add_cell(index, title, row + k, at, value, shown, kind, source)
+            for kind, at, text in notes:
+                book.add_range(index, kind, (row + k, at, row + k, at), text=text)
         row += times
 
 

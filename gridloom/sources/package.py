@@ -413,6 +413,9 @@ class Editor:
                     for c in list(e.childNodes):
                         e.removeChild(c)
                     e.appendChild(e.ownerDocument.createTextNode(made))
+            for e in _all(p.tree(path), "hyperlink"):
+                if e.hasAttribute("location"):
+                    e.setAttribute("location", rewritten(e.getAttribute("location"), old, new))
         self._stale()
 
     def rename_sheet(self, old: str, new: str) -> None:

@@ -16,7 +16,9 @@ import glob
 import os
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from gridloom import schema
@@ -36,11 +38,12 @@ def open_bytes(data: bytes, codepage: int | None = None) -> Workbook:
 def rows(path: str, data: bytes, table: str, mode: str = "PERMISSIVE", sheet: str | None = None, codepage: int | None = None) -> Iterator[tuple]:
     try:
         book = open_bytes(data, codepage)
-    except ReadError as e:
+    except Exception as e:  # whatever a damaged file leads to is that file's error, not the scan's
         if mode.upper() == "FAILFAST":
             raise
         if table == "errors":
-            yield path, e.kind, str(e)
+            kind = e.kind if isinstance(e, ReadError) else "xml" if data[:2] == b"PK" else "biff"
+            yield path, kind, str(e) or type(e).__name__
         return
     if table == "errors":
         if book.truncated:
@@ -86,7 +89,6 @@ class WorkbookSource(DataSource):
 
 def workbooks(spark: SparkSession, path: str, table: str = "cells", **options) -> DataFrame:
     """The same tables from any file system that Spark reads."""
-    import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -104,19 +106,54 @@ def workbooks(spark: SparkSession, path: str, table: str = "cells", **options) -
     return files.mapInArrow(run, kind)
 
 
-def to_workbooks(cells: DataFrame) -> DataFrame:
-    """workbook_id and content: an .xlsx file for each workbook of a cells table (effective cells)."""
-    import pandas as pd
+def to_workbooks(cells: DataFrame, sheets: DataFrame | None = None, names: DataFrame | None = None, ranges: DataFrame | None = None) -> DataFrame:
+    """workbook_id, content (an .xlsx file) and error for each workbook of a cells table (effective cells).
+
+    The tables sheets, names and ranges (schema.py), where given, add the sheets' states, order
+    and frozen panes, defined names and merges; a sheet without cells is written too. A workbook
+    with a cell that no sheet can hold has no content, and error says which rule and where.
+    """
+    held = "struct<kind:string,num:double,str:string,bool:boolean,err:string>"
+    value = F.when(F.col("kind") == "formula", F.col("cached").cast(held)).otherwise(F.struct("kind", "num", "str", "bool", "err").cast(held))
+    rows = cells.select("workbook_id", "sheet_index", F.struct("row", "col", value.alias("value"), F.when(F.col("kind") == "formula", F.col("formula")).alias("formula")).alias("cell"), "sheet")
+    each = rows.groupBy("workbook_id", "sheet_index").agg(F.first("sheet").alias("title"), F.collect_list("cell").alias("cells"))
+    if sheets is not None:
+        listed = sheets.select("workbook_id", "sheet_index", F.col("name").alias("listed"), "visible", F.struct("freeze_row", "freeze_col").alias("freeze"))
+        each = listed.join(each, ["workbook_id", "sheet_index"], "full_outer").withColumn("title", F.coalesce("listed", "title")).drop("listed")
+    else:
+        each = each.withColumns({"visible": F.lit("visible"), "freeze": F.lit(None).cast("struct<freeze_row:int,freeze_col:int>")})
+    if ranges is not None:
+        merges = ranges.where("kind = 'merge'").groupBy("workbook_id", "sheet_index").agg(F.collect_list(F.array("r0", "c0", "r1", "c1")).alias("merges"))
+        each = each.join(merges, ["workbook_id", "sheet_index"], "left")
+    else:
+        each = each.withColumn("merges", F.lit(None).cast("array<array<int>>"))
+    books = each.groupBy("workbook_id").agg(F.array_sort(F.collect_list(F.struct("sheet_index", "title", "visible", "freeze", "merges", "cells"))).alias("sheets"))
+    if names is not None:
+        told = names.groupBy("workbook_id").agg(F.array_sort(F.collect_list(F.struct("scope_sheet", "name", "refers_to"))).alias("names"))
+        books = books.join(told, "workbook_id", "left")
+    else:
+        books = books.withColumn("names", F.lit(None).cast("array<struct<scope_sheet:string,name:string,refers_to:string>>"))
+
+    def cell(c: dict) -> tuple:
+        v = c["value"] or {}
+        kind = v.get("kind") or "text"
+        return kind, {"text": v.get("str"), "bool": v.get("bool"), "error": v.get("err")}.get(kind, v.get("num")), c["formula"]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        made: dict[int, dict] = {}
-        for c in pdf.sort_values(["sheet_index", "row", "col"]).itertuples():
-            sheet = made.setdefault(c.sheet_index, {"title": c.sheet, "cells": {}})
-            held = (c.cached if isinstance(c.cached, dict) else c.cached.asDict() if hasattr(c.cached, "asDict") else {}) if c.kind == "formula" else {"kind": c.kind, "num": c.num, "str": c.str, "bool": c.bool, "err": c.err}
-            kind = held.get("kind") or "text"
-            value = {"text": held.get("str"), "bool": held.get("bool"), "error": held.get("err")}.get(kind, held.get("num"))
-            sheet["cells"][c.row, c.col] = kind, value, c.formula if c.kind == "formula" else None
-        content = xlsx.write([made[k] for k in sorted(made)])
-        return pd.DataFrame({"workbook_id": [pdf["workbook_id"].iloc[0]], "content": [content]})
-
-    return cells.groupBy("workbook_id").applyInPandas(run, "workbook_id string, content binary")
+    def run(batches):
+        for batch in batches:
+            made = []
+            for book in batch.to_pylist():
+                parts = [
+                    {
+                        "title": s["title"], "state": s["visible"] or "visible", "merges": [tuple(m) for m in s["merges"] or []],
+                        "freeze": (s["freeze"]["freeze_row"] or 0, s["freeze"]["freeze_col"] or 0) if s["freeze"] else None, "cells": {(c["row"], c["col"]): cell(c) for c in s["cells"] or []},
+                    }
+                    for s in book["sheets"]
+                ]
+                try:
+                    made.append((book["workbook_id"], xlsx.write(parts, [(n["scope_sheet"], n["name"], n["refers_to"]) for n in book["names"] or []]), None))
+                except xlsx.WriteError as e:
+                    made.append((book["workbook_id"], None, str(e)))
+            yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], t) for k, t in enumerate((pa.string(), pa.binary(), pa.string()))], ["workbook_id", "content", "error"])
+
+    return books.select("workbook_id", "sheets", "names").mapInArrow(run, "workbook_id string, content binary, error string")

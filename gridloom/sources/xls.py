@@ -4,24 +4,12 @@ from __future__ import annotations
 
 import struct
 
-from gridloom.plans.formula import Error, column_letters
-from gridloom.sources import cfb, numfmt
+from gridloom.plans.formula import Error
+from gridloom.sources import cfb, numfmt, tokens
 from gridloom.sources.model import ReadError, Workbook
 
 #: Code pages by number, cp1252 where none is known.
 CODEPAGES = {874: "cp874", 932: "cp932", 936: "gbk", 949: "cp949", 1361: "johab", 51949: "euc_kr", 950: "cp950", 1251: "cp1251", 65001: "utf-8", **{n: f"cp{n}" for n in range(1253, 1259)}}
-#: Error codes.
-ERROR_CODES = {0x00: "#NULL!", 0x07: "#DIV/0!", 0x0F: "#VALUE!", 0x17: "#REF!", 0x1D: "#NAME?", 0x24: "#NUM!", 0x2A: "#N/A", 0x2B: "#DATA!"}
-#: Binary operators by token.
-BINARY = {0x03: "+", 0x04: "-", 0x05: "*", 0x06: "/", 0x07: "^", 0x08: "&", 0x09: "<", 0x0A: "<=", 0x0B: "=", 0x0C: ">=", 0x0D: ">", 0x0E: "<>", 0x0F: " ", 0x10: ",", 0x11: ":"}
-#: Ids of the functions that are evaluated, and their number of arguments if it is fixed.
-FUNCTION_IDS = {
-    0: ("COUNT", None), 1: ("IF", None), 2: ("ISNA", 1), 3: ("ISERROR", 1), 4: ("SUM", None), 5: ("AVERAGE", None), 6: ("MIN", None), 7: ("MAX", None), 20: ("SQRT", 1),
-    24: ("ABS", 1), 25: ("INT", 1), 26: ("SIGN", 1), 27: ("ROUND", 2), 31: ("MID", 3), 32: ("LEN", 1), 33: ("VALUE", 1), 34: ("TRUE", 0), 35: ("FALSE", 0), 36: ("AND", None),
-    37: ("OR", None), 38: ("NOT", 1), 39: ("MOD", 2), 63: ("RAND", 0), 74: ("NOW", 0), 112: ("LOWER", 1), 113: ("UPPER", 1), 115: ("LEFT", None), 116: ("RIGHT", None),
-    117: ("EXACT", 2), 118: ("TRIM", 1), 127: ("ISTEXT", 1), 128: ("ISNUMBER", 1), 129: ("ISBLANK", 1), 169: ("COUNTA", None), 183: ("PRODUCT", None), 197: ("TRUNC", None),
-    212: ("ROUNDUP", 2), 213: ("ROUNDDOWN", 2), 221: ("TODAY", 0), 336: ("CONCATENATE", None), 337: ("POWER", 2), 480: ("IFERROR", 2),
-}
 
 
 def rk(raw: int) -> float:
@@ -120,6 +108,10 @@ class _Reader:
         self.externs: list[tuple[int, int]] = []
         self.names: list[str] = []
         self.wide = True
+        # Cells that share a formula, by sheet, row and column, with the cell it stands at; and those formulas.
+        self.shares: dict[tuple, tuple] = {}
+        self.shared: dict[tuple, tuple[bytes, bytes, bool]] = {}
+        self.last = (0, 0)
 
     def short(self, b: bytes, at: int) -> str:
         """A string with a length byte."""
@@ -157,8 +149,19 @@ class _Reader:
                 self.globals(kind, pieces)
             elif depth == 1:
                 wait = self.cell(kind, pieces, sheet, wait)
+        self.expand()
         return self.book
 
+    def expand(self) -> None:
+        """Gives cells that share a formula its text, relative places counted from each cell."""
+        for k, c in enumerate(self.book.cells):
+            at = self.shares.get((c[0], c[3], c[4]))
+            found = self.shared.get((c[0], *at)) if at else None
+            if found:
+                body, extra, moves = found
+                base = (c[3], c[4]) if moves else at
+                self.book.cells[k] = (*c[:10], self.formula(body, extra, *base), *c[11:])
+
     def globals(self, kind: int, pieces: list[bytes]) -> None:
         b = pieces[0]
         if kind == 0x42 and not self.forced:
@@ -188,7 +191,7 @@ class _Reader:
             self.names.append(name)
             if not b[0] & 0x20:
                 scoped = self.titles[scope - 1] if 0 < scope <= len(self.titles) else None
-                self.book.names.append((scoped, name, self.formula(b[at : at + size], 0, 0) or ""))
+                self.book.names.append((scoped, name, self.formula(b[at : at + size], b[at + size :], 0, 0) if size else ""))
 
     def put(self, sheet: int, row: int, col: int, xf: int, value, formula: str | None = None) -> None:
         ident = self.kinds[xf] if xf < len(self.kinds) else 0
@@ -213,18 +216,28 @@ class _Reader:
             elif kind == 0x27E:
                 self.put(sheet, row, col, xf, rk(struct.unpack_from("<I", b, 6)[0]))
             elif kind == 0x205:
-                self.put(sheet, row, col, xf, Error(ERROR_CODES.get(b[6], "#ERR!")) if b[7] else bool(b[6]))
+                self.put(sheet, row, col, xf, Error(tokens.ERROR_CODES.get(b[6], "#ERR!")) if b[7] else bool(b[6]))
             elif kind in (0x204, 0xD6):
                 self.put(sheet, row, col, xf, self.long(pieces, 6))
             else:
                 size = struct.unpack_from("<H", b, 20)[0]
-                source = self.formula(b[22 : 22 + size], row, col)
+                body, extra = b[22 : 22 + size], b"".join([b[22 + size :], *pieces[1:]])
+                source, self.last = self.formula(body, extra, row, col), (row, col)
+                if at := tokens.shared_with(body, "biff8"):
+                    self.shares[sheet, row, col] = at
                 if b[12:14] != b"\xff\xff":
                     self.put(sheet, row, col, xf, struct.unpack_from("<d", b, 6)[0], source)
                 elif b[6] == 0:
                     return row, col, xf, source
                 else:
-                    self.put(sheet, row, col, xf, {1: bool(b[8]), 2: Error(ERROR_CODES.get(b[8], "#ERR!"))}.get(b[6], ""), source)
+                    self.put(sheet, row, col, xf, {1: bool(b[8]), 2: Error(tokens.ERROR_CODES.get(b[8], "#ERR!"))}.get(b[6], ""), source)
+        elif kind in (0x4BC, 0x221):
+            head = 8 if kind == 0x4BC else 12
+            row, _, col = struct.unpack_from("<HHB", b)
+            size, whole = struct.unpack_from("<H", b, head)[0], b"".join(pieces)
+            for at in {(row, col), self.last}:
+                self.shared[sheet, *at] = whole[head + 2 : head + 2 + size], whole[head + 2 + size :], kind == 0x4BC
+            return wait
         elif kind == 0xBD:
             row, col = struct.unpack_from("<2H", b)
             for i in range((len(b) - 6) // 6):
@@ -238,97 +251,15 @@ class _Reader:
 
     # Formulas
 
-    def place(self, row: int, col: int) -> str:
-        """A reference; the top bits of the column say which parts move."""
-        at = col & (0x3FFF if self.wide else 0xFFFF)
-        down, across = (col & 0x8000, col & 0x4000) if self.wide else (row & 0x8000, row & 0x4000)
-        row = row if self.wide else row & 0x3FFF
-        return f"{'' if across else '$'}{column_letters(at & 0xFF)}{'' if down else '$'}{row + 1}"
+    def context(self, row: int = 0, col: int = 0) -> tokens.Context:
+        return tokens.Context("biff8" if self.wide else "biff5", self.names, self.sheet_prefix if self.wide else None, self.codec, (row, col))
 
     def sheet_prefix(self, index: int) -> str:
         first, last = self.externs[index] if index < len(self.externs) else (0xFFFF, 0xFFFF)
         if max(first, last) >= len(self.titles):
-            return "#REF!"
-        name = self.titles[first] if first == last else f"{self.titles[first]}:{self.titles[last]}"
-        plain = name.replace(":", "").replace("_", "").isalnum() and not name[:1].isdigit()
-        return f"{name}!" if plain else "'" + name.replace("'", "''") + "'!"
-
-    def formula(self, tokens: bytes, row: int, col: int) -> str | None:
-        """The text of a token stream; None where it cannot be told whole."""
-        stack: list[str] = []
-        at = 0
-        try:
-            while at < len(tokens):
-                at = self.token(tokens, at, stack)
-        except (IndexError, struct.error, KeyError):
-            return None
-        return stack[0] if len(stack) == 1 else None
+            raise tokens.Untold
+        return tokens.prefix(self.titles[first], self.titles[last])
 
-    def token(self, b: bytes, at: int, stack: list[str]) -> int:
-        t = b[at]
-        kind = t if t < 0x20 else t & 0x1F | 0x20
-        at += 1
-        if t in BINARY:
-            right, left = stack.pop(), stack.pop()
-            stack.append(left + BINARY[t] + right)
-        elif t in (0x12, 0x13):
-            stack.append("+-"[t - 0x12] + stack.pop())
-        elif t == 0x14:
-            stack.append(stack.pop() + "%")
-        elif t == 0x15:
-            stack.append(f"({stack.pop()})")
-        elif t == 0x17:
-            n, text = b[at], self.short(b, at)
-            stack.append('"' + text.replace('"', '""') + '"')
-            at += 1 + n if not self.wide else 2 + n * (1 + (b[at + 1] & 1))
-        elif t == 0x19:
-            what, size = b[at], struct.unpack_from("<H", b, at + 1)[0]
-            at += 3 + (2 * (size + 1) if what & 4 else 0)
-            if what & 0x10:
-                stack.append(f"SUM({stack.pop()})")
-        elif t == 0x1C:
-            stack.append(ERROR_CODES[b[at]])
-            at += 1
-        elif t == 0x1D:
-            stack.append("TRUE" if b[at] else "FALSE")
-            at += 1
-        elif t == 0x1E:
-            stack.append(str(struct.unpack_from("<H", b, at)[0]))
-            at += 2
-        elif t == 0x1F:
-            from gridloom.plans.grid import number_text
+    def formula(self, body: bytes, extra: bytes, row: int, col: int) -> str:
+        return tokens.told(body, extra, self.context(row, col))
 
-            stack.append(number_text(struct.unpack_from("<d", b, at)[0]))
-            at += 8
-        elif kind in (0x21, 0x22):
-            n = -1 if kind == 0x21 else b[at] & 0x7F
-            at += kind == 0x22
-            ident = struct.unpack_from("<H", b, at)[0] & 0x7FFF
-            name, fixed = FUNCTION_IDS.get(ident, (f"FUNCTION_{ident}", None))
-            n = fixed if n < 0 else n
-            args = [stack.pop() for _ in range(n)][::-1]
-            stack.append(f"{name}({','.join(args)})")
-            at += 2
-        elif kind == 0x23:
-            stack.append(self.names[struct.unpack_from("<H", b, at)[0] - 1])
-            at += 4 if self.wide else 14
-        elif kind == 0x24:
-            size = "<2H" if self.wide else "<HB"
-            stack.append(self.place(*struct.unpack_from(size, b, at)))
-            at += struct.calcsize(size)
-        elif kind == 0x25:
-            size = "<4H" if self.wide else "<2H2B"
-            r0, r1, c0, c1 = struct.unpack_from(size, b, at)
-            stack.append(f"{self.place(r0, c0)}:{self.place(r1, c1)}")
-            at += struct.calcsize(size)
-        elif kind == 0x3A and self.wide:
-            index, r, c = struct.unpack_from("<3H", b, at)
-            stack.append(self.sheet_prefix(index) + self.place(r, c))
-            at += 6
-        elif kind == 0x3B and self.wide:
-            index, r0, r1, c0, c1 = struct.unpack_from("<5H", b, at)
-            stack.append(f"{self.sheet_prefix(index)}{self.place(r0, c0)}:{self.place(r1, c1)}")
-            at += 10
-        else:
-            raise KeyError(t)
-        return at

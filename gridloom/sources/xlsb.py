@@ -1,22 +1,25 @@
 """Binary Office Open XML workbooks (.xlsb): reading values, names, merges and links.
 
-Formulas are token streams; they are told for the tokens that xls.py knows too.
+Formulas are token streams, which tokens.py tells.
 """
 
 from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from dataclasses import replace
 
-from gridloom.plans.formula import Error, column_letters
-from gridloom.sources import numfmt
+from gridloom.plans.formula import Error
+from gridloom.sources import numfmt, tokens
 from gridloom.sources.model import ReadError, Workbook, open_zip, part
-from gridloom.sources.xls import BINARY, ERROR_CODES, FUNCTION_IDS, rk
+from gridloom.sources.xls import rk
 from gridloom.sources.xlsx import relations
 
 #: Record types.
 ROW, BLANK, RK, ERROR, BOOL, REAL, ST, ISST, FMLA_ST, FMLA_NUM, FMLA_BOOL, FMLA_ERROR = range(12)
 SST_ITEM, XF, FMT, BUNDLE, WB_PROP, MERGE, HLINK, NAME, CELL_XFS, CELL_XFS_END = 19, 47, 44, 156, 153, 176, 494, 39, 617, 618
+#: Records of what formulas refer to, and of shared and array formulas.
+EXTERN_SHEETS, SUP_BOOK, SUP_SELF, SUP_SAME, ARRAY, SHARED = 362, 355, 357, 358, 426, 427
 
 
 def is_xlsb(data: bytes) -> bool:
@@ -80,7 +83,7 @@ def _read(archive, main: str, body: bytes) -> Workbook:
         elif kind == XF and within:
             ident = struct.unpack_from("<H", b, 2)[0]
             kinds.append(numfmt.class_of(ident, codes.get(ident)))
-    listed = []
+    listed, targets, named, books, externs = [], [], [], [], []
     for kind, b in records(body):
         if kind == WB_PROP:
             book.date1904 = bool(b[0] & 1)
@@ -89,20 +92,45 @@ def _read(archive, main: str, body: bytes) -> Workbook:
             title, _ = wide(b, at)
             listed.append(title)
             target = rels.get(rel, ("", ""))
+            targets.append(target[1])
             state = ("visible", "hidden", "veryHidden")[min(struct.unpack_from("<I", b)[0], 2)]
             sort = {"chartsheet": "ChartSheet", "dialogsheet": "DialogSheet", "xlMacrosheet": "MacroSheet"}.get(target[0], "WorkSheet")
             book.sheets.append((len(listed) - 1, title, sort, state, None, None, None, False, True, None, False, None))
-            _sheet(book, archive, len(listed) - 1, title, target[1], strings, kinds)
+        elif kind in (SUP_BOOK, SUP_SELF, SUP_SAME):
+            books.append(kind)
+        elif kind == EXTERN_SHEETS:
+            externs = [struct.unpack_from("<I2i", b, 4 + 12 * i) for i in range(struct.unpack_from("<I", b)[0])]
         elif kind == NAME:
             scope = struct.unpack_from("<I", b, 5)[0]
             name, at = wide(b, 9)
-            size = struct.unpack_from("<I", b, at)[0]
-            book.names.append((listed[scope] if scope < len(listed) else None, name, formula(b[at + 4 : at + 4 + size]) or ""))
+            named.append((listed[scope] if scope < len(listed) else None, name, *_tokens(b, at)))
+
+    def prefix(index: int) -> str:
+        """Only sheets of this workbook have one."""
+        link, first, last = externs[index] if index < len(externs) else (-1, -1, -1)
+        own = books[link] == SUP_SELF if link < len(books) else link == 0
+        if not own or not 0 <= min(first, last) <= max(first, last) < len(listed):
+            raise tokens.Untold
+        return tokens.prefix(listed[first], listed[last])
+
+    context = tokens.Context("biff12", [n[1] for n in named], prefix)
+    for scoped, name, source, extra in named:
+        book.names.append((scoped, name, tokens.told(source, extra, context) if source else ""))
+    for index, (title, target) in enumerate(zip(listed, targets)):
+        _sheet(book, archive, index, title, target, strings, kinds, context)
     return book
 
 
-def _sheet(book: Workbook, archive, index: int, title: str, target: str, strings: list[str], kinds: list[str]) -> None:
-    row = 0
+def _tokens(b: bytes, at: int) -> tuple[bytes, bytes]:
+    """A token stream with its length in four bytes, and what stands behind it, likewise."""
+    size = struct.unpack_from("<I", b, at)[0]
+    end = at + 4 + size
+    more = struct.unpack_from("<I", b, end)[0] if len(b) >= end + 4 else 0
+    return b[at + 4 : end], b[end + 4 : end + 4 + more]
+
+
+def _sheet(book: Workbook, archive, index: int, title: str, target: str, strings: list[str], kinds: list[str], context: tokens.Context) -> None:
+    row, shares, shared, last = 0, {}, {}, (0, 0)
     rels = relations(archive, target)
     for kind, b in records(part(archive, target) or b""):
         if kind == ROW:
@@ -112,18 +140,29 @@ def _sheet(book: Workbook, archive, index: int, title: str, target: str, strings
             value, at = _value(kind, b, strings)
             source = None
             if kind >= FMLA_ST:
-                size = struct.unpack_from("<I", b, at + 2)[0]
-                source = formula(b[at + 6 : at + 6 + size])
+                body, extra = _tokens(b, at + 2)
+                source, last = tokens.told(body, extra, replace(context, base=(row, col))), (row, col)
+                if to := tokens.shared_with(body, "biff12"):
+                    shares[row, col] = to[0], struct.unpack_from("<I", extra)[0] if len(extra) >= 4 else col
             fmt = kinds[style & 0xFFFFFF] if style & 0xFFFFFF < len(kinds) else "Plain"
             shown = numfmt.render(value, fmt, book.date1904) if isinstance(value, float) else ("TRUE" if value else "FALSE") if isinstance(value, bool) else str(value)
             if shown or source:
                 book.add_cell(index, title, row, col, value, shown, "date" if isinstance(value, float) and numfmt.is_date(fmt) else None, source, style & 0xFFFFFF)
+        elif kind in (ARRAY, SHARED):
+            r0, _, c0, _ = struct.unpack_from("<4I", b)
+            for place in {(r0, c0), last}:
+                shared[place] = *_tokens(b, 16 if kind == SHARED else 17), kind == SHARED
         elif kind == MERGE:
             r0, r1, c0, c1 = struct.unpack_from("<4I", b)
             book.add_range(index, "merge", (r0, c0, r1, c1))
         elif kind == HLINK:
             r0, r1, c0, c1 = struct.unpack_from("<4I", b)
             book.add_range(index, "hyperlink", (r0, c0, r1, c1), text=rels.get(wide(b, 16)[0], ("", None))[1])
+    for k, c in enumerate(book.cells):
+        to = shares.get((c[3], c[4])) if c[0] == index else None
+        if to in shared:
+            body, extra, moves = shared[to]
+            book.cells[k] = (*c[:10], tokens.told(body, extra, replace(context, base=(c[3], c[4]) if moves else to)), *c[11:])
 
 
 def _value(kind: int, b: bytes, strings: list[str]) -> tuple[object, int]:
@@ -131,7 +170,7 @@ def _value(kind: int, b: bytes, strings: list[str]) -> tuple[object, int]:
     if kind == RK:
         return rk(struct.unpack_from("<I", b, 8)[0]), 12
     if kind in (ERROR, FMLA_ERROR):
-        return Error(ERROR_CODES.get(b[8], "#ERR!")), 9
+        return Error(tokens.ERROR_CODES.get(b[8], "#ERR!")), 9
     if kind in (BOOL, FMLA_BOOL):
         return bool(b[8]), 9
     if kind in (REAL, FMLA_NUM):
@@ -140,65 +179,3 @@ def _value(kind: int, b: bytes, strings: list[str]) -> tuple[object, int]:
         at = struct.unpack_from("<I", b, 8)[0]
         return strings[at] if at < len(strings) else "", 12
     return wide(b, 8)
-
-
-def _place(row: int, col: int) -> str:
-    return f"{'' if col & 0x4000 else '$'}{column_letters(col & 0x3FFF)}{'' if col & 0x8000 else '$'}{row + 1}"
-
-
-def formula(b: bytes) -> str | None:
-    """The text of a token stream; None where it cannot be told whole."""
-    from gridloom.plans.grid import number_text
-
-    stack: list[str] = []
-    at = 0
-    try:
-        while at < len(b):
-            t = b[at]
-            kind, at = (t if t < 0x20 else t & 0x1F | 0x20), at + 1
-            if t in BINARY:
-                right, left = stack.pop(), stack.pop()
-                stack.append(left + BINARY[t] + right)
-            elif t in (0x12, 0x13):
-                stack.append("+-"[t - 0x12] + stack.pop())
-            elif t == 0x14:
-                stack.append(stack.pop() + "%")
-            elif t == 0x15:
-                stack.append(f"({stack.pop()})")
-            elif t == 0x17:
-                n = struct.unpack_from("<H", b, at)[0]
-                stack.append('"' + b[at + 2 : at + 2 + 2 * n].decode("utf-16-le").replace('"', '""') + '"')
-                at += 2 + 2 * n
-            elif t == 0x19:
-                if b[at] & 0x10:
-                    stack.append(f"SUM({stack.pop()})")
-                at += 3 + (2 * (struct.unpack_from("<H", b, at + 1)[0] + 1) if b[at] & 4 else 0)
-            elif t in (0x1C, 0x1D):
-                stack.append(ERROR_CODES[b[at]] if t == 0x1C else "TRUE" if b[at] else "FALSE")
-                at += 1
-            elif t == 0x1E:
-                stack.append(str(struct.unpack_from("<H", b, at)[0]))
-                at += 2
-            elif t == 0x1F:
-                stack.append(number_text(struct.unpack_from("<d", b, at)[0]))
-                at += 8
-            elif kind in (0x21, 0x22):
-                n = b[at] & 0x7F if kind == 0x22 else None
-                at += kind == 0x22
-                name, fixed = FUNCTION_IDS.get(ident := struct.unpack_from("<H", b, at)[0] & 0x7FFF, (f"FUNCTION_{ident}", None))
-                n = fixed if n is None else n
-                args = [stack.pop() for _ in range(n)][::-1]
-                stack.append(f"{name}({','.join(args)})")
-                at += 2
-            elif kind == 0x24:
-                stack.append(_place(*struct.unpack_from("<IH", b, at)))
-                at += 6
-            elif kind == 0x25:
-                r0, r1, c0, c1 = struct.unpack_from("<2I2H", b, at)
-                stack.append(f"{_place(r0, c0)}:{_place(r1, c1)}")
-                at += 12
-            else:
-                return None
-    except (IndexError, struct.error, KeyError, TypeError):
-        return None
-    return stack[0] if len(stack) == 1 else None

@@ -270,11 +270,24 @@ def safe_titles(titles: Iterable[str]) -> list[str]:
     return out
 
 
+class WriteError(ValueError):
+    """A cell that no sheet can hold: CellOutOfGrid, CellTextTooLong or NonFiniteNumber."""
+
+    def __init__(self, rule: str, title: str, row: int, col: int):
+        super().__init__(f"{rule}: {title}!{column_letters(max(0, col))}{row + 1}")
+        self.rule = rule
+
+
+#: Fixed value: the longest cell text, in UTF-16 units.
+MAX_CELL_TEXT = 32_767
+
+
 def write(sheets: list[dict], names: list[tuple[str | None, str, str]] = (), date1904: bool = False) -> bytes:
     """The bytes of a workbook, the same for the same input.
 
     sheets: dicts of title, cells {(row, col): (kind, value, formula)}, and optionally merges,
-    state and freeze. Kinds are as in schema.CELLS; dates get a date format.
+    state and freeze. Kinds are as in schema.CELLS; dates get a date format. Nothing is cut or
+    left out: what cannot be held raises a WriteError.
     """
     strings: dict[str, int] = {}
     titles = safe_titles(s["title"] for s in sheets)
@@ -312,7 +325,11 @@ def _sheet_xml(sheet: dict, strings: dict[str, int]) -> str:
     rows: dict[int, list[str]] = {}
     for (row, col), (kind, value, source) in sorted(sheet["cells"].items()):
         if not (0 <= row < A.MAX_ROWS and 0 <= col < A.MAX_COLS):
-            continue
+            raise WriteError("CellOutOfGrid", sheet["title"], row, col)
+        if kind == "text" and value is not None and len(value.encode("utf-16-le", "surrogatepass")) > 2 * MAX_CELL_TEXT:
+            raise WriteError("CellTextTooLong", sheet["title"], row, col)
+        if kind in ("number", "date") and value is not None and not math.isfinite(value) and not source:
+            raise WriteError("NonFiniteNumber", sheet["title"], row, col)
         f = f"<f>{xml_text(source.removeprefix('='))}</f>" if source else ""
         t, v = "", ""
         if kind in ("number", "date") and value is not None and math.isfinite(value):
@@ -322,7 +339,7 @@ def _sheet_xml(sheet: dict, strings: dict[str, int]) -> str:
         elif kind == "error":
             t, v = ' t="e"', xml_text(value)
         elif kind == "text" and value is not None:
-            t, v = (' t="str"', xml_text(value)) if source else (' t="s"', str(strings.setdefault(value[:32_767], len(strings))))
+            t, v = (' t="str"', xml_text(value)) if source else (' t="s"', str(strings.setdefault(value, len(strings))))
         rows.setdefault(row, []).append(f'<c r="{column_letters(col)}{row + 1}"{t}>{f}{f"<v>{v}</v>" if v else ""}</c>')
     body = "".join(f'<row r="{r + 1}">{"".join(cells)}</row>' for r, cells in rows.items())
     label = lambda b: f"{column_letters(b[1])}{b[0] + 1}:{column_letters(b[3])}{b[2] + 1}"

@@ -1,9 +1,12 @@
+import io
+import zipfile
+
 import pytest
 from pyspark.sql import functions as F
 
 from gridloom.operators import cells as C
 from gridloom.plans import grid
-from gridloom.sources import numfmt, workbook, xls, xlsx
+from gridloom.sources import numfmt, tokens, workbook, xls, xlsx
 from gridloom.sources.model import ReadError
 
 SHEET = {
@@ -157,3 +160,101 @@ def test_xls():
     book = workbook.open_bytes(data)
     assert [(c[3], c[4], c[5], c[6], c[7], c[10]) for c in book.cells] == [(0, 0, "text", None, "도로", None), (0, 1, "number", 42.0, None, None), (1, 0, "date", 45366.0, None, None), (2, 0, "formula", None, None, "B1*2")]
     assert book.cells[2][11 + 1] == "2024-03-15" and book.sheets[0][3] == "hidden" and book.ranges[0][3:7] == (3, 0, 3, 2)
+
+
+def ods_book(rows):
+    t, o, x = "urn:oasis:names:tc:opendocument:xmlns:table:1.0", "urn:oasis:names:tc:opendocument:xmlns:office:1.0", "urn:oasis:names:tc:opendocument:xmlns:text:1.0"
+    content = f'<o:document-content xmlns:t="{t}" xmlns:o="{o}" xmlns:x="{x}"><o:body><o:spreadsheet><t:table t:name="V">{rows}</t:table></o:spreadsheet></o:body></o:document-content>'
+    return workbook.open_bytes(zipped({"mimetype": "application/vnd.oasis.opendocument.spreadsheet", "content.xml": content}))
+
+
+def test_ods_keeps_every_cell():
+    """Cells written out are never counted against the budget for copies; copies beyond it are told of."""
+    cell = '<t:table-cell o:value-type="float" o:value="1"><x:p>1</x:p></t:table-cell>'
+    book = ods_book(f"<t:table-row>{cell * 100}</t:table-row>" * 1200)
+    assert len(book.cells) == 120_000 and not book.truncated
+    book = ods_book(f'<t:table-row t:number-rows-repeated="3">{cell}<t:table-cell t:number-columns-repeated="4" o:value-type="string"><x:p>a</x:p></t:table-cell></t:table-row>')
+    assert [(c[3], c[4]) for c in book.cells] == [(r, c) for r in range(3) for c in range(5)] and not book.truncated
+    book = ods_book(f'<t:table-row t:number-rows-repeated="1000000">{cell}</t:table-row><t:table-row>{cell}</t:table-row>')
+    assert 130_000 < len(book.cells) < 132_000 and book.truncated and book.cells[-1][3] == 1_000_000
+
+
+def test_a_damaged_file_is_its_own_error():
+    """Whatever goes wrong within a file shows in table errors, and the scan goes on."""
+    sheet = f'<worksheet xmlns="{xlsx.MAIN}"><sheetData><row r="1"><c r="A1" s="x"><v>1</v></c></row></sheetData></worksheet>'
+    good = xlsx.write([{"title": "S", "cells": {(0, 0): ("number", 1.0, None)}}])
+    parts = {i.filename: zipfile.ZipFile(io.BytesIO(good)).read(i) for i in zipfile.ZipFile(io.BytesIO(good)).infolist()}
+    for data in (zipped({**{k: v.decode() for k, v in parts.items()}, "xl/worksheets/sheet1.xml": sheet}), b"PK\x03\x04junk", b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1" + b"\xff" * 600, b""):
+        assert not list(workbook.rows("f", data, "cells")) and len(list(workbook.rows("f", data, "errors"))) == 1
+        with pytest.raises(Exception):
+            list(workbook.rows("f", data, "cells", "FAILFAST"))
+
+
+#: Token streams: dialect, tokens, what stands behind them, base cell, text.
+TOKENS = [
+    ("biff5", "17036f6c64", "", (0, 0), '"old"'), ("biff8", "2400000000", "", (0, 0), "$A$1"), ("biff8", "2400000080", "", (4, 0), "$A1"), ("biff8", "2400000040", "", (0, 2), "A$1"),
+    ("biff8", "2cffffffff", "", (5, 2), "B5"), ("biff8", "1e0500211800", "", (0, 0), "ABS(5)"), ("biff8", "1e050019100000", "", (0, 0), "SUM(5)"),
+    ("biff8", "2000000000000000", "01000001000000000000f03f010000000000000040", (0, 0), "{1,2}"), ("biff12", "24040000000200", "", (0, 0), "$C$5"), ("biff12", "212200", "", (0, 0), "TRUE()"),
+    ("biff12", "20" + "00" * 14, "020000000100000001020061006200" + "0201", (0, 0), '{"ab";TRUE}'), ("biff8", "2a00000000", "", (0, 0), "#REF!"), ("biff8", "161e020022020100", "", (0, 0), "IF(,2)"),
+    ("biff8", "230100000023020000000b", "", (0, 0), "First=Second"), ("biff8", "3a0000000000c0", "", (0, 0), "'In put'!A1"), ("biff12", "3b0000000000000100000000c001c0", "", (0, 0), "'In put'!A1:B2"),
+    ("biff12", "2d" + "ffffffff" + "00000000" + "ffff" + "00c0", "", (3, 3), "C3:D4"), ("biff8", "21ffff", "", (0, 0), "_xlfn.PARTIAL()"), ("biff8", "1e0200ff", "", (0, 0), "_xlfn.PARTIAL(2)"),
+    ("biff8", "1e0200420200ff0f", "", (0, 0), "_xlfn.PARTIAL(2)"), ("biff8", "03", "", (0, 0), "_xlfn.PARTIAL()"),
+]
+
+
+@pytest.mark.parametrize(("dialect", "body", "extra", "base", "want"), TOKENS)
+def test_tokens(dialect, body, extra, base, want):
+    context = tokens.Context(dialect, ["First", "Second"], lambda i: tokens.prefix("In put", "In put"), base=base)
+    assert tokens.told(bytes.fromhex(body), bytes.fromhex(extra), context) == want
+
+
+def test_xlsb_names_sheets_and_shared_formulas():
+    import struct
+
+    rels = "".join(f'<Relationship Id="r{i}" Type="{xlsx.RELS}/worksheet" Target="s{i}.bin"/>' for i in (1, 2))
+    place = lambda c: struct.pack("<2I", c, 0)
+
+    def formula(col, body, extra=b""):
+        return _record(9, place(col) + struct.pack("<d", 1.0) + b"\0\0" + struct.pack("<I", len(body)) + body + struct.pack("<I", len(extra)) + extra)
+
+    near = b"\x4c" + struct.pack("<IH", 0, 0xC000 | 0x3FFF) + b"\x1e\x02\x00\x05"
+    exp = lambda: (b"\x01" + struct.pack("<I", 0), struct.pack("<I", 1))
+    cells = _record(0, struct.pack("<I", 0)) + formula(0, b"\x3a\x00\x00" + struct.pack("<IH", 4, 0xC002)) + formula(1, *exp()) + _record(427, struct.pack("<4I", 0, 1, 1, 1) + struct.pack("<I", len(near)) + near)
+    cells += formula(2, b"\x23" + struct.pack("<I", 1)) + _record(0, struct.pack("<I", 1)) + formula(1, *exp())
+    ref = b"\x3a\x00\x00" + struct.pack("<IH", 0, 0)
+    data = zipped({
+        "_rels/.rels": f'<Relationships xmlns="{xlsx.PACKAGE}/relationships"><Relationship Id="a" Type="{xlsx.RELS}/officeDocument" Target="xl/workbook.bin"/></Relationships>',
+        "xl/workbook.bin": _record(156, struct.pack("<2I", 0, 1) + _wide("r1") + _wide("Calc")) + _record(156, struct.pack("<2I", 0, 2) + _wide("r2") + _wide("Input Data")) + _record(357, b"")
+        + _record(362, struct.pack("<I", 1) + struct.pack("<I2i", 0, 1, 1)) + _record(39, struct.pack("<IBI", 0, 0, 0xFFFFFFFF) + _wide("Answer") + struct.pack("<I", len(ref)) + ref + struct.pack("<I", 0)),
+        "xl/_rels/workbook.bin.rels": f'<Relationships xmlns="{xlsx.PACKAGE}/relationships">{rels}</Relationships>', "xl/s1.bin": cells, "xl/s2.bin": _record(0, struct.pack("<I", 0)),
+    })
+    book = workbook.open_bytes(data)
+    assert [(c[3], c[4], c[10]) for c in book.cells] == [(0, 0, "'Input Data'!C5"), (0, 1, "A1*2"), (0, 2, "Answer"), (1, 1, "A2*2")]
+    assert book.names == [(None, "Answer", "'Input Data'!$A$1")]
+
+
+def test_writer_refuses_what_it_cannot_hold():
+    """Nothing is cut: a text of 32,767 UTF-16 units is written whole, a longer one is an error."""
+    whole = "a" * 32_765 + "😀"
+    book = workbook.open_bytes(xlsx.write([{"title": "S", "cells": {(0, 0): ("text", whole, None)}}]))
+    assert book.cells[0][7] == whole
+    for place, cell, rule in (((0, 0), ("text", whole + "b", None), "CellTextTooLong"), ((1 << 20, 0), ("number", 1.0, None), "CellOutOfGrid"), ((0, 3), ("number", float("inf"), None), "NonFiniteNumber")):
+        with pytest.raises(xlsx.WriteError, match=rule):
+            xlsx.write([{"title": "S", "cells": {place: cell}}])
+
+
+def test_workbooks_with_all_their_tables(spark, tmp_path):
+    """Sheets' states, order and panes, merges and names go through; a workbook that cannot be written has an error."""
+    sheets = [
+        {"title": "Data", "cells": {(0, 0): ("text", "a", None), (2, 1): ("number", 2.0, "A1+1")}, "merges": [(0, 0, 0, 2)], "freeze": (1, 2)}, {"title": "Empty", "cells": {}, "state": "hidden"},
+    ]
+    (tmp_path / "a.xlsx").write_bytes(xlsx.write(sheets, [(None, "Answer", "Data!$A$1"), ("Data", "Own", "42")]))
+    (tmp_path / "b.xlsx").write_bytes(xlsx.write([{"title": "B", "cells": {(0, 0): ("text", "fine", None)}}]))
+    tables = {t: workbook.workbooks(spark, str(tmp_path), t) for t in ("cells", "sheets", "names", "ranges")}
+    long = tables["cells"].withColumn("str", F.when(F.col("str") == "fine", F.repeat(F.lit("x"), 40_000)).otherwise(F.col("str")))
+    made = {r.workbook_id[-6:]: r for r in workbook.to_workbooks(long, tables["sheets"], tables["names"], tables["ranges"]).collect()}
+    assert made["b.xlsx"].content is None and "CellTextTooLong: B!A1" in made["b.xlsx"].error
+    book = workbook.open_bytes(bytes(made["a.xlsx"].content))
+    assert [(s[1], s[3], s[4], s[5]) for s in book.sheets] == [("Data", "visible", 1, 2), ("Empty", "hidden", book.sheets[1][4], book.sheets[1][5])]
+    assert sorted(book.names, key=str) == sorted([(None, "Answer", "Data!$A$1"), ("Data", "Own", "42")], key=str)
+    assert [r[3:7] for r in book.ranges if r[1] == "merge"] == [(0, 0, 0, 2)] and [c[10] for c in book.cells] == [None, "A1+1"]
