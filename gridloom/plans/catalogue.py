@@ -581,6 +581,114 @@ def extract_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.extract_text(cells, sheets)
 
 
+# Containers: workbooks written from tables, read again, edited and checked.
+
+#: Token streams of the binary formats: dialect, tokens, what stands behind them, base row and column, and the formula.
+_STREAMS = [
+    ("biff5", "17036f6c64", "", 0, 0, '"old"'), ("biff8", "2400000000", "", 0, 0, "$A$1"), ("biff8", "2400000080", "", 4, 0, "$A1"), ("biff8", "2400000040", "", 0, 2, "A$1"), ("biff8", "2cffffffff", "", 5, 2, "B5"),
+    ("biff8", "1e0500211800", "", 0, 0, "ABS(5)"), ("biff8", "1e050019100000", "", 0, 0, "SUM(5)"), ("biff8", "2000000000000000", "01000001000000000000f03f010000000000000040", 0, 0, "{1,2}"),
+    ("biff12", "24040000000200", "", 0, 0, "$C$5"), ("biff12", "212200", "", 0, 0, "TRUE()"),
+]
+_TOLD = ", ".join(f"({i}, '{d}', '{text}')" for i, (d, _, _, _, _, text) in enumerate(_STREAMS))
+
+
+@query(f"SELECT * FROM (VALUES {_TOLD}) AS t(id, dialect, formula)")
+def formula_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formulas from their binary tokens."""
+    import pyarrow as pa
+
+    from gridloom.sources import tokens
+
+    def run(batches):
+        for batch in batches:
+            made = [tokens.told(bytes.fromhex(r["body"]), bytes.fromhex(r["extra"]), tokens.Context(r["dialect"], base=(r["row"], r["col"]))) for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.string())], ["id", "dialect", "formula"])
+
+    streams = spark.createDataFrame([(i, *s[:5]) for i, s in enumerate(_STREAMS)], "id int, dialect string, body string, extra string, row int, col int")
+    return streams.mapInArrow(run, "id int, dialect string, formula string")
+
+
+def brand_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path and content: a workbook a brand, each part a row of number, name, date and a formula of the number."""
+    from gridloom.sources import workbook
+
+    place = Window.partitionBy("p_brand").orderBy("p_partkey")
+    parts = read(spark, sf_dir, "part").withColumn("row", (F.row_number().over(place) - 1).cast("int"))
+    none = {k: F.lit(None).cast(t) for k, t in (("num", "double"), ("str", "string"), ("bool", "boolean"), ("err", "string"))}
+    blank = F.lit(None).cast(VALUE)
+
+    def cell(col: int, kind: str, **held: Column) -> Column:
+        parts_ = {**none, **held}
+        formula, cached = parts_.pop("formula", F.lit(None).cast("string")), parts_.pop("cached", blank)
+        return F.struct(F.lit(col).alias("col"), F.lit(kind).alias("kind"), *[v.alias(k) for k, v in parts_.items()], formula.alias("formula"), cached.cast(VALUE).alias("cached"))
+
+    size = F.col("p_size").cast("double")
+    twice = F.struct(F.lit("number").alias("kind"), (size * 2).alias("num"), none["str"].alias("str"), none["bool"].alias("bool"), none["err"].alias("err"))
+    label = F.concat(F.lit("A"), (F.col("row") + 1).cast("string"), F.lit("*2"))
+    made = F.array(cell(0, "number", num=size), cell(1, "text", str=F.col("p_name")), cell(2, "date", num=(F.col("p_partkey") + 30000).cast("double")), cell(3, "formula", formula=label, cached=twice))
+    cells = parts.select(F.col("p_brand").alias("workbook_id"), F.lit(0).alias("sheet_index"), F.lit("Parts").alias("sheet"), "row", F.explode(made).alias("c")).select("workbook_id", "sheet_index", "sheet", "row", "c.*")
+    return workbook.to_workbooks(cells).select(F.col("workbook_id").alias("path"), "content")
+
+
+_PLACED = "(SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS r FROM part)"
+
+
+@query(f"""SELECT p_brand AS workbook_id, r::INT AS "row", unnest([0, 1, 2, 3])::INT AS col, unnest(['number', 'text', 'date', 'formula']) AS kind,
+          unnest([p_size::VARCHAR, p_name, strftime(DATE '1899-12-30' + (p_partkey + 30000)::INT, '%Y-%m-%d 00:00:00'), (p_size * 2)::VARCHAR]) AS display, unnest([NULL, NULL, NULL, 'A' || (r + 1) || '*2']) AS formula FROM {_PLACED}""")
+def xlsx_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Workbooks written from a table and read again: values, shared strings, dates by their style, formulas with caches."""
+    from gridloom.sources import workbook
+
+    return workbook.read_files(brand_books(spark, sf_dir)).select("workbook_id", "row", "col", "kind", "display", "formula")
+
+
+@query("""SELECT p_brand AS workbook_id, 'Stock' AS sheet, count(*) AS cells, 'edited' AS first, 'SUM(A1:A9)' AS added, NULL::VARCHAR AS error FROM part GROUP BY 1""")
+def package_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same edits in every package: a cell, a formula, a cleared range, a renamed sheet."""
+    from gridloom.sources import package, workbook
+
+    edits = [("set_cell_value", {"sheet": "Parts", "row": 0, "col": 1, "value": "edited"}), ("set_cell_formula", {"sheet": "Parts", "row": 0, "col": 3, "formula": "SUM(A1:A9)"}), ("rename_sheet", {"old": "Parts", "new": "Stock"})]
+    made = package.edit_workbooks(brand_books(spark, sf_dir), edits)
+    cells = workbook.read_files(made).where("col IN (1, 3)")
+    at = lambda col, what: F.max(F.when((F.col("row") == 0) & (F.col("col") == col), F.col(what)))
+    found = cells.groupBy("workbook_id", "sheet").agg((F.count(F.lit(1)) / 2).cast("long").alias("cells"), at(1, "display").alias("first"), at(3, "formula").alias("added"))
+    return found.join(made.select(F.col("path").alias("workbook_id"), "error"), "workbook_id")
+
+
+@query("""SELECT CASE i WHEN 0 THEN 'invalid_cfb' WHEN 1 THEN 'zip' ELSE 'not_ole2' END AS error_kind, count(*) AS files FROM (SELECT n_nationkey % 4 AS i FROM nation) WHERE i < 3 GROUP BY 1""")
+def corpus_scan_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A corpus with damaged files: each is its own error and the scan goes on."""
+    from gridloom.sources import workbook, xlsx
+
+    good = xlsx.write([{"title": "S", "cells": {(0, 0): ("number", 1.0, None)}}])
+    broken = {0: b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1" + b"\xff" * 600, 1: b"PK\x03\x04 no archive", 2: b"plain text", 3: good}
+    content = F.expr("CASE n_nationkey % 4 " + " ".join(f"WHEN {k} THEN unhex('{v.hex()}')" for k, v in broken.items()) + " END")
+    files = read(spark, sf_dir, "nation").select(F.col("n_name").alias("path"), content.alias("content"))
+    return workbook.read_files(files, "errors").groupBy("error_kind").agg(F.count(F.lit(1)).alias("files"))
+
+
+@query("""SELECT * FROM (SELECT 'CellOutOfGrid' AS rule, count(*) AS n FROM part WHERE p_partkey % 50 = 0 UNION ALL SELECT 'CellTextTooLong', count(*) FROM part WHERE p_partkey % 40 = 1
+          UNION ALL SELECT 'NonFiniteNumber', count(*) FROM part WHERE p_partkey % 30 = 2 UNION ALL SELECT 'InvalidXmlText', count(*) FROM part WHERE p_partkey % 20 = 3
+          UNION ALL SELECT 'DuplicateSheetName', count(*) FROM (SELECT p_brand FROM part GROUP BY 1) WHERE p_brand LIKE '%1' UNION ALL SELECT 'InvalidSheetName', count(*) FROM (SELECT p_brand FROM part GROUP BY 1) WHERE p_brand LIKE '%2') WHERE n > 0""")
+def write_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the checked writer finds, by rule."""
+    from gridloom.operators.validate import violations
+
+    k = F.col("p_partkey")
+    text = F.when(k % 40 == 1, F.repeat(F.lit("x"), F.lit(32_768))).when(k % 20 == 3, F.concat(F.lit("a"), F.char(F.lit(1)))).otherwise(F.col("p_name"))
+    cells = read(spark, sf_dir, "part").select(
+        F.col("p_brand").alias("workbook_id"), F.lit(0).alias("sheet_index"), F.when(k % 50 == 0, F.lit(1 << 20)).otherwise(k.cast("int")).alias("row"), F.lit(0).alias("col"), text.alias("str"),
+        F.when(k % 30 == 2, F.lit(float("inf"))).alias("num"), F.lit(None).cast(VALUE).alias("cached"), F.lit(None).cast("string").alias("formula"),
+    )
+    brands = cells.select("workbook_id").distinct()
+    second = F.when(F.col("workbook_id").like("%1"), "FIRST").when(F.col("workbook_id").like("%2"), "a/b").otherwise("Second")
+    sheets = brands.select("workbook_id", F.explode(F.array(F.struct(F.lit(0).alias("i"), F.lit("First").alias("name")), F.struct(F.lit(1).alias("i"), second.alias("name")))).alias("s"))
+    sheets = sheets.select("workbook_id", F.col("s.i").alias("sheet_index"), "s.name", F.lit(100).alias("zoom"))
+    names = spark.createDataFrame([], "workbook_id string, scope_sheet string, name string, refers_to string")
+    ranges = spark.createDataFrame([], "workbook_id string, sheet_index int, kind string, name string, r0 int, c0 int, r1 int, c1 int, text string, author string")
+    return violations(cells, sheets, names, ranges).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+
+
 # Reports
 
 

@@ -15,6 +15,7 @@ from __future__ import annotations
 import glob
 import os
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +26,8 @@ from gridloom import schema
 from gridloom.sources import ods, xls, xlsb, xlsx
 from gridloom.sources.model import ReadError, Workbook
 
+#: Rows that go out together.
+BATCH = 10_000
 TABLES = {"cells": schema.CELLS, "sheets": schema.SHEETS, "names": schema.NAMES, "ranges": schema.RANGES, "parts": schema.PARTS, "errors": schema.ERRORS}
 
 
@@ -89,18 +92,23 @@ class WorkbookSource(DataSource):
 
 def workbooks(spark: SparkSession, path: str, table: str = "cells", **options) -> DataFrame:
     """The same tables from any file system that Spark reads."""
+    return read_files(spark.read.format("binaryFile").load(path), table, **options)
+
+
+def read_files(files: DataFrame, table: str = "cells", **options) -> DataFrame:
+    """The same tables of files at hand: columns path and content. Rows go out in bounded batches."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = files.select("path", "content")
     kind = StructType.fromDDL(TABLES[table])
     arrow = to_arrow_schema(kind)
 
     def run(batches):
         for batch in batches:
             for name, content in zip(batch.column(0), batch.column(1)):
-                made = list(rows(name.as_py(), content.as_py(), table, **options))
-                if made:
+                found = rows(name.as_py(), content.as_py(), table, **options)
+                while made := list(islice(found, BATCH)):
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), arrow.types)], schema=arrow)
 
     return files.mapInArrow(run, kind)
