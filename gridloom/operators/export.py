@@ -37,6 +37,18 @@ def markdown_escape(text: Column) -> Column:
     return F.regexp_replace(F.replace(text, F.lit("|"), F.lit("\\|")), "[\r\n]", "<br>")
 
 
+def dump_escape(text: Column) -> Column:
+    """Tabs and line ends as \\t, \\n and \\r, so that a cell stays on its line."""
+    for a, b in (("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r")):
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return text
+
+
+def worksheets(cells: DataFrame, sheets: DataFrame) -> DataFrame:
+    """The cells of worksheets only: chart, dialog and macro sheets are not exported."""
+    return cells.join(sheets.where("sheet_type = 'WorkSheet'").select(*SHEET), SHEET, "left_semi")
+
+
 def _row_cells(cells: DataFrame, keep: list[str] = ()) -> DataFrame:
     return cells.groupBy(*SHEET, "row", *keep).agg(F.array_sort(F.collect_list(F.struct("col", F.coalesce("display", F.lit("")).alias("display")))).alias("cells"))
 

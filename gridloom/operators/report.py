@@ -31,6 +31,42 @@ def outcomes(evaluated: DataFrame) -> DataFrame:
     return evaluated.groupBy("workbook_id", "status", "reason").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value.kind") == "error").alias("errors"))
 
 
+#: Formulas of a workbook that a report evaluates.
+MAX_EVALUATED = 10_000
+
+
+def bounded_outcomes(evaluated: DataFrame) -> DataFrame:
+    """workbook_id, computed, errors, cached (fallbacks) and truncated: whether formulas beyond the
+    first MAX_EVALUATED of a workbook, in order of sheet and place, were left out.
+
+    evaluated has sheet_index, row, col, status and value.
+    """
+    place = Window.partitionBy("workbook_id").orderBy("sheet_index", "row", "col")
+    ranked = evaluated.withColumn("__at", F.row_number().over(place))
+    counted = ranked.where(F.col("__at") <= MAX_EVALUATED + 1).withColumn("__in", F.col("__at") <= MAX_EVALUATED)
+    is_in, ok = F.col("__in"), F.col("status") == "computed"
+    return counted.groupBy("workbook_id").agg(
+        F.count_if(is_in & ok).alias("computed"), F.count_if(is_in & ok & (F.col("value.kind") == "error")).alias("errors"),
+        F.count_if(is_in & ~ok).alias("cached"), F.bool_or(~is_in).alias("truncated"),
+    )
+
+
+def warnings(report: DataFrame) -> DataFrame:
+    """workbook_id and warnings, in this order, of a report's rows: cached and truncated (as in
+    bounded_outcomes), text_truncated, vba_project and pivot_tables."""
+    named = {
+        "FormulaFallbackPresent": F.col("cached") > 0, "FormulaEvaluationTruncated": F.col("truncated"), "TextTruncated": F.col("text_truncated"),
+        "MacrosPresentNotExecuted": F.col("vba_project"), "PivotTablesPreservedNotModeled": F.col("pivot_tables") > 0,
+    }
+    return report.select("workbook_id", F.array_compact(F.array(*[F.when(c, name) for name, c in named.items()])).alias("warnings"))
+
+
+def head_and_total(df: DataFrame, n: int, *order: Column | str) -> DataFrame:
+    """The first n rows, each with the number of all rows: counted past the limit."""
+    total = df.agg(F.count(F.lit(1)).alias("total"))
+    return df.orderBy(*order).limit(n).join(F.broadcast(total))
+
+
 def to_json(report: DataFrame) -> DataFrame:
     """One JSON text a workbook, fields in the order of the columns, nulls kept."""
     return report.select("workbook_id", F.to_json(F.struct(*report.columns), {"ignoreNullFields": "false"}).alias("report"))

@@ -19,7 +19,7 @@ ROWS, COLS, CELL_UNITS, SHEETS, OUTPUT = 1_048_576, 16_384, 32_767, 255, 256 <<
 #: The shapes of names and time stamps.
 TABLE_NAME = r"^[\p{L}_\\][\p{L}\p{N}_.\\]{0,254}$"
 CELL_LIKE = r"(?i)^[A-Z]{1,3}[0-9]+$|^R[0-9]*C[0-9]*$|^[RC]$"
-TIMESTAMP = r"^\d{4}(-\d\d(-\d\d(T\d\d:\d\d(:\d\d(\.\d+)?)?(Z|[+-]\d\d:\d\d))?)?)?$"
+TIMESTAMP = r"(?s)^[0-9]{4}-[0-9]{2}-[0-9]{2}T([01][0-9]|2[0-3]):[0-5][0-9]:([0-5][0-9]|60).*$"
 NOT_XML = r"[\x00-\x08\x0B\x0C\x0E-\x1F￾￿]"
 
 
@@ -68,6 +68,26 @@ def violations(cells: DataFrame, sheets: DataFrame, names: DataFrame, ranges: Da
     return reduce(DataFrame.unionByName, checks)
 
 
+def valid_timestamp(text: Column) -> Column:
+    """Whether a text starts as YYYY-MM-DDThh:mm:ss with a date of the calendar and a time of day
+    (a leap second too); what follows is not looked at."""
+    day = F.try_to_timestamp(F.substring(text, 1, 10), F.lit("yyyy-MM-dd"))
+    return text.rlike(TIMESTAMP) & day.isNotNull() & (F.substring(text, 1, 4) != "0000")
+
+
+def timestamp_violations(properties: DataFrame) -> DataFrame:
+    """Rule 20, InvalidTimestamp: of workbook_id, created and modified (texts, NULL if not given)."""
+    each = properties.select("workbook_id", F.explode(F.array("created", "modified")).alias("at"))
+    return _found(each.where(~valid_timestamp(F.col("at"))), 20, "InvalidTimestamp", F.col("at"))
+
+
+def active_sheet_violations(books: DataFrame, sheets: DataFrame) -> DataFrame:
+    """Rule 2, ActiveSheetOutOfRange: of workbook_id and active (a sheet index, NULL if not given)."""
+    n = sheets.groupBy("workbook_id").agg(F.count(F.lit(1)).alias("n"))
+    rows = books.join(n, "workbook_id", "left").where((F.col("active") < 0) | (F.col("active") >= F.coalesce("n", F.lit(0))))
+    return _found(rows, 2, "ActiveSheetOutOfRange", F.col("active"))
+
+
 def first_violation(found: DataFrame) -> DataFrame:
     """The first violation of each workbook."""
     order = F.struct("rule_order", F.coalesce("sheet_index", F.lit(-1)), F.coalesce("row", F.lit(-1)), F.coalesce("col", F.lit(-1)))

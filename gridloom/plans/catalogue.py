@@ -777,3 +777,49 @@ def grid_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = lambda r, f: F.max(F.when(F.col("row") == r, F.col(f"value.{f}")))
     out = done.groupBy("workbook_id").agg(at(0, "num").alias("n"), at(1, "num").alias("total"), at(2, "num").alias("spread"), at(3, "str").alias("label"))
     return out.withColumn("workbook_id", F.col("workbook_id").cast("long"))
+
+
+# Report warnings, counts past a limit, and checks of properties
+
+
+@query("""SELECT event_type AS workbook_id, least(n, 10000) - cached AS computed, errors, cached, n > 10000 AS truncated,
+          concat_ws(',', CASE WHEN cached > 0 THEN 'FormulaFallbackPresent' END, CASE WHEN n > 10000 THEN 'FormulaEvaluationTruncated' END, CASE WHEN event_type = 'click' THEN 'MacrosPresentNotExecuted' END,
+                    CASE WHEN event_type IN ('click', 'view') THEN 'PivotTablesPreservedNotModeled' END) AS warnings
+          FROM (SELECT event_type, count(*) AS n, count(*) FILTER (r <= 10000 AND user_id % 3 = 0) AS cached, count(*) FILTER (r <= 10000 AND user_id % 3 = 1) AS errors
+                FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS r FROM events) GROUP BY 1)""")
+def report_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formulas evaluated up to the limit, and the warnings that follow."""
+    kind, user = F.col("event_type"), F.col("user_id")
+    value = F.struct(F.when(user % 3 == 1, "error").otherwise("number").alias("kind"))
+    evaluated = read(spark, sf_dir, "events").select(kind.alias("workbook_id"), F.lit(0).alias("sheet_index"), F.col("event_id").alias("row"), F.lit(0).alias("col"), F.when(user % 3 == 0, "fallback").otherwise("computed").alias("status"), value.alias("value"))
+    done = R.bounded_outcomes(evaluated)
+    name = F.col("workbook_id")
+    told = R.warnings(done.withColumns({"text_truncated": F.lit(False), "vba_project": name == "click", "pivot_tables": F.when(name.isin("click", "view"), 1).otherwise(0)}))
+    return done.join(told, "workbook_id").withColumn("warnings", F.array_join("warnings", ","))
+
+
+@query("SELECT o_orderkey, o_totalprice, (SELECT count(*) FROM orders) AS total FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50")
+def limit_with_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.head_and_total(read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), 50, F.desc("o_totalprice"), "o_orderkey")
+
+
+_STAMP = "strftime(o_orderdate, '%Y-%m-%d') || CASE o_orderkey % 5 WHEN 0 THEN 'T10:20:30Z' WHEN 1 THEN ' 10:20:30' WHEN 2 THEN 'T25:00:00' WHEN 3 THEN 'T23:59:60.5+01:00' ELSE '' END"
+
+
+@query(f"SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN false ELSE o_orderkey % 5 IN (0, 3) END AS valid, CASE WHEN o_orderkey % 7 = 0 THEN '2023-02-30T00:00:00' ELSE {_STAMP} END AS stamp FROM orders")
+def timestamp_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.operators.validate import valid_timestamp
+
+    k = F.col("o_orderkey")
+    tail = F.when(k % 5 == 0, "T10:20:30Z").when(k % 5 == 1, " 10:20:30").when(k % 5 == 2, "T25:00:00").when(k % 5 == 3, "T23:59:60.5+01:00").otherwise("")
+    stamp = F.when(k % 7 == 0, "2023-02-30T00:00:00").otherwise(F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), tail))
+    return read(spark, sf_dir, "orders").select("o_orderkey", valid_timestamp(stamp).alias("valid"), stamp.alias("stamp"))
+
+
+@query("SELECT p_partkey, replace(replace(p_name, 'a', chr(92) || 't'), 'e', chr(92) || 'r' || chr(92) || 'n') AS escaped FROM part WHERE p_size % 3 != 0")
+def dump_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of worksheets only, with tabs and line ends told."""
+    name = F.replace(F.replace("p_name", F.lit("a"), F.lit("\t")), F.lit("e"), F.lit("\r\n"))
+    cells = read(spark, sf_dir, "part").select("p_partkey", name.alias("text"), F.lit("w").alias("workbook_id"), (F.col("p_size") % 3).alias("sheet_index"))
+    sheets = spark.createDataFrame([("w", 0, "ChartSheet"), ("w", 1, "WorkSheet"), ("w", 2, "WorkSheet")], "workbook_id string, sheet_index int, sheet_type string")
+    return X.worksheets(cells, sheets).select("p_partkey", X.dump_escape(F.col("text")).alias("escaped"))
