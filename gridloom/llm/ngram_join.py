@@ -249,10 +249,10 @@ def _counted(near: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """u, v of pairs that link: enough of them to give the components of all.
+    """node, component of rows with a pair that links.
 
     Each row's pair with its smallest partner is counted first, then the pairs
-    that these left in different components.
+    that these left in different components; what those link are components.
     """
     near = stage_table(_within_bitmaps(pairs, reps), "near")
     ids = stage_table(near.select(F.explode(F.array("x", "y")).alias("rep")).distinct(), "near-ids")
@@ -263,7 +263,15 @@ def _linked(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
     a, b = found.toDF("x", "cx"), found.toDF("y", "cy")
     left = near.join(star.select("x", "y"), ["x", "y"], "left_anti").join(a, "x", "left").join(b, "y", "left")
     apart = F.coalesce("cx", "x") != F.coalesce("cy", "y")
-    return links.union(_counted(stage_table(left.where(apart).select("x", "y", "nx", "ny"), "left"), sets))
+    more = _counted(stage_table(left.where(apart).select("x", "y", "nx", "ny"), "left"), sets)
+    return _with(found, more)
+
+
+def _with(found: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, component) with more links; as they are, if there are none."""
+    if links.isEmpty():
+        return found
+    return stage_table(components(links.select("u", "v").union(found.select(F.col("node").alias("u"), F.col("component").alias("v")))), "components")
 
 
 def _dense_blocks(dense: DataFrame, hot: DataFrame) -> DataFrame:
@@ -353,12 +361,10 @@ def join(docs: DataFrame) -> DataFrame:
     across = _postings(blocks.where("NOT dense"), sketch(bridge.select("t")))
     fill = stage_table(dense.select("rep", "n", "f", F.explode("fill").alias("t")), "fill")
     pairs = _sparse_pairs(own, own, True).union(_sparse_pairs(bridge, across, False)).union(_pivot_pairs(fill))
-    links = _linked(pairs, docs, reps)
-    linked = stage_table(components(links), "components")
+    linked = _linked(pairs, docs, reps)
     cross = stage_table(_cross_pairs(fill, linked).distinct(), "cross")
-    more = _linked(cross, docs, reps)
-    if not more.isEmpty():
-        linked = stage_table(components(more.union(linked.select(F.col("node").alias("u"), F.col("component").alias("v")))), "components")
+    if not cross.isEmpty():
+        linked = _with(linked, _linked(cross, docs, reps).select(F.col("node").alias("u"), F.col("component").alias("v")))
 
     classes = reps.select("key", "rep").join(linked.select(F.col("node").alias("rep"), "component"), "rep", "left")
     out = members.join(classes, "key", "left")
