@@ -22,7 +22,7 @@ from gridloom.operators.edit import rewritten
 from gridloom.plans.formula import MAX_COLS, MAX_ROWS, cell_place, column_letters
 from gridloom.plans.grid import number_text
 from gridloom.sources.model import ReadError, open_zip
-from gridloom.sources.xlsx import MAIN, RELS, box, xml_text
+from gridloom.sources.xlsx import MAIN, PACKAGE, RELS, box, xml_text
 
 #: The most cells that one edit clears, and values that one appends.
 MAX_CLEAR, MAX_APPEND = 10_000, 16_384
@@ -34,6 +34,8 @@ ORDER = (
 ).split()
 #: Parts that a sheet may depend on in ways that a deletion would break.
 UNSAFE = ("pivotTable", "queryTable", "oleObject", "control", "threadedComment", "slicer", "timeline", "connections", "externalLink")
+#: Fixed value: the start of the namespaces of legacy drawings.
+VML = "urn:schemas-microsoft-com"
 
 
 class EditError(ValueError):
@@ -344,6 +346,167 @@ class Editor:
         if held is not None and not _children(held):
             held.parentNode.removeChild(held)
 
+    # Relations of a sheet
+
+    def _relation(self, of: str, kind: str, target: str, external: bool = False) -> str:
+        """The id of a relation, which is made if it is missing."""
+        p = self.package
+        for k, t, rid in p._targets(of):
+            if k == kind and t == target:
+                return rid
+        name = p._rels(of)
+        rels = minidom.parseString(p.parts.get(name) or f'<Relationships xmlns="{PACKAGE}/relationships"/>'.encode())
+        taken = {e.getAttribute("Id") for e in _all(rels, "Relationship")}
+        rid = next(f"rId{n}" for n in range(1, len(taken) + 2) if f"rId{n}" not in taken)
+        mode = {"TargetMode": "External"} if external else {}
+        rels.documentElement.appendChild(self._new(rels.documentElement, "Relationship", Id=rid, Type=f"{RELS}/{kind}", Target=target if external else "/" + target, **mode))
+        p.parts[name] = rels.toxml("UTF-8")
+        return rid
+
+    def _unrelate(self, of: str, rid: str) -> None:
+        p = self.package
+        if (name := p._rels(of)) not in p.parts:
+            return
+        rels = minidom.parseString(p.parts[name])
+        for e in _all(rels, "Relationship"):
+            if e.getAttribute("Id") == rid:
+                e.parentNode.removeChild(e)
+        p.parts[name] = rels.toxml("UTF-8")
+
+    def _linked_part(self, sheet: str, kind: str, stem: str, ending: str, content: str, type_: str | None) -> str:
+        """The sheet's part of a kind, which is made if it is missing."""
+        p, path = self.package, self._part(self._entry(sheet))
+        for k, target, _ in p._targets(path):
+            if k == kind:
+                return target
+        n = next(n for n in range(1, len(p.parts) + 2) if f"{stem}{n}.{ending}" not in p.parts)
+        made = f"{stem}{n}.{ending}"
+        p.parts[made] = content.encode()
+        if type_:
+            self._content_type(made, type_)
+        self._relation(path, kind, made)
+        return made
+
+    def set_hyperlink(self, sheet: str, row: int, col: int, target: str | None = None, location: str | None = None, tooltip: str | None = None) -> None:
+        """A link of one cell to a target outside or to a place in the workbook."""
+        if bool(target and target.strip()) == bool(location and location.strip()):
+            raise EditError("a link has a target or a location")
+        self.delete_hyperlink(sheet, row, col, missing_ok=True)
+        root = self._sheet(sheet)
+        held = self._child(root, "hyperlinks")
+        link = held.appendChild(self._new(held, "hyperlink", ref=_label(row, col)))
+        if target:
+            link.setAttribute("xmlns:r", RELS)
+            link.setAttribute("r:id", self._relation(self._part(self._entry(sheet)), "hyperlink", target, external=True))
+        else:
+            link.setAttribute("location", location.removeprefix("#"))
+        if tooltip:
+            link.setAttribute("tooltip", tooltip)
+
+    def delete_hyperlink(self, sheet: str, row: int, col: int, missing_ok: bool = False) -> None:
+        held = self._child(self._sheet(sheet), "hyperlinks", make=False)
+        found = [h for h in _children(held, "hyperlink") if box(h.getAttribute("ref")) == (row, col, row, col)] if held else []
+        if not found and not missing_ok:
+            raise EditError("there is no such link")
+        for h in found:
+            rid = next((v for k, v in h.attributes.items() if k.rpartition(":")[2] == "id"), None)
+            held.removeChild(h)
+            if rid and not any(v == rid for o in _children(held) for k, v in o.attributes.items()):
+                self._unrelate(self._part(self._entry(sheet)), rid)
+        if held is not None and not _children(held):
+            held.parentNode.removeChild(held)
+
+    def set_comment(self, sheet: str, row: int, col: int, text: str, author: str = "") -> None:
+        """A note of one cell, with the shape that shows it."""
+        self.delete_comment(sheet, row, col, missing_ok=True)
+        kind = "application/vnd.openxmlformats-officedocument.spreadsheetml.comments+xml"
+        notes = self._linked_part(sheet, "comments", "xl/comments", "xml", f'<comments xmlns="{MAIN}"><authors/><commentList/></comments>', kind)
+        root = self.package.tree(notes).documentElement
+        authors, listed = _children(root, "authors")[0], _children(root, "commentList")[0]
+        names = ["".join(c.data for c in a.childNodes if c.nodeType == c.TEXT_NODE) for a in _children(authors)]
+        if author not in names:
+            authors.appendChild(self._new(authors, "author")).appendChild(root.ownerDocument.createTextNode(author))
+            names.append(author)
+        note = self._new(listed, "comment", ref=_label(row, col), authorId=names.index(author))
+        said = note.appendChild(self._new(listed, "text")).appendChild(self._new(listed, "t"))
+        said.setAttribute("xml:space", "preserve")
+        said.appendChild(root.ownerDocument.createTextNode(text))
+        later = [c for c in _children(listed) if (box(c.getAttribute("ref")) or (0, 0))[:2] > (row, col)]
+        listed.insertBefore(note, later[0] if later else None)
+        self._shape(sheet, row, col)
+
+    def _shape(self, sheet: str, row: int, col: int) -> None:
+        """The hidden box of a note, in the sheet's legacy drawing."""
+        vml = f'<xml xmlns:v="{VML}:vml" xmlns:o="{VML}:office:office" xmlns:x="{VML}:office:excel"></xml>'
+        drawn = self._linked_part(sheet, "vmlDrawing", "xl/drawings/vmlDrawing", "vml", vml, "application/vnd.openxmlformats-officedocument.vmlDrawing")
+        root = self._sheet(sheet)
+        held = self._child(root, "legacyDrawing")
+        if not any(k.rpartition(":")[2] == "id" for k in held.attributes.keys()):
+            held.setAttribute("xmlns:r", RELS)
+            held.setAttribute("r:id", self._relation(self._part(self._entry(sheet)), "vmlDrawing", drawn))
+        shapes = self.package.tree(drawn).documentElement
+        n = 1 + max([int(m[1]) for e in _all(shapes, "shape") if (m := re.fullmatch(r"_x0000_s(\d+)", e.getAttribute("id")))], default=1024)
+        shape = (
+            f'<v:shape xmlns:v="{VML}:vml" xmlns:o="{VML}:office:office" xmlns:x="{VML}:office:excel" id="_x0000_s{n}" style="position:absolute;visibility:hidden" fillcolor="#ffffe1" o:insetmode="auto">'
+            f'<x:ClientData ObjectType="Note"><x:MoveWithCells/><x:SizeWithCells/><x:Row>{row}</x:Row><x:Column>{col}</x:Column></x:ClientData></v:shape>'
+        )
+        shapes.appendChild(shapes.ownerDocument.importNode(minidom.parseString(shape).documentElement, True))
+
+    def delete_comment(self, sheet: str, row: int, col: int, missing_ok: bool = False) -> None:
+        p, found = self.package, False
+        for kind, target, _ in p._targets(self._part(self._entry(sheet))):
+            if kind == "comments":
+                for c in _all(p.tree(target), "comment"):
+                    if box(c.getAttribute("ref")) == (row, col, row, col):
+                        c.parentNode.removeChild(c)
+                        found = True
+            elif kind == "vmlDrawing":
+                at = lambda e, name: "".join(c.data for x in _all(e, name) for c in x.childNodes)
+                for shape in _all(p.tree(target), "shape"):
+                    if (at(shape, "Row").strip(), at(shape, "Column").strip()) == (str(row), str(col)):
+                        shape.parentNode.removeChild(shape)
+        if not found and not missing_ok:
+            raise EditError("there is no such comment")
+
+    def set_table_range(self, name: str, r0: int, c0: int, r1: int, c1: int) -> None:
+        """A table's new range: its header row stays where it is, and as wide as it is."""
+        p = self.package
+        for entry in self._listed():
+            for kind, target, _ in p._targets(self._part(entry)):
+                root = p.tree(target).documentElement if kind == "table" else None
+                if root is None or (root.getAttribute("displayName") or root.getAttribute("name")).lower() != name.lower():
+                    continue
+                old = box(root.getAttribute("ref"))
+                if (r0, c0, c1) != (old[0], old[1], old[3]) or r1 <= r0:
+                    raise EditError("a table keeps its header row and has a row below it")
+                ref = f"{_label(r0, c0)}:{_label(r1, c1)}"
+                root.setAttribute("ref", ref)
+                totals = int(root.getAttribute("totalsRowCount") or 0)
+                for f in _children(root, "autoFilter"):
+                    f.setAttribute("ref", f"{_label(r0, c0)}:{_label(max(r0, r1 - totals), c1)}")
+                return
+        raise EditError(f"no table {name}")
+
+    def set_print_area(self, sheet: str, area: tuple[int, int, int, int] | None) -> None:
+        """The rectangle of a sheet that is printed; None for all."""
+        book, at = self._book(), self._listed().index(self._entry(sheet))
+        held = (_children(book, "definedNames") or [None])[0]
+        if held is None:
+            held = book.insertBefore(self._new(book, "definedNames"), _children(book, "sheets")[0].nextSibling)
+        for e in _children(held, "definedName"):
+            if e.getAttribute("name") == "_xlnm.Print_Area" and e.getAttribute("localSheetId") == str(at):
+                held.removeChild(e)
+        if area is not None:
+            r0, c0, r1, c1 = area
+            if r1 < r0 or c1 < c0:
+                raise EditError("the area has no cell")
+            place = lambda r, c: re.sub(r"^([A-Z]+)", r"$\1$", _label(r, c))
+            made = held.appendChild(self._new(held, "definedName", name="_xlnm.Print_Area", localSheetId=at))
+            quoted = "'" + sheet.replace("'", "''") + "'"
+            made.appendChild(held.ownerDocument.createTextNode(f"{quoted}!{place(r0, c0)}:{place(r1, c1)}"))
+        if not _children(held):
+            book.removeChild(held)
+
     # Workbook
 
     def set_defined_name(self, name: str, refers_to: str | None) -> None:

@@ -102,3 +102,69 @@ def test_many_files(spark, data):
     files = spark.createDataFrame([("a", bytearray(data)), ("b", bytearray(b"PK none"))], "path string, content binary")
     got = {r.path: r for r in package.edit_workbooks(files, [("set_cell_value", {"sheet": "Old", "row": 0, "col": 0, "value": 5})]).collect()}
     assert got["a"].error is None and cells(bytes(got["a"].content))["Old", 0, 0][1] == 5 and got["b"].error
+
+
+def test_links(data):
+    e = package.Editor(data)
+    e.set_hyperlink("Old", 0, 0, target="https://example.org/?a=1&b=2", tooltip="go")
+    e.set_hyperlink("Old", 1, 0, location="#Other!A1")
+    e.set_hyperlink("Old", 0, 0, target="https://example.org/new")
+    found = {(r[3], r[4]): r[7] for r in xlsx.read(e.save()).ranges if r[1] == "hyperlink"}
+    assert found[0, 0] == "https://example.org/new" and "Other!A1" in (found[1, 0] or "")
+    assert b"a=1" not in package.Package(e.save()).parts["xl/worksheets/_rels/sheet1.xml.rels"]
+    e.rename_sheet("Other", "My Sheet")
+    assert b"'My Sheet'!A1" in package.Package(e.save()).parts["xl/worksheets/sheet1.xml"].replace(b"&apos;", b"'")
+    e.delete_hyperlink("Old", 0, 0)
+    e.delete_hyperlink("Old", 1, 0)
+    assert not [r for r in xlsx.read(e.save()).ranges if r[1] == "hyperlink"]
+    for bad in ({}, {"target": " "}, {"target": "x", "location": "y"}):
+        with pytest.raises(package.EditError):
+            e.set_hyperlink("Old", 0, 0, **bad)
+    with pytest.raises(package.EditError):
+        e.delete_hyperlink("Old", 5, 5)
+
+
+def test_comments(data):
+    e = package.Editor(data)
+    e.set_comment("Old", 2, 1, "second  <note>", "Ann")
+    e.set_comment("Old", 0, 1, "first", "Bo")
+    e.set_comment("Old", 2, 1, "changed", "Bo")
+    found = [(r[3], r[4], r[7], r[8]) for r in xlsx.read(e.save()).ranges if r[1] == "comment"]
+    assert found == [(0, 1, "first", "Bo"), (2, 1, "changed", "Bo")]
+    parts = package.Package(e.save()).parts
+    assert parts["xl/drawings/vmlDrawing1.vml"].count(b"ObjectType") == 2 and b"legacyDrawing" in parts["xl/worksheets/sheet1.xml"]
+    e.delete_comment("Old", 0, 1)
+    again = package.Editor(e.save())
+    again.set_comment("Old", 3, 3, "more")
+    assert [(r[3], r[7]) for r in xlsx.read(again.save()).ranges if r[1] == "comment"] == [(2, "changed"), (3, "more")]
+    with pytest.raises(package.EditError):
+        again.delete_comment("Old", 9, 9)
+
+
+def test_print_area(data):
+    e = package.Editor(data)
+    e.set_print_area("Old", (0, 0, 4, 27))
+    e.set_print_area("Other", (1, 1, 1, 1))
+    e.set_print_area("Old", (0, 0, 2, 27))
+    raw = package.Package(e.save()).parts["xl/workbook.xml"].decode()
+    assert "'Old'!$A$1:$AB$3" in raw.replace("&apos;", "'") and raw.count("_xlnm.Print_Area") == 2
+    e.set_print_area("Old", None)
+    e.set_print_area("Other", None)
+    assert "_xlnm" not in package.Package(e.save()).parts["xl/workbook.xml"].decode()
+    with pytest.raises(package.EditError):
+        e.set_print_area("Old", (2, 0, 1, 0))
+
+
+def test_table_range(data):
+    e = package.Editor(data)
+    root = e.package
+    table = f'<table xmlns="{package.MAIN}" id="1" name="T" displayName="Sales" ref="A1:B3"><autoFilter ref="A1:B3"/><tableColumns count="2"><tableColumn id="1" name="a"/><tableColumn id="2" name="b"/></tableColumns></table>'
+    e._linked_part("Old", "table", "xl/tables/table", "xml", table, "application/vnd.openxmlformats-officedocument.spreadsheetml.table+xml")
+    e.set_table_range("sales", 0, 0, 9, 1)
+    raw = package.Package(e.save()).parts["xl/tables/table1.xml"].decode()
+    assert raw.count('ref="A1:B10"') == 2 and root.parts
+    for bad in ((0, 0, 9, 2), (1, 0, 9, 1), (0, 0, 0, 1)):
+        with pytest.raises(package.EditError):
+            e.set_table_range("Sales", *bad)
+    with pytest.raises(package.EditError):
+        e.set_table_range("None", 0, 0, 2, 1)
