@@ -104,18 +104,27 @@ def typed_rows(cells: DataFrame, wanted: dict[str, tuple[int, str]], first_row:
 
 
 def read_rows(cells: DataFrame, wanted: dict[str, str], skip_missing: bool = False) -> DataFrame:
-    """Rows by header names (trimmed, the first of equal ones) of one sheet; types as in value_as.
-
-    The header row is one row, so its columns come to the driver.
+    """Rows of each sheet by the names in its own first populated row (trimmed, the first of equal
+    ones); types as in value_as. A sheet without a wanted name is an error or, with skip_missing,
+    has NULL there; a name that no sheet has is then left out.
     """
-    known: dict[str, int] = {}
-    for r in headers(cells).orderBy("col").collect():
-        known.setdefault(r["header"].strip(), r["col"])
-    missing = [n for n in wanted if n not in known]
-    if missing and not skip_missing:
-        raise ValueError(f"missing range header: {missing[0]}")
-    top = cells.agg(F.min("row")).first()[0]
-    return typed_rows(cells, {n: (known[n], k) for n, k in wanted.items() if n in known}, (top or 0) + 1)
+    named = headers(cells).withColumn("__name", F.trim("header")).where(F.col("__name").isin(*wanted))
+    found = named.groupBy(*SHEET, "__name").agg(F.min("col").alias("col"))
+    tops = bounds(cells).select(*SHEET, F.col("r0").alias("__top"))
+    if skip_missing:
+        held = {r["__name"] for r in found.select("__name").distinct().collect()}
+        wanted = {n: k for n, k in wanted.items() if n in held}
+    else:
+        told = found.groupBy(*SHEET).agg(F.collect_set("__name").alias("__names"))
+        lacking = F.array_except(F.array(*map(F.lit, wanted)), F.coalesce("__names", F.array().cast("array<string>")))
+        first_ = tops.join(told, SHEET, "left").select(lacking.alias("lacking")).where(F.size("lacking") > 0).first()
+        if first_:
+            raise ValueError(f"missing range header: {first_['lacking'][0]}")
+    body = cells.join(found, [*SHEET, "col"]).join(tops, SHEET).where(F.col("row") > F.col("__top"))
+    whole = F.struct("kind", "num", "str", "bool", "err", "display")
+    mine = lambda n: F.col("__name") == n
+    picked = body.groupBy(*SHEET, "row").agg(F.first("__top"), *[F.max_by(F.when(mine(n), whole), F.when(mine(n), 1)).alias(f"__{i}") for i, n in enumerate(wanted)])
+    return picked.select(*SHEET, "row", *[value_as(k, F.col(f"__{i}")).alias(n) for i, (n, k) in enumerate(wanted.items())])
 
 
 def a1(row: Column, col: Column) -> Column:

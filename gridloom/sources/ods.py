@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 
+from gridloom.plans.formula import column_letters
 from gridloom.plans.grid import number_text
 from gridloom.sources import numfmt
 from gridloom.sources.model import MAX_TEXT, ReadError, Workbook, open_zip, part
-from gridloom.sources.xlsx import every, get, local, tree
+from gridloom.sources.xlsx import box, every, get, local, tree
 
 #: What a copy of a repeated cell counts besides its text, against the budget of MAX_TEXT; and the grid.
 COPY_COST, ROWS, COLUMNS = 2048, 1 << 20, 16_384
@@ -49,8 +50,18 @@ def read(data: bytes) -> Workbook:
     book = Workbook(parts=[(i.filename, i.file_size, i.compress_size) for i in archive.infolist()])
     hidden = {get(s, "name") for s in every(root, "style") if any(get(p, "display") == "false" for p in every(s, "table-properties"))}
     tables = every(root, "table")
+    rules = {get(e, "name"): get(e, "condition") or "" for e in every(root, "content-validation")}
     for index, table in enumerate(tables):
-        _table(book, index, table, get(table, "style-name") in hidden)
+        _table(book, index, table, get(table, "style-name") in hidden, rules)
+    titles = [get(t, "name", "") for t in tables]
+    for e in every(root, "database-range"):
+        title, area = _area(get(e, "target-range-address") or "")
+        if title not in titles or area is None:
+            continue
+        at = titles.index(title)
+        book.add_range(at, "table", area, name=get(e, "name"))
+        if get(e, "display-filter-buttons") == "true":
+            book.sheets[at] = (*book.sheets[at][:-1], f"{_label(*area[:2])}:{_label(*area[2:])}")
     for e in every(root, "named-range"):
         book.names.append((None, get(e, "name", ""), get(e, "cell-range-address", "").replace("$", "")))
     return book
@@ -71,7 +82,20 @@ class _Copies:
         return True
 
 
-def _table(book: Workbook, index: int, table, hidden: bool) -> None:
+def _label(row: int, col: int) -> str:
+    return f"{column_letters(col)}{row + 1}"
+
+
+def _area(address: str) -> tuple[str, tuple[int, int, int, int] | None]:
+    """The sheet and the rectangle of an address such as 'My Sheet'.A1:'My Sheet'.B9."""
+    ends = [re.fullmatch(r"\$?(?:'((?:[^']|'')*)'|([^.']*))?\.(\$?[A-Za-z]+\$?[0-9]+)", x) for x in re.findall(r"(?:'(?:[^']|'')*'|[^':])+", address)]
+    if not 1 <= len(ends) <= 2 or not all(ends):
+        return "", None
+    title = ends[0][1].replace("''", "'") if ends[0][1] is not None else ends[0][2] or ""
+    return title, box(f"{ends[0][3]}:{ends[-1][3]}")
+
+
+def _table(book: Workbook, index: int, table, hidden: bool, rules: dict[str, str]) -> None:
     title, row, copies = get(table, "name", ""), 0, _Copies(book)
     book.sheets.append((index, title, "WorkSheet", "hidden" if hidden else "visible", None, None, None, False, True, None, get(table, "protected") == "true", None))
     for r in every(table, "table-row"):
@@ -86,6 +110,9 @@ def _table(book: Workbook, index: int, table, hidden: bool) -> None:
                     if k and not copies.take(made[1]):
                         break
                     found.append((col + k, *made))
+            rule = get(c, "content-validation-name")
+            if rule in rules:
+                book.add_range(index, "validation", (row, col, min(row + times, ROWS) - 1, min(col + across, COLUMNS) - 1), text=rules[rule])
             notes += [("comment", col, _paragraphs(a)) for a in c if local(a.tag) == "annotation"] + [("hyperlink", col, get(a, "href")) for a in every(c, "a")]
             down, wide = int(get(c, "number-rows-spanned") or 1), int(get(c, "number-columns-spanned") or 1)
             if down > 1 or wide > 1:

@@ -98,6 +98,47 @@ def read(data: bytes, codepage: int | None = None) -> Workbook:
         raise ReadError("biff", str(e)) from None
 
 
+#: Class ids of links to addresses and to files.
+URL_LINK, FILE_LINK = (bytes.fromhex(x) for x in ("e0c9ea79f9bace118c8200aa004ba90b", "0303000000000000c000000000000046"))
+
+
+def link(b: bytes) -> str | None:
+    """The target of a link record, behind its range: an address, a file or #place; None if it has none."""
+    try:
+        flags, at = struct.unpack_from("<I", b, 20)[0], 24
+
+        def text() -> str:
+            nonlocal at
+            n = struct.unpack_from("<I", b, at)[0]
+            at += 4 + 2 * n
+            return b[at - 2 * n : at].decode("utf-16-le", "replace").rstrip("\0")
+
+        for part in (0x14, 0x80):  # shown text, frame
+            if flags & part:
+                text()
+        target = ""
+        if flags & 0x101 == 0x101:  # a path as plain text
+            target = text()
+        elif flags & 1:
+            kind, at = b[at : at + 16], at + 16
+            if kind == URL_LINK:
+                n = struct.unpack_from("<I", b, at)[0]
+                target = b[at + 4 : at + 4 + n].decode("utf-16-le", "replace").split("\0")[0]
+                at += 4 + n
+            elif kind == FILE_LINK:
+                up, n = struct.unpack_from("<HI", b, at)
+                target = "../" * up + b[at + 6 : at + 6 + n].rstrip(b"\0").decode("latin-1").replace("\\", "/")
+                at += 6 + n + 24
+                at += 4 + struct.unpack_from("<I", b, at)[0]
+            else:
+                return None
+        if flags & 8:
+            target += "#" + text()
+        return target or None
+    except struct.error:
+        return None
+
+
 class _Reader:
     def __init__(self, codepage: int | None):
         self.book, self.codec, self.forced = Workbook(), CODEPAGES.get(codepage or 0, "cp1252"), codepage is not None
@@ -112,6 +153,9 @@ class _Reader:
         self.shares: dict[tuple, tuple] = {}
         self.shared: dict[tuple, tuple[bytes, bytes, bool]] = {}
         self.last = (0, 0)
+        # The texts of drawn notes, by sheet and object, and the object at hand.
+        self.notes: dict[tuple[int, int], str] = {}
+        self.object: int | None = None
 
     def short(self, b: bytes, at: int) -> str:
         """A string with a length byte."""
@@ -243,6 +287,24 @@ class _Reader:
             for i in range((len(b) - 6) // 6):
                 xf, raw = struct.unpack_from("<HI", b, 4 + 6 * i)
                 self.put(sheet, row, col + i, xf, rk(raw))
+        elif kind == 0x1B8:
+            r0, r1, c0, c1 = struct.unpack_from("<4H", b)
+            self.book.add_range(sheet, "hyperlink", (r0, c0, r1, c1), text=link(b"".join(pieces)[8:]))
+        elif kind == 0x5D and len(b) >= 8:
+            self.object = struct.unpack_from("<H", b, 6)[0] if struct.unpack_from("<H", b)[0] == 0x15 else None
+        elif kind == 0x1B6 and self.object is not None and len(pieces) > 1 and len(b) >= 12:
+            n, body = struct.unpack_from("<H", b, 10)[0], pieces[1]
+            two = bool(body[:1]) and body[0] & 1
+            self.notes[sheet, self.object] = body[1 : 1 + n * (1 + two)].decode("utf-16-le" if two else "latin-1", "replace")
+        elif kind == 0x1C and self.wide and len(b) >= 11:
+            row, col, _, shown, n = struct.unpack_from("<5H", b)
+            two = b[10] & 1
+            author = b[11 : 11 + n * (1 + two)].decode("utf-16-le" if two else "latin-1", "replace")
+            self.book.add_range(sheet, "comment", (row, col, row, col), text=self.notes.get((sheet, shown), ""), author=author)
+        elif kind == 0x1C and len(b) >= 6:
+            row, col, n = struct.unpack_from("<3H", b)
+            if row != 0xFFFF:
+                self.book.add_range(sheet, "comment", (row, col, row, col), text=b[6 : 6 + n].decode(self.codec, "replace"))
         elif kind == 0xE5:
             for i in range(struct.unpack_from("<H", b)[0]):
                 r0, r1, c0, c1 = struct.unpack_from("<4H", b, 2 + 8 * i)

@@ -19,6 +19,7 @@ from gridloom.sources.xlsx import relations
 ROW, BLANK, RK, ERROR, BOOL, REAL, ST, ISST, FMLA_ST, FMLA_NUM, FMLA_BOOL, FMLA_ERROR = range(12)
 SST_ITEM, XF, FMT, BUNDLE, WB_PROP, MERGE, HLINK, NAME, CELL_XFS, CELL_XFS_END = 19, 47, 44, 156, 153, 176, 494, 39, 617, 618
 #: Records of what formulas refer to, and of shared and array formulas.
+COMMENT_AUTHOR, COMMENT, COMMENT_TEXT = 632, 635, 637
 EXTERN_SHEETS, SUP_BOOK, SUP_SELF, SUP_SAME, ARRAY, SHARED = 362, 355, 357, 358, 426, 427
 
 
@@ -158,6 +159,9 @@ def _sheet(book: Workbook, archive, index: int, title: str, target: str, strings
         elif kind == HLINK:
             r0, r1, c0, c1 = struct.unpack_from("<4I", b)
             book.add_range(index, "hyperlink", (r0, c0, r1, c1), text=rels.get(wide(b, 16)[0], ("", None))[1])
+    for kind, target in rels.values():
+        if kind == "comments":
+            _comments(book, index, records(part(archive, target) or b""))
     for k, c in enumerate(book.cells):
         to = shares.get((c[3], c[4])) if c[0] == index else None
         if to in shared:
@@ -165,6 +169,19 @@ def _sheet(book: Workbook, archive, index: int, title: str, target: str, strings
             book.cells[k] = (*c[:10], tokens.told(body, extra, replace(context, base=(c[3], c[4]) if moves else to)), *c[11:])
 
 
+def _comments(book: Workbook, index: int, found: Iterator[tuple[int, bytes]]) -> None:
+    authors, at = [], None
+    for kind, b in found:
+        if kind == COMMENT_AUTHOR:
+            authors.append(wide(b, 0)[0])
+        elif kind == COMMENT:
+            who, row, _, col, _ = struct.unpack_from("<5I", b)
+            at = (row, col, row, col), authors[who] if who < len(authors) else ""
+        elif kind == COMMENT_TEXT and at:
+            book.add_range(index, "comment", at[0], text=wide(b, 1)[0], author=at[1])
+            at = None
+
+
 def _value(kind: int, b: bytes, strings: list[str]) -> tuple[object, int]:
     """The value of a cell record, and where what follows it begins."""
     if kind == RK:

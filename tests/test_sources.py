@@ -138,6 +138,20 @@ def _biff(kind, body=b""):
     return struct.pack("<HH", kind, len(body)) + body
 
 
+def xls_book(stream):
+    """A workbook stream in a compound file of one FAT sector, read."""
+    import struct
+
+    stream = stream.ljust(4096, b"\0")
+    stream += bytes(-len(stream) % 512)
+    n = len(stream) // 512
+    fat = struct.pack("<2I", 0xFFFFFFFD, 0xFFFFFFFE) + struct.pack(f"<{n}I", *range(3, n + 2), 0xFFFFFFFE)
+    entry = lambda name, kind, start, size: (name.encode("utf-16-le")).ljust(64, b"\0") + struct.pack("<HBB", 2 * len(name) + 2, kind, 1) + struct.pack("<3I", *[0xFFFFFFFF] * 3) + bytes(36) + struct.pack("<IQ", start, size)
+    directory = (entry("Root Entry", 5, 0xFFFFFFFE, 0) + entry("Workbook", 2, 2, len(stream))).ljust(512, b"\0")
+    header = b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1" + bytes(16) + struct.pack("<HHHHH", 0x3E, 3, 0xFFFE, 9, 6) + bytes(6) + struct.pack("<III", 0, 1, 1) + bytes(4) + struct.pack("<4I", 4096, 0xFFFFFFFE, 0, 0xFFFFFFFE) + bytes(4)
+    return workbook.open_bytes(header[:76].ljust(76, b"\0") + struct.pack("<I", 0) + b"\xff" * 432 + fat.ljust(512, b"\xff") + directory + stream)
+
+
 def test_xls():
     """A workbook stream in a compound file of one FAT sector."""
     import struct
@@ -258,3 +272,46 @@ def test_workbooks_with_all_their_tables(spark, tmp_path):
     assert [(s[1], s[3], s[4], s[5]) for s in book.sheets] == [("Data", "visible", 1, 2), ("Empty", "hidden", book.sheets[1][4], book.sheets[1][5])]
     assert sorted(book.names, key=str) == sorted([(None, "Answer", "Data!$A$1"), ("Data", "Own", "42")], key=str)
     assert [r[3:7] for r in book.ranges if r[1] == "merge"] == [(0, 0, 0, 2)] and [c[10] for c in book.cells] == [None, "A1+1"]
+
+
+def test_xls_links_and_notes():
+    import struct
+
+    bof = lambda kind: _biff(0x809, struct.pack("<HHHH", 0x600, kind, 0, 0) + bytes(8))
+    text = lambda x: struct.pack("<I", len(x) + 1) + (x + "\0").encode("utf-16-le")
+    url = "https://example.org/".encode("utf-16-le") + b"\0\0"
+    head = bytes(16) + struct.pack("<I", 2)
+    links = [struct.pack("<I", 0x17) + text("shown") + xls.URL_LINK + struct.pack("<I", len(url)) + url, struct.pack("<I", 8) + text("Data!A1"), struct.pack("<I", 1) + xls.FILE_LINK + struct.pack("<HI", 1, 6) + b"b.xls\0" + bytes(24) + struct.pack("<I", 0)]
+    assert [xls.link(head + x) for x in links] == ["https://example.org/", "#Data!A1", "../b.xls"] and xls.link(b"") is None
+    stream = bof(5) + _biff(0x85, struct.pack("<IBB", 0, 0, 0) + bytes([4, 0]) + b"Data") + _biff(0x0A) + bof(16)
+    stream += _biff(0x1B8, struct.pack("<4H", 1, 1, 0, 2) + head + links[0])
+    stream += _biff(0x5D, struct.pack("<4H", 0x15, 0x12, 0x19, 7) + bytes(14)) + _biff(0x1B6, bytes(10) + struct.pack("<H", 4) + bytes(6)) + _biff(0x3C, b"\0note")
+    stream += _biff(0x1C, struct.pack("<5H", 2, 3, 0, 7, 3) + b"\0Ann") + _biff(0x0A)
+    book = xls_book(stream)
+    assert [(r[1], r[3:7], r[7], r[8]) for r in book.ranges] == [("hyperlink", (1, 0, 1, 2), "https://example.org/", None), ("comment", (2, 3, 2, 3), "note", "Ann")]
+
+
+def test_xls_shared_formulas():
+    import struct
+
+    bof = lambda kind: _biff(0x809, struct.pack("<HHHH", 0x600, kind, 0, 0) + bytes(8))
+    head = bof(5) + _biff(0x85, struct.pack("<IBB", 0, 0, 0) + bytes([4, 0]) + b"Data") + _biff(0x0A) + bof(16)
+    exp = b"\x01" + struct.pack("<HH", 0, 1)
+    cell = lambda row, body: _biff(0x06, struct.pack("<HHHd", row, 1, 0, 1.0) + bytes(6) + struct.pack("<H", len(body)) + body)
+    near = b"\x4c" + struct.pack("<HH", 0, 0xC0FF) + b"\x1e\x02\x00\x05"
+    shared = _biff(0x4BC, struct.pack("<HHBBBB", 0, 2, 1, 1, 0, 3) + struct.pack("<H", len(near)) + near)
+    book = xls_book(head + cell(0, exp) + shared + cell(1, exp) + cell(2, exp) + _biff(0x0A))
+    assert [(c[3], c[10]) for c in book.cells] == [(0, "A1*2"), (1, "A2*2"), (2, "A3*2")]
+
+
+def test_ods_validations_and_database_ranges():
+    t, o, x = "urn:oasis:names:tc:opendocument:xmlns:table:1.0", "urn:oasis:names:tc:opendocument:xmlns:office:1.0", "urn:oasis:names:tc:opendocument:xmlns:text:1.0"
+    body = (
+        '<t:content-validations><t:content-validation t:name="v" t:condition="cell-content()&gt;0"/></t:content-validations>'
+        '<t:table t:name="It\'s"><t:table-row t:number-rows-repeated="2"><t:table-cell t:content-validation-name="v" o:value-type="float" o:value="1"><x:p>1</x:p></t:table-cell></t:table-row></t:table>'
+        '<t:database-ranges><t:database-range t:name="Block" t:target-range-address="\'It\'\'s\'.A1:\'It\'\'s\'.B9" t:display-filter-buttons="true"/><t:database-range t:name="Gone" t:target-range-address="No.A1"/></t:database-ranges>'
+    )
+    content = f'<o:document-content xmlns:t="{t}" xmlns:o="{o}" xmlns:x="{x}"><o:body><o:spreadsheet>{body}</o:spreadsheet></o:body></o:document-content>'
+    book = workbook.open_bytes(zipped({"mimetype": "application/vnd.oasis.opendocument.spreadsheet", "content.xml": content}))
+    assert [(r[1], r[2], r[3:7], r[7]) for r in book.ranges] == [("validation", None, (0, 0, 1, 0), "cell-content()>0"), ("table", "Block", (0, 0, 8, 1), None)]
+    assert book.sheets[0][-1] == "A1:B9" and len(book.cells) == 2
