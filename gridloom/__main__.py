@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from gridloom.operators import cells as C
 from gridloom.operators import export, report
 from gridloom.plans import grid
-from gridloom.sources.workbook import workbooks
+from gridloom.sources.workbook import read_tables, workbooks
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -65,8 +65,10 @@ def main(argv: list[str] | None = None) -> int:
         for r in export.document(export.csv_rows(cells, pad_leading=True)).orderBy(*order[:2]).toLocalIterator():
             print(r.text)
     elif args.command == "diagnose":
-        made = report.stats(cells).join(report.features(workbooks(spark, args.path, "sheets"), workbooks(spark, args.path, "ranges"), workbooks(spark, args.path, "names")), "workbook_id", "left")
-        for r in report.to_json(made).orderBy("workbook_id").toLocalIterator():
+        tables = read_tables(spark.read.format("binaryFile").load(args.path))
+        done = grid.evaluate(C.effective(tables["cells"]), tables["names"])
+        done = done.join(tables["sheets"].select("workbook_id", "sheet_index", F.col("name").alias("sheet")), ["workbook_id", "sheet"])
+        for r in report.report_v1(tables, done).orderBy("workbook_id").toLocalIterator():
             print(r.report)
     elif args.command == "inspect-package":
         workbooks(spark, args.path, "parts").orderBy("workbook_id", "part").show(args.limit, False)

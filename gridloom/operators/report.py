@@ -36,18 +36,19 @@ MAX_EVALUATED = 10_000
 
 
 def bounded_outcomes(evaluated: DataFrame) -> DataFrame:
-    """workbook_id, computed, errors, cached (fallbacks) and truncated: whether formulas beyond the
-    first MAX_EVALUATED of a workbook, in order of sheet and place, were left out.
+    """workbook_id, computed, errors (computed ones that are errors), cached (fallbacks), truncated
+    (whether formulas beyond the first MAX_EVALUATED of a workbook, in order of sheet and place, were
+    left out) and reasons (of the fallbacks).
 
-    evaluated has sheet_index, row, col, status and value.
+    evaluated has sheet_index, row, col, status, value and perhaps reason.
     """
     place = Window.partitionBy("workbook_id").orderBy("sheet_index", "row", "col")
     ranked = evaluated.withColumn("__at", F.row_number().over(place))
     counted = ranked.where(F.col("__at") <= MAX_EVALUATED + 1).withColumn("__in", F.col("__at") <= MAX_EVALUATED)
     is_in, ok = F.col("__in"), F.col("status") == "computed"
     return counted.groupBy("workbook_id").agg(
-        F.count_if(is_in & ok).alias("computed"), F.count_if(is_in & ok & (F.col("value.kind") == "error")).alias("errors"),
-        F.count_if(is_in & ~ok).alias("cached"), F.bool_or(~is_in).alias("truncated"),
+        F.count_if(is_in & ok & (F.col("value.kind") != "error")).alias("computed"), F.count_if(is_in & ok & (F.col("value.kind") == "error")).alias("errors"),
+        F.count_if(is_in & ~ok).alias("cached"), F.bool_or(~is_in).alias("truncated"), F.collect_list(F.when(is_in & ~ok, F.col("reason"))).alias("reasons") if "reason" in evaluated.columns else F.lit(None).alias("reasons"),
     )
 
 
@@ -61,6 +62,52 @@ def warnings(report: DataFrame) -> DataFrame:
     return report.select("workbook_id", F.array_compact(F.array(*[F.when(c, name) for name, c in named.items()])).alias("warnings"))
 
 
+#: The features of a report in order, and of each the kind of range that it counts.
+FEATURES = {
+    "comments": "comment", "data_validations": "validation", "tables": "table", "merged_ranges": "merge", "hyperlinks": "hyperlink", "images": "image", "charts": "chart", "sparklines": "sparkline",
+    "conditional_formatting": "conditional", "hidden_sheets": None, "frozen_panes": None, "page_setup": None, "protection": None, "pivot_tables": None, "vba_project": None,
+    "threaded_comments": None, "external_links": None, "custom_xml": None,
+}
+#: The parts of a package that some features count.
+FEATURE_PARTS = {
+    "pivot_tables": r"(?i)^xl/pivotTables/pivotTable[^/]*\.xml$", "vba_project": r"(?i)vbaProject\.bin$", "threaded_comments": r"(?i)^xl/threadedComments/[^/]*\.xml$",
+    "external_links": r"(?i)^xl/externalLinks/externalLink[^/]*\.xml$", "custom_xml": r"(?i)^customXml/item[0-9]+\.xml$",
+}
+
+
+def report_v1(tables: dict[str, DataFrame], evaluated: DataFrame) -> DataFrame:
+    """workbook_id and report: the JSON report of each workbook, schema version 1, keys in their order.
+
+    tables: workbooks, sheets, cells (every write counts), names, ranges and parts of schema.py.
+    Page setups are not read and count as none.
+    """
+    key = "workbook_id"
+    books = tables["workbooks"]
+    sheets = tables["sheets"].groupBy(key).agg(
+        F.count(F.lit(1)).alias("sheets"), F.count_if(F.col("visible") != "visible").alias("hidden_sheets"),
+        F.count_if((F.coalesce("freeze_row", F.lit(0)) > 0) | (F.coalesce("freeze_col", F.lit(0)) > 0)).alias("frozen_panes"), F.count_if("protected").alias("protection"),
+    )
+    cells = tables["cells"].groupBy(key).agg(F.count(F.lit(1)).alias("cells"), F.count_if(F.col("kind") == "formula").alias("formulas"))
+    ranges = tables["ranges"].groupBy(key).agg(*[F.count_if(F.col("kind") == kind).alias(name) for name, kind in FEATURES.items() if kind])
+    names = tables["names"].groupBy(key).agg(F.count_if(F.col("scope_sheet").isNull()).alias("defined_names_count"), F.count("scope_sheet").alias("local_defined_names_count"))
+    parts = tables["parts"].groupBy(key).agg(*[F.count_if(F.col("part").rlike(p)).alias(name) for name, p in FEATURE_PARTS.items()])
+    done = bounded_outcomes(evaluated)
+    rows = books
+    for other in (sheets, cells, ranges, names, parts, done):
+        rows = rows.join(other, key, "left")
+    counts = [c for df in (sheets, cells, ranges, names, parts) for c in df.columns if c != key] + ["computed", "errors", "cached"]
+    rows = rows.withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})
+    rows = rows.withColumns({"truncated": F.coalesce("truncated", F.lit(False)), "vba_project": F.col("vba_project") > 0, "page_setup": F.lit(0), "reasons": F.array_sort(F.coalesce("reasons", F.array().cast("array<string>")))})
+    told = F.transform(F.array_distinct("reasons"), lambda r: F.struct(r, F.size(F.filter("reasons", lambda x: x == r))))
+    made = F.struct(
+        F.lit(1).alias("schema_version"), "format", F.struct("sheets", "cells", "formulas", "text_truncated").alias("stats"),
+        F.struct("title", "subject", "creator", "keywords", "description", "last_modified_by", "company", "created").alias("properties"), "defined_names_count", "local_defined_names_count",
+        F.struct(*FEATURES).alias("features"), F.struct("computed", "errors", "cached", F.col("cached").alias("unsupported"), "truncated", F.map_from_entries(told).alias("by_reason")).alias("evaluation"), "warnings",
+    )
+    rows = rows.join(warnings(rows), key)
+    return rows.select(key, F.to_json(made, {"ignoreNullFields": "false"}).alias("report"))
+
+
 def head_and_total(df: DataFrame, n: int, *order: Column | str) -> DataFrame:
     """The first n rows, each with the number of all rows: counted past the limit."""
     total = df.agg(F.count(F.lit(1)).alias("total"))

@@ -782,7 +782,7 @@ def grid_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Report warnings, counts past a limit, and checks of properties
 
 
-@query("""SELECT event_type AS workbook_id, least(n, 10000) - cached AS computed, errors, cached, n > 10000 AS truncated,
+@query("""SELECT event_type AS workbook_id, least(n, 10000) - cached - errors AS computed, errors, cached, n > 10000 AS truncated,
           concat_ws(',', CASE WHEN cached > 0 THEN 'FormulaFallbackPresent' END, CASE WHEN n > 10000 THEN 'FormulaEvaluationTruncated' END, CASE WHEN event_type = 'click' THEN 'MacrosPresentNotExecuted' END,
                     CASE WHEN event_type IN ('click', 'view') THEN 'PivotTablesPreservedNotModeled' END) AS warnings
           FROM (SELECT event_type, count(*) AS n, count(*) FILTER (r <= 10000 AND user_id % 3 = 0) AS cached, count(*) FILTER (r <= 10000 AND user_id % 3 = 1) AS errors
@@ -795,7 +795,23 @@ def report_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = R.bounded_outcomes(evaluated)
     name = F.col("workbook_id")
     told = R.warnings(done.withColumns({"text_truncated": F.lit(False), "vba_project": name == "click", "pivot_tables": F.when(name.isin("click", "view"), 1).otherwise(0)}))
-    return done.join(told, "workbook_id").withColumn("warnings", F.array_join("warnings", ","))
+    return done.drop("reasons").join(told, "workbook_id").withColumn("warnings", F.array_join("warnings", ","))
+
+
+_FEATURES_SQL = '"comments":0,"data_validations":0,"tables":0,"merged_ranges":0,"hyperlinks":0,"images":0,"charts":0,"sparklines":0,"conditional_formatting":0,"hidden_sheets":0,"frozen_panes":0,"page_setup":0,"protection":0,"pivot_tables":0,"vba_project":false,"threaded_comments":0,"external_links":0,"custom_xml":0'
+
+
+@query(f"""SELECT p_brand AS workbook_id, '{{"schema_version":1,"format":"xlsx","stats":{{"sheets":1,"cells":' || 4 * n || ',"formulas":' || n || ',"text_truncated":false}},"properties":{{"title":"Parts","subject":null,"creator":"A & B","keywords":null,"description":null,"last_modified_by":null,"company":null,"created":null}},"defined_names_count":0,"local_defined_names_count":0,"features":{{{_FEATURES_SQL}}},"evaluation":{{"computed":' || n || ',"errors":0,"cached":0,"unsupported":0,"truncated":false,"by_reason":{{}}}},"warnings":[]}}' AS report
+           FROM (SELECT p_brand, count(*) AS n FROM part GROUP BY 1)""")
+def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of each workbook of parts, whose properties an edit has set and whose formulas are evaluated."""
+    from gridloom.plans import grid
+    from gridloom.sources import package, workbook
+
+    files = package.edit_workbooks(brand_books(spark, sf_dir), [("set_document_properties", {"title": "Parts", "creator": "A & B"})])
+    tables = workbook.read_tables(files)
+    evaluated = grid.evaluate(C.effective(tables["cells"]), tables["names"]).withColumn("sheet_index", F.lit(0))
+    return R.report_v1(tables, evaluated)
 
 
 @query("SELECT o_orderkey, o_totalprice, (SELECT count(*) FROM orders) AS total FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50")

@@ -13,5 +13,10 @@ SHEETS = (
 NAMES = "workbook_id string, scope_sheet string, name string, refers_to string"
 RANGES = "workbook_id string, sheet_index int, kind string, name string, r0 int, c0 int, r1 int, c1 int, text string, author string"
 PARTS = "workbook_id string, part string, size long, compressed long"
+#: One row a workbook that was read. Indices that are not given are NULL.
+WORKBOOKS = (
+    "workbook_id string, format string, title string, subject string, creator string, keywords string, description string, last_modified_by string, company string, created string, "
+    "active_sheet int, structure_protected boolean, date1904 boolean, text_truncated boolean"
+)
 ERRORS = "workbook_id string, error_kind string, message string"
 EVALUATED = f"workbook_id string, sheet string, row int, col int, status string, value {VALUE}, reason string"

@@ -10,6 +10,9 @@ from dataclasses import dataclass, field
 MAX_TEXT, MAX_ENTRIES, MAX_ENTRY, MAX_TOTAL, MAX_NAME = 256 << 20, 65_536, 256 << 20, 512 << 20, 4096
 
 
+PROPERTIES = ("title", "subject", "creator", "keywords", "description", "last_modified_by", "company", "created")
+
+
 class ReadError(Exception):
     """kind is a code of report.DECISIONS."""
 
@@ -27,6 +30,11 @@ class Workbook:
     names: list[tuple] = field(default_factory=list)
     ranges: list[tuple] = field(default_factory=list)
     parts: list[tuple] = field(default_factory=list)
+    #: Document properties by the names of schema.WORKBOOKS.
+    properties: dict[str, str | None] = field(default_factory=dict)
+    active_sheet: int | None = None
+    structure_protected: bool = False
+    format: str = ""
     date1904: bool = False
     text_left: int = MAX_TEXT
     truncated: bool = False
@@ -48,6 +56,11 @@ class Workbook:
         else:
             self.cells.append((*place, own, v["num"], v["str"], v["bool"], v["err"], None, None, display, style))
 
+    @property
+    def workbooks(self) -> list[tuple]:
+        told = [self.properties.get(k) for k in PROPERTIES]
+        return [(self.format, *told, self.active_sheet, self.structure_protected, self.date1904, self.truncated)]
+
     def add_range(self, index: int, kind: str, box: tuple[int, int, int, int], name: str | None = None, text: str | None = None, author: str | None = None) -> None:
         self.ranges.append((index, kind, name, *box, text, author))
 

@@ -348,7 +348,7 @@ class Editor:
 
     # Relations of a sheet
 
-    def _relation(self, of: str, kind: str, target: str, external: bool = False) -> str:
+    def _relation(self, of: str, kind: str, target: str, external: bool = False, base: str = RELS) -> str:
         """The id of a relation, which is made if it is missing."""
         p = self.package
         for k, t, rid in p._targets(of):
@@ -359,7 +359,7 @@ class Editor:
         taken = {e.getAttribute("Id") for e in _all(rels, "Relationship")}
         rid = next(f"rId{n}" for n in range(1, len(taken) + 2) if f"rId{n}" not in taken)
         mode = {"TargetMode": "External"} if external else {}
-        rels.documentElement.appendChild(self._new(rels.documentElement, "Relationship", Id=rid, Type=f"{RELS}/{kind}", Target=target if external else "/" + target, **mode))
+        rels.documentElement.appendChild(self._new(rels.documentElement, "Relationship", Id=rid, Type=f"{base}/{kind}", Target=target if external else "/" + target, **mode))
         p.parts[name] = rels.toxml("UTF-8")
         return rid
 
@@ -620,7 +620,10 @@ class Editor:
         """title, subject, creator, keywords, description or lastModifiedBy; None removes one."""
         path = next((t for k, t, _ in self.package._targets("") if k == "core-properties"), None)
         if path is None or path not in self.package.parts:
-            raise EditError("the package has no core properties")
+            path = "docProps/core.xml"
+            self.package.parts[path] = f'<cp:coreProperties xmlns:cp="{PACKAGE}/metadata/core-properties" xmlns:dc="http://purl.org/dc/elements/1.1/"/>'.encode()
+            self._content_type(path, "application/vnd.openxmlformats-package.core-properties+xml")
+            self._relation("", "core-properties", path, base=f"{PACKAGE}/relationships/metadata")
         root = self.package.tree(path).documentElement
         for name, text in values.items():
             for e in _children(root, name):
@@ -628,7 +631,7 @@ class Editor:
             if text is not None:
                 prefix = "cp" if name in ("keywords", "lastModifiedBy") else "dc"
                 node = root.ownerDocument.createElement(f"{prefix}:{name}")
-                node.appendChild(root.ownerDocument.createTextNode(xml_text(text)))
+                node.appendChild(root.ownerDocument.createTextNode(text))
                 root.appendChild(node)
 
 

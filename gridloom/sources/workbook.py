@@ -3,8 +3,8 @@
     spark.dataSource.register(WorkbookSource)
     spark.read.format("workbook").option("table", "cells").load("folder-or-glob")
 
-One input partition a file. Options: table (cells, sheets, names, ranges, parts or
-errors), mode (PERMISSIVE skips a file that cannot be read, which table errors
+One input partition a file. Options: table (cells, sheets, names, ranges, parts,
+workbooks or errors), mode (PERMISSIVE skips a file that cannot be read, which table errors
 lists; FAILFAST raises), sheet (only that sheet's cells), codepage (for .xls).
 Paths are listed and read through Spark's file systems with workbooks(); load()
 by path is for folders that driver and executors mount alike.
@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from itertools import islice
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -28,33 +29,43 @@ from gridloom.sources.model import ReadError, Workbook
 
 #: Rows that go out together.
 BATCH = 10_000
-TABLES = {"cells": schema.CELLS, "sheets": schema.SHEETS, "names": schema.NAMES, "ranges": schema.RANGES, "parts": schema.PARTS, "errors": schema.ERRORS}
+TABLES = {"cells": schema.CELLS, "sheets": schema.SHEETS, "names": schema.NAMES, "ranges": schema.RANGES, "parts": schema.PARTS, "workbooks": schema.WORKBOOKS, "errors": schema.ERRORS}
 
 
 def open_bytes(data: bytes, codepage: int | None = None) -> Workbook:
     """A workbook of any known container, by its first bytes and parts."""
     if data[:2] == b"PK":
-        return xlsb.read(data) if xlsb.is_xlsb(data) else ods.read(data) if ods.is_ods(data) else xlsx.read(data)
-    return xls.read(data, codepage)
-
-
-def rows(path: str, data: bytes, table: str, mode: str = "PERMISSIVE", sheet: str | None = None, codepage: int | None = None) -> Iterator[tuple]:
+        kind, reader = ("xlsb", xlsb.read) if xlsb.is_xlsb(data) else ("ods", ods.read) if ods.is_ods(data) else ("xlsx", xlsx.read)
+        book = reader(data)
+        macros = kind == "xlsx" and any(name.endswith("vbaProject.bin") for name, *_ in book.parts)
+        book.format = "xlsm" if macros else kind
+        return book
+    book = xls.read(data, codepage)
+    book.format = "xls"
+    return book
+
+
+def all_rows(path: str, data: bytes, mode: str = "PERMISSIVE", sheet: str | None = None, codepage: int | None = None) -> Iterator[tuple[str, Iterator[tuple]]]:
+    """The rows of each table of one file."""
     try:
         book = open_bytes(data, codepage)
     except Exception as e:  # whatever a damaged file leads to is that file's error, not the scan's
         if mode.upper() == "FAILFAST":
             raise
-        if table == "errors":
-            kind = e.kind if isinstance(e, ReadError) else "xml" if data[:2] == b"PK" else "biff"
-            yield path, kind, str(e) or type(e).__name__
-        return
-    if table == "errors":
-        if book.truncated:
-            yield path, "text_truncated", "text beyond the limit was left out"
+        kind = e.kind if isinstance(e, ReadError) else "xml" if data[:2] == b"PK" else "biff"
+        yield "errors", iter([(path, kind, str(e) or type(e).__name__)])
         return
-    for row in getattr(book, table):
-        if table != "cells" or sheet is None or row[1] == sheet:
-            yield (path, *row)
+    if book.truncated:
+        yield "errors", iter([(path, "text_truncated", "text beyond the limit was left out")])
+    for table in TABLES:
+        if table != "errors":
+            yield table, ((path, *row) for row in getattr(book, table) if table != "cells" or sheet is None or row[1] == sheet)
+
+
+def rows(path: str, data: bytes, table: str, mode: str = "PERMISSIVE", sheet: str | None = None, codepage: int | None = None) -> Iterator[tuple]:
+    for name, found in all_rows(path, data, mode, sheet, codepage):
+        if name == table:
+            yield from found
 
 
 class _File(InputPartition):
@@ -114,6 +125,32 @@ def read_files(files: DataFrame, table: str = "cells", **options) -> DataFrame:
     return files.mapInArrow(run, kind)
 
 
+def read_tables(files: DataFrame, **options) -> dict[str, DataFrame]:
+    """All tables of files (path, content), each file parsed once: one pass gives the rows of every
+    table with the union of their columns. It is persisted, in memory or on disk; a lost executor
+    costs another parse of its files."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StringType, StructField, StructType
+
+    kinds = {t: StructType.fromDDL(ddl) for t, ddl in TABLES.items()}
+    fields = {f.name: f for kind in kinds.values() for f in kind.fields}
+    whole = StructType([StructField("__table", StringType()), *fields.values()])
+    arrow = to_arrow_schema(whole)
+
+    def run(batches):
+        for batch in batches:
+            for name, content in zip(batch.column(0), batch.column(1)):
+                path = name.as_py()
+                for table, found in all_rows(path, content.as_py(), **options):
+                    found = iter(found)
+                    while made := list(islice(found, BATCH)):
+                        held = dict(zip(kinds[table].names, zip(*made))) | {"__table": [table] * len(made)}
+                        yield pa.RecordBatch.from_arrays([pa.array(held[f.name], f.type) if f.name in held else pa.nulls(len(made), f.type) for f in arrow], schema=arrow)
+
+    tagged = files.select("path", "content").mapInArrow(run, whole).persist(StorageLevel.MEMORY_AND_DISK)
+    return {t: tagged.where(F.col("__table") == t).select(*kind.names) for t, kind in kinds.items()}
+
+
 def to_workbooks(cells: DataFrame, sheets: DataFrame | None = None, names: DataFrame | None = None, ranges: DataFrame | None = None) -> DataFrame:
     """workbook_id, content (an .xlsx file) and error for each workbook of a cells table (effective cells).
 

@@ -110,6 +110,24 @@ def box(ref: str) -> tuple[int, int, int, int] | None:
     return (min(p[0], q[0]), min(p[1], q[1]), max(p[0], q[0]), max(p[1], q[1])) if p and q else None
 
 
+#: Elements of the property parts and what they are called in schema.WORKBOOKS.
+PROPERTY_PARTS = {
+    "core-properties": {"title": "title", "subject": "subject", "creator": "creator", "keywords": "keywords", "description": "description", "lastModifiedBy": "last_modified_by", "created": "created"},
+    "extended-properties": {"Company": "company"},
+}
+
+
+def properties(archive) -> dict[str, str | None]:
+    out: dict[str, str | None] = {}
+    for kind, target in relations(archive, "").values():
+        root = tree(part(archive, target)) if kind in PROPERTY_PARTS else None
+        for e in root if root is not None else ():
+            name = PROPERTY_PARTS[kind].get(local(e.tag))
+            if name and e.text:
+                out[name] = e.text
+    return out
+
+
 def read(data: bytes) -> Workbook:
     archive = open_zip(data)
     start = next((t for kind, t in relations(archive, "").values() if kind == "officeDocument"), "xl/workbook.xml")
@@ -120,6 +138,10 @@ def read(data: bytes) -> Workbook:
     by_kind = {kind: target for kind, target in rels.values()}
     book = Workbook(date1904=any(true(get(e, "date1904")) for e in every(root, "workbookPr")))
     book.parts = [(i.filename, i.file_size, i.compress_size) for i in archive.infolist()]
+    book.properties = properties(archive)
+    active = next((get(e, "activeTab") for e in every(root, "workbookView")), None)
+    book.active_sheet = int(active) if active and active.isdigit() else None
+    book.structure_protected = any(true(get(e, "lockStructure")) for e in every(root, "workbookProtection"))
     strings = [text_of(e) for e in every(tree(part(archive, by_kind.get("sharedStrings", ""))), "si")]
     kinds = _formats(tree(part(archive, by_kind.get("styles", ""))))
     listed = every(root, "sheet")

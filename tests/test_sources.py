@@ -315,3 +315,25 @@ def test_ods_validations_and_database_ranges():
     book = workbook.open_bytes(zipped({"mimetype": "application/vnd.oasis.opendocument.spreadsheet", "content.xml": content}))
     assert [(r[1], r[2], r[3:7], r[7]) for r in book.ranges] == [("validation", None, (0, 0, 1, 0), "cell-content()>0"), ("table", "Block", (0, 0, 8, 1), None)]
     assert book.sheets[0][-1] == "A1:B9" and len(book.cells) == 2
+
+
+def test_workbooks_table_and_report(spark):
+    import json
+
+    from gridloom.operators import report as R
+    from gridloom.sources import package
+
+    e = package.Editor(xlsx.write([SHEET, {"title": "Hidden", "cells": {}, "state": "hidden"}], [(None, "Answer", "1"), ("Hidden", "Own", "2")]))
+    e.set_document_properties(title="a & <b>", keywords="k")
+    e.set_comment("Calc_ 1", 0, 0, "note")
+    files = spark.createDataFrame([("books/a.xlsx", bytearray(e.save()))], "path string, content binary")
+    tables = workbook.read_tables(files)
+    assert all(sorted(map(str, df.collect())) == sorted(map(str, workbook.read_files(files, t).collect())) for t, df in tables.items())
+    row = tables["workbooks"].first()
+    assert (row.format, row.title, row.keywords, row.creator, row.structure_protected, row.text_truncated) == ("xlsx", "a & <b>", "k", None, False, False)
+    evaluated = grid.evaluate(C.effective(tables["cells"]), tables["names"]).withColumn("sheet_index", F.lit(0))
+    got = json.loads(R.report_v1(tables, evaluated).first().report)
+    assert list(got) == ["schema_version", "format", "stats", "properties", "defined_names_count", "local_defined_names_count", "features", "evaluation", "warnings"]
+    assert list(got["features"]) == list(R.FEATURES) and got["features"]["hidden_sheets"] == got["features"]["comments"] == got["features"]["merged_ranges"] == 1
+    assert (got["defined_names_count"], got["local_defined_names_count"], got["stats"]["sheets"], got["features"]["vba_project"]) == (1, 1, 2, False)
+    assert got["evaluation"]["computed"] + got["evaluation"]["errors"] + got["evaluation"]["cached"] == got["stats"]["formulas"] == 2
