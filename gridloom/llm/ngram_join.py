@@ -255,6 +255,8 @@ def _linked(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
     that these left in different components; what those link are components.
     """
     near = stage_table(_within_bitmaps(pairs, reps), "near")
+    if near.isEmpty():
+        return near.select(F.col("x").alias("node"), F.col("y").alias("component"))
     ids = stage_table(near.select(F.explode(F.array("x", "y")).alias("rep")).distinct(), "near-ids")
     sets = stage_table(whole_rows(docs, ids), "sets")
     star = near.groupBy("y").agg(F.min(F.struct("x", "nx", "ny")).alias("p")).select("p.x", "y", "p.nx", "p.ny")
@@ -328,20 +330,8 @@ def _cross_pairs(blocks: DataFrame, found: DataFrame) -> DataFrame:
     return joined.select(F.col("a.rep").alias("x"), F.col("b.rep").alias("y"))
 
 
-@settled("near")
-def join(docs: DataFrame) -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id (the smallest linked doc_id), copy_of.
-
-    copy_of is the smallest doc_id with the same set.
-    """
-    need_columns(docs, "doc_id", "text")
-    made = stage_table(rows(docs), "rows")
-    same = made.where("n > 0 AND doc_id IS NOT NULL").groupBy("key")
-    reps = stage_table(same.agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "head", "bits")]), "reps")
-    members = stage_table(made.select("doc_id", "n", "key"), "members")
-    drop_stage(made)
-
-    hot = stage_table(_hot(reps, "head"), "hot")
+def _linked_with_hot(docs: DataFrame, reps: DataFrame, hot: DataFrame) -> DataFrame:
+    """node, component of linked rows, where hot columns go last in the order."""
     held = _postings(reps.select("rep", "n", F.col("head").alias("own")), sketch(hot))
     found = stage_table(spread_join(held, hot, "t", "rep").groupBy("rep").agg(F.collect_list("t").alias("hots")), "found")
     split = stage_table(_split(reps, sketch(found.select("rep"))), "split")
@@ -365,6 +355,29 @@ def join(docs: DataFrame) -> DataFrame:
     cross = stage_table(_cross_pairs(fill, linked).distinct(), "cross")
     if not cross.isEmpty():
         linked = _with(linked, _linked(cross, docs, reps).select(F.col("node").alias("u"), F.col("component").alias("v")))
+    return linked
+
+
+@settled("near")
+def join(docs: DataFrame) -> DataFrame:
+    """One row a document: doc_id, n_shingles, component_id (the smallest linked doc_id), copy_of.
+
+    copy_of is the smallest doc_id with the same set.
+    """
+    need_columns(docs, "doc_id", "text")
+    made = stage_table(rows(docs), "rows")
+    same = made.where("n > 0 AND doc_id IS NOT NULL").groupBy("key")
+    reps = stage_table(same.agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "head", "bits")]), "reps")
+    members = stage_table(made.select("doc_id", "n", "key"), "members")
+    drop_stage(made)
+
+    hot = stage_table(_hot(reps, "head"), "hot")
+    if hot.isEmpty():  # no column needs to go last
+        first = F.slice("head", F.lit(1), (F.floor(F.col("n") / 5) + 1).cast("int"))
+        own = reps.select("rep", "n", F.explode(first).alias("t"))
+        linked = _linked(_sparse_pairs(own, own, True), docs, reps)
+    else:
+        linked = _linked_with_hot(docs, reps, hot)
 
     classes = reps.select("key", "rep").join(linked.select(F.col("node").alias("rep"), "component"), "rep", "left")
     out = members.join(classes, "key", "left")
