@@ -197,9 +197,9 @@ def date_serial(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").select("o_orderkey", dates.serial(day).alias("serial"), dates.serial(day, True).alias("serial_1904"))
 
 
-@query(f"SELECT event_id, {_DAY.format(c='ts')} + ((hour(ts)*3600 + minute(ts)*60)::DOUBLE + floor(second(ts)::DOUBLE)) / 86400.0::DOUBLE AS serial FROM events")
+@query(f"SELECT event_id, {_DAY.format(c='ts')} + ((hour(ts)*3600 + minute(ts)*60)::DOUBLE + microsecond(ts)::DOUBLE / 1000000.0::DOUBLE) / 86400.0::DOUBLE AS serial FROM events")
 def datetime_serial(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "events").select("event_id", dates.serial(F.date_trunc("second", "ts")).alias("serial"))
+    return read(spark, sf_dir, "events").select("event_id", dates.serial(F.col("ts")).alias("serial"))
 
 
 @query("""SELECT p_partkey, CASE WHEN s < 60 THEN strftime(DATE '1899-12-31' + s::INT, '%Y-%m-%d') ELSE strftime(DATE '1899-12-30' + s::INT, '%Y-%m-%d') END AS day
@@ -430,9 +430,10 @@ def style_kind_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(styles, "style_id", "left").select(*LINE, "class")
 
 
-@query("""SELECT l_orderkey, l_linenumber, r0, r1 FROM lineitem JOIN (SELECT k * 1000 AS r0, k * 1000 + 300 AS r1 FROM (SELECT unnest(range(0, 60)) AS k)) ON l_orderkey BETWEEN r0 AND r1 AND l_linenumber BETWEEN 2 AND 4""")
+@query("""SELECT l_orderkey, l_linenumber, r0, r1 FROM lineitem JOIN (SELECT k * 1000 AS r0, k * 1000 + 300 AS r1 FROM (SELECT DISTINCT l_orderkey // 1000 AS k FROM lineitem)) ON l_orderkey BETWEEN r0 AND r1 AND l_linenumber BETWEEN 2 AND 4""")
 def merge_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranges = spark.range(60).select(F.lit("w").alias("workbook_id"), F.lit(0).alias("sheet_index"), (F.col("id") * 1000).alias("r0"), (F.col("id") * 1000 + 300).alias("r1"), F.lit(2).alias("c0"), F.lit(4).alias("c1"))
+    """A rectangle for each thousand of order keys there is."""
+    ranges = read(spark, sf_dir, "lineitem").select(F.expr("l_orderkey div 1000").alias("id")).distinct().select(F.lit("w").alias("workbook_id"), F.lit(0).alias("sheet_index"), (F.col("id") * 1000).alias("r0"), (F.col("id") * 1000 + 300).alias("r1"), F.lit(2).alias("c0"), F.lit(4).alias("c1"))
     found = C.covering(line_writes(spark, sf_dir), ranges)
     return found.select(F.col("row").alias("l_orderkey"), F.col("col").alias("l_linenumber"), "r0", "r1")
 
