@@ -22,7 +22,7 @@ from gridloom.operators.edit import rewritten
 from gridloom.plans.formula import MAX_COLS, MAX_ROWS, cell_place, column_letters
 from gridloom.plans.grid import number_text
 from gridloom.sources.model import ReadError, open_zip
-from gridloom.sources.xlsx import MAIN, PACKAGE, RELS, box, xml_text
+from gridloom.sources.xlsx import MAIN, PACKAGE, RELS, box
 
 #: The most cells that one edit clears, and values that one appends.
 MAX_CLEAR, MAX_APPEND = 10_000, 16_384
