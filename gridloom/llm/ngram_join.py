@@ -195,8 +195,13 @@ def _split(reps: DataFrame, marked) -> DataFrame:
     def run(batches):
         for batch in batches:
             may = _may_hold(marked.value, batch.column(0).to_numpy(zero_copy_only=False))
-            heads = batch.column(2).to_pylist() if not may.all() else [None] * batch.num_rows
-            own = pa.array([None if m else h[: first_part(n)] for m, h, n in zip(may, heads, batch.column(1).to_pylist())], pa.list_(pa.int64()))
+            lists, n = batch.column(2), batch.column(1).to_numpy(zero_copy_only=False)
+            long = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            kept = np.where(may, 0, np.minimum(long, n // 5 + 1))
+            place = np.arange(int(long.sum())) - np.repeat(np.cumsum(long) - long, long)
+            values = lists.flatten().to_numpy(zero_copy_only=False)[place < np.repeat(kept, long)]
+            ends = pa.array(np.concatenate(([0], np.cumsum(kept))).astype(np.int32))
+            own = pa.ListArray.from_arrays(ends, pa.array(values, pa.int64()), mask=pa.array(may))
             head = pc.if_else(pa.array(may), batch.column(2), pa.scalar(None, pa.list_(pa.int64())))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), own, head], ["rep", "n", "own", "head"])
 
