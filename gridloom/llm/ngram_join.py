@@ -7,15 +7,17 @@ least 4/9 of the two sizes together (Jaccard 0.8). Sizes bound what is needed:
 - Documents with equal sets are one row.
 - Columns have one global order. Of a row of n columns only the first n/5 + 1
   are multiplied: two rows whose first parts share nothing cannot reach 0.8.
-- The order is by hash, but hot columns (in over HOT first parts) come last, so
-  a passage that many documents share is multiplied only for rows that hold
-  little else. Such rows ("dense") are reread whole to order their columns.
+- The order is by hash, but late columns come last: those of a bit table of the
+  hot ones (in over HOT first parts, as counted in one of SAMPLE rows). So a
+  passage that many documents share is multiplied only for rows that hold little
+  else; these ("dense") are reread whole to order their columns. Any set of late
+  columns gives the same result, so the sample decides only how many pairs are made.
 - Pairs of the blocks go on only if their sizes are within 4 : 5, and then only
   if the Hamming distance of two parity bitmaps, which never exceeds the true
   difference of the sets, is within 1/9 of the sizes.
 - What remains is counted exactly on the whole sets.
 
-In blocks of hot columns, pairs are first made with two pivots each; after that
+In blocks of hot columns, late or hot among dense rows, pairs are first made with two pivots each; after that
 only pairs of different components are made, within size classes, if the hot
 columns alone could reach the overlap. Pairs within a component need no check,
 since the result is the components.
@@ -41,11 +43,13 @@ from gridloom.llm.components import components
 
 #: Words of a shingle.
 WORDS = 5
-#: A column in more first parts than this is hot.
-HOT = 64
+#: A column in more first parts than this is hot: counted in one of SAMPLE rows, by hash of their id.
+HOT, SAMPLE = 64, 4
 #: Bits of a sketch of keys: 4 MB, however many keys there are. It only spares shuffling what has no
 #: partner; as more keys set more bits, it spares less, and results stay the same.
 SKETCH = 1 << 25
+#: Rows that a task takes from a batch at a time, so that it holds the arrays of few.
+SLICE = 1_000
 
 _rng = np.random.default_rng(20_240_229)
 _BYTES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -102,11 +106,18 @@ def bitmap(columns: np.ndarray) -> np.ndarray:
     return np.packbits(odd).view(np.int64)
 
 
+def _slices(batches):
+    """The batches in parts of at most SLICE rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def rows(docs: DataFrame) -> DataFrame:
     """doc_id, n, key (equal for equal sets), head (a bit over the first part), bits."""
 
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             made = []
             for text in batch.column(1):
                 s = shingles(text.as_py())
@@ -134,7 +145,7 @@ def sketch(keys: DataFrame):
 
     def run(batches):
         found = np.zeros(SKETCH // 64, np.uint64)
-        for batch in batches:
+        for batch in _slices(batches):
             for at in _places(batch.column(0).to_numpy(zero_copy_only=False)):
                 np.bitwise_or.at(found, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
         word = np.flatnonzero(found)
@@ -166,11 +177,12 @@ def whole_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(mask & ids_.is_valid().to_numpy(zero_copy_only=False)))
 
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             made = pa.array([shingles(t.as_py()) for t in batch.column(1)], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), made], ["rep", "columns"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").mapInArrow(choose, "rep long, text string").join(ids.select("rep"), "rep", "left_semi")
+    # Merged at any size: a broadcast would put both functions in one task, with a Python process each.
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").mapInArrow(choose, "rep long, text string").join(ids.select("rep").hint("merge"), "rep", "left_semi")
     return texts.mapInArrow(run, "rep long, columns array<long>")
 
 
@@ -178,7 +190,7 @@ def _postings(table: DataFrame, among) -> DataFrame:
     """rep, n, t of the columns (array own) that may be in a sketch."""
 
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             lists = batch.column(2)
             t = lists.flatten().to_numpy(zero_copy_only=False)
             row = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
@@ -189,27 +201,48 @@ def _postings(table: DataFrame, among) -> DataFrame:
     return table.select("rep", "n", "own").mapInArrow(run, "rep long, n long, t long")
 
 
-def _split(reps: DataFrame, marked) -> DataFrame:
-    """rep, n, and own (the first part) of rows that have no hot column, head of those that may have."""
+def _first_parts(reps: DataFrame, late) -> DataFrame:
+    """rep, n, own: the first part of each row without late columns; null where head has too few others (a dense row)."""
 
     def run(batches):
-        for batch in batches:
-            may = _may_hold(marked.value, batch.column(0).to_numpy(zero_copy_only=False))
-            lists, n = batch.column(2), batch.column(1).to_numpy(zero_copy_only=False)
-            long = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-            kept = np.where(may, 0, np.minimum(long, n // 5 + 1))
-            place = np.arange(int(long.sum())) - np.repeat(np.cumsum(long) - long, long)
-            values = lists.flatten().to_numpy(zero_copy_only=False)[place < np.repeat(kept, long)]
+        for batch in _slices(batches):
+            lists, need = batch.column(2), first_part(batch.column(1).to_numpy(zero_copy_only=False))
+            long = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            t = lists.flatten().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(lists)), long)
+            early = ~_may_hold(late.value, t)
+            t, row = t[early], row[early]
+            cold = np.bincount(row, minlength=len(lists))
+            place = np.arange(len(row)) - (np.cumsum(cold) - cold)[row]
+            dense = cold < need
+            kept = np.where(dense, 0, need)
             ends = pa.array(np.concatenate(([0], np.cumsum(kept))).astype(np.int32))
-            own = pa.ListArray.from_arrays(ends, pa.array(values, pa.int64()), mask=pa.array(may))
-            head = pc.if_else(pa.array(may), batch.column(2), pa.scalar(None, pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), own, head], ["rep", "n", "own", "head"])
+            own = pa.ListArray.from_arrays(ends, pa.array(t[place < kept[row]], pa.int64()), mask=pa.array(dense))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), own], ["rep", "n", "own"])
+
+    return reps.select("rep", "n", "head").mapInArrow(run, "rep long, n long, own array<long>")
 
-    return reps.select("rep", "n", "head").mapInArrow(run, "rep long, n long, own array<long>, head array<long>")
 
+def _told_late(rows: DataFrame, late) -> DataFrame:
+    """rep, n, columns, and of these the late ones (hot1) and the others (cold1), in order."""
 
-def _hot(table: DataFrame, columns: str) -> DataFrame:
-    return table.select(F.explode(columns).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > HOT).select("t")
+    def run(batches):
+        for batch in _slices(batches):
+            lists = batch.column(2)
+            t = lists.flatten().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            mask, made = _may_hold(late.value, t), []
+            for own in (mask, ~mask):
+                ends = np.concatenate(([0], np.cumsum(np.bincount(row[own], minlength=len(lists))))).astype(np.int32)
+                made.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(t[own], pa.int64())))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], ["rep", "n", "columns", "hot1", "cold1"])
+
+    return rows.select("rep", "n", "columns").mapInArrow(run, "rep long, n long, columns array<long>, hot1 array<long>, cold1 array<long>")
+
+
+def _hot(reps: DataFrame) -> DataFrame:
+    sample = reps.where(F.pmod(F.xxhash64("rep"), F.lit(SAMPLE)) == 0)
+    return sample.select(F.explode("head").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > HOT // SAMPLE).select("t")
 
 
 def _near_sizes(a: Column, b: Column) -> Column:
@@ -281,22 +314,19 @@ def _with(found: DataFrame, links: DataFrame) -> DataFrame:
     return stage_table(components(links.select("u", "v").union(found.select(F.col("node").alias("u"), F.col("component").alias("v")))), "components")
 
 
-def _dense_blocks(dense: DataFrame, hot: DataFrame) -> DataFrame:
-    """Of rows whose first part needs hot columns: what each multiplies.
+def _dense_blocks(dense: DataFrame) -> DataFrame:
+    """Of rows whose first part needs late columns (hot1): what each multiplies.
 
-    own: its first columns that are neither hot nor hot among dense rows; bridge:
-    those of its first not-hot columns that are hot among dense rows only; fill:
+    own: its first columns that are neither late nor hot among dense rows; bridge:
+    those of its first not-late columns that are hot among dense rows only; fill:
     the hot columns that complete its first part; f: its hot columns altogether.
     """
-    cold = dense.select("rep", F.explode("columns").alias("t")).join(hot, "t", "left_anti")
+    cold = dense.select("rep", F.explode("cold1").alias("t"))
     more = stage_table(cold.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > HOT).select("t"), "hot")
-    named = hot.select("t", F.lit(1).alias("kind")).union(more.select("t", F.lit(2).alias("kind")))
-    found = dense.select("rep", F.explode("columns").alias("t")).join(named, "t").groupBy("rep")
-    found = found.agg(*[F.collect_list(F.when(F.col("kind") == k, F.col("t"))).alias(f"hot{k}") for k in (1, 2)])
-    joined = dense.join(found, "rep", "left").withColumns({f"hot{k}": F.coalesce(f"hot{k}", _no_longs()) for k in (1, 2)})
+    found = cold.join(more, "t").groupBy("rep").agg(F.collect_list("t").alias("hot2"))
+    joined = dense.join(found, "rep", "left").withColumn("hot2", F.coalesce("hot2", _no_longs()))
     k = (F.floor(F.col("n") / 5) + 1).cast("int")
-    rest = F.array_except("columns", "hot1")
-    joined = joined.withColumns({"k": k, "cold1": rest, "cold2": F.array_except(rest, "hot2"), "hots": F.concat("hot1", "hot2")})
+    joined = joined.withColumns({"k": k, "cold2": F.array_except("cold1", "hot2"), "hots": F.concat("hot1", "hot2")})
     missing = F.greatest(F.lit(0), F.col("k") - F.size("cold2"))
     return joined.select(
         "rep", "n",
@@ -335,25 +365,18 @@ def _cross_pairs(blocks: DataFrame, found: DataFrame) -> DataFrame:
     return joined.select(F.col("a.rep").alias("x"), F.col("b.rep").alias("y"))
 
 
-def _linked_with_hot(docs: DataFrame, reps: DataFrame, hot: DataFrame) -> DataFrame:
-    """node, component of linked rows, where hot columns go last in the order."""
-    held = _postings(reps.select("rep", "n", F.col("head").alias("own")), sketch(hot))
-    found = stage_table(spread_join(held, hot, "t", "rep").groupBy("rep").agg(F.collect_list("t").alias("hots")), "found")
-    split = stage_table(_split(reps, sketch(found.select("rep"))), "split")
-    k = (F.floor(F.col("n") / 5) + 1).cast("int")
-    marked = split.where("head IS NOT NULL").select("rep", "n", "head").join(found, "rep", "left")
-    marked = marked.withColumn("cold", F.array_except("head", F.coalesce("hots", _no_longs())))
-    marked = marked.select("rep", "n", F.slice("cold", F.lit(1), k).alias("own"), (F.size("cold") < k).alias("dense"))
-    marked = stage_table(marked.select("rep", "n", "dense", F.when(F.col("dense"), F.lit(None)).otherwise(F.col("own")).alias("own")), "marked")
-    blocks = split.where("head IS NULL").select("rep", "n", F.lit(False).alias("dense"), "own").union(marked)
-    dense_ids = stage_table(blocks.where("dense").select("rep", "n"), "dense-ids")
-    dense = stage_table(whole_rows(docs, dense_ids).join(dense_ids, "rep"), "dense")
-    dense = stage_table(_dense_blocks(dense, hot), "dense-first")
-
-    plain = blocks.where("NOT dense").select("rep", "n", F.explode("own").alias("t"))
-    own = plain.union(dense.select("rep", "n", F.explode("own").alias("t")))
+def _linked_rows(docs: DataFrame, reps: DataFrame, firsts: DataFrame, late) -> DataFrame:
+    """node, component of linked rows, where late columns go last in the order."""
+    dense_ids = stage_table(firsts.where("own IS NULL").select("rep", "n"), "dense-ids")
+    own = firsts.select("rep", "n", F.explode("own").alias("t"))
+    if dense_ids.isEmpty():
+        return _linked(_sparse_pairs(own, own, True), docs, reps)
+    whole = stage_table(whole_rows(docs, dense_ids).join(dense_ids, "rep"), "dense-whole")
+    dense = stage_table(_told_late(whole, late), "dense")
+    dense = stage_table(_dense_blocks(dense), "dense-first")
+    own = own.union(dense.select("rep", "n", F.explode("own").alias("t")))
     bridge = stage_table(dense.select("rep", "n", F.explode("bridge").alias("t")), "bridge")
-    across = _postings(blocks.where("NOT dense"), sketch(bridge.select("t")))
+    across = _postings(firsts, sketch(bridge.select("t")))
     fill = stage_table(dense.select("rep", "n", "f", F.explode("fill").alias("t")), "fill")
     pairs = _sparse_pairs(own, own, True).union(_sparse_pairs(bridge, across, False)).union(_pivot_pairs(fill))
     linked = _linked(pairs, docs, reps)
@@ -363,6 +386,27 @@ def _linked_with_hot(docs: DataFrame, reps: DataFrame, hot: DataFrame) -> DataFr
     return linked
 
 
+def _distinct_rows(made: DataFrame) -> DataFrame:
+    """key, rep (the smallest doc_id), n, head, bits of each set.
+
+    Only rows whose key may stand in several rows, by a sketch, are shuffled.
+    """
+    made = made.where("n > 0 AND doc_id IS NOT NULL")
+    several = sketch(made.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(F.xxhash64("key")))
+
+    def chosen(wanted: bool) -> DataFrame:
+        def run(batches):
+            for batch in _slices(batches):
+                mask = _may_hold(several.value, batch.column(0).to_numpy(zero_copy_only=False))
+                yield batch.filter(pa.array(mask == wanted))
+
+        kinds = "mark long, key binary, doc_id long, n long, head array<long>, bits array<long>"
+        return made.select(F.xxhash64("key").alias("mark"), "key", F.col("doc_id").cast("long").alias("doc_id"), "n", "head", "bits").mapInArrow(run, kinds)
+
+    one = chosen(False).select("key", F.col("doc_id").alias("rep"), "n", "head", "bits")
+    return one.union(chosen(True).groupBy("key").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "head", "bits")]))
+
+
 @settled("near")
 def join(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (the smallest linked doc_id), copy_of.
@@ -371,18 +415,16 @@ def join(docs: DataFrame) -> DataFrame:
     """
     need_columns(docs, "doc_id", "text")
     made = stage_table(rows(docs), "rows")
-    same = made.where("n > 0 AND doc_id IS NOT NULL").groupBy("key")
-    reps = stage_table(same.agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "head", "bits")]), "reps")
+    heads = stage_table(_distinct_rows(made), "heads")
     members = stage_table(made.select("doc_id", "n", "key"), "members")
     drop_stage(made)
 
-    hot = stage_table(_hot(reps, "head"), "hot")
-    if hot.isEmpty():  # no column needs to go last
-        first = F.slice("head", F.lit(1), (F.floor(F.col("n") / 5) + 1).cast("int"))
-        own = reps.select("rep", "n", F.explode(first).alias("t"))
-        linked = _linked(_sparse_pairs(own, own, True), docs, reps)
-    else:
-        linked = _linked_with_hot(docs, reps, hot)
+    hot = stage_table(_hot(heads), "hot")
+    late = sketch(hot)
+    firsts = stage_table(_first_parts(heads, late), "first-parts")
+    reps = stage_table(heads.select("key", "rep", "n", "bits"), "reps")
+    drop_stage(heads)
+    linked = _linked_rows(docs, reps, firsts, late)
 
     classes = reps.select("key", "rep").join(linked.select(F.col("node").alias("rep"), "component"), "rep", "left")
     out = members.join(classes, "key", "left")

@@ -1,6 +1,9 @@
+import random
+
 import brute
+import numpy as np
 import pytest
-from conftest import table
+from conftest import prose, table
 
 from gridloom.llm import common, digest_index, ngram_join
 from gridloom.llm.components import components
@@ -110,3 +113,48 @@ def test_no_tables_are_left(spark):
     before = len(common._stages)
     digest_index.deduplicate(table(spark, [(1, "a", None, None)])).collect()
     assert {t.name for t in spark.catalog.listTables()} == tables and len(common._stages) == before + 1
+
+
+def test_near_common_passage_makes_no_postings(spark, monkeypatch):
+    """A passage in many documents that hold enough else is never posted: its rows would grow with the square of its group."""
+    rng, posted, posts = random.Random(11), [], ngram_join._postings
+    passage = prose(rng, "en", 20)
+    rows = [(i, " ".join(f"own{i}x{k}" for k in range(80)) + f" {passage}", None, None) for i in range(200)]
+    rows += [(200 + i, f"{t} end", None, None) for i, t, *_ in rows[:20]]
+    monkeypatch.setattr(ngram_join, "_postings", lambda *args: posted.append(posts(*args).count()) or posts(*args))
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.join(table(spark, rows)).collect())
+    assert got == brute.near([(d, t) for d, t, *_ in rows]) and not sum(posted)
+
+
+def test_near_drops_heads_before_the_product(docs, monkeypatch):
+    """While pairs are made, no table in the shared folder holds more of a row than its first part."""
+    made, alive, stage, before = {}, [], ngram_join.stage_table, len(common._stages)
+
+    def spy(df, name):
+        out = stage(df, name)
+        made[common._stages[-1]] = out.columns
+        if name == "near":
+            alive.append([made[path] for path in common._stages[before:]])
+        return out
+
+    monkeypatch.setattr(ngram_join, "stage_table", spy)
+    ngram_join.join(docs.where("doc_id IS NOT NULL"))
+    assert alive and not any({"head", "text"} & set(columns) for tables in alive for columns in tables)
+
+
+def test_near_any_late_columns_give_the_same(docs, rows, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HOT", 8)
+    got = ngram_join.join(docs.where("doc_id IS NOT NULL"))
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute.near(with_ids(rows))
+
+
+def test_near_first_parts_without_late_columns(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, n, sorted(rng.choice(400, min(n, n // 5 + 1 + n // 10 + 8), replace=False).tolist())) for i, n in enumerate(rng.integers(1, 120, 3 * ngram_join.SLICE).tolist())]
+    late = set(range(0, 400, 3))
+    found = ngram_join.sketch(spark.createDataFrame([(t,) for t in late], "t long"))
+    late = set(np.arange(400)[ngram_join._may_hold(found.value, np.arange(400))].tolist())
+    got = ngram_join._first_parts(spark.createDataFrame(rows, "rep long, n long, head array<long>").coalesce(1), found).collect()
+    want = {i: (n, [t for t in head if t not in late]) for i, n, head in rows}
+    assert {r.rep: (r.n, r.own) for r in got} == {i: (n, cold[: n // 5 + 1] if len(cold) > n // 5 else None) for i, (n, cold) in want.items()}
+    assert any(r.own is None for r in got) and any(r.own for r in got)
