@@ -41,6 +41,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Removes a query's shuffle files when the query ends.
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows of a batch that goes to Python or back: 10,000 by default, which texts and arrays make large.
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: At most so many rows go to Python at once where stage tables are made, and are worked on at once.
+SLICE = 1_000
 #: Folders of the stage tables that this process has written and not deleted.
 _stages: list[str] = []
 
@@ -56,10 +60,14 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/gridloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df = df.withColumns({c: df[c].cast("string") for c, kind in df.dtypes if kind == "void"})
     before = spark.conf.get(_CLEAN, None)
+    most = spark.conf.get(_BATCH)
     spark.conf.set(_CLEAN, "true")
+    if not 0 < int(most) <= SLICE:
+        spark.conf.set(_BATCH, str(SLICE))
     try:
         df.write.parquet(path)
     finally:
+        spark.conf.set(_BATCH, most)
         spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
     _stages.append(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -70,6 +78,13 @@ def _delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
+def slices(batches, most: int = SLICE):
+    """Arrow batches in parts of at most so many rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, most):
+            yield batch.slice(at, most)
+
+
 def settled(name: str):
     """Makes an operator write its result as a stage table and then delete the stage
     tables that it made on the way, so only results stay in the shared folder."""

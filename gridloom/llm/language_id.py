@@ -21,12 +21,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import need_columns
+from gridloom.llm.common import need_columns, slices
 
 #: Length of a profile.
 PROFILE = 300
 #: The fit's bound: about so many labelled rows of each language are counted.
 TRAIN_ROWS = 4000
+#: Rows whose n-grams a task holds before it adds them up.
+FIT_ROWS = 100
 #: Below this score a document is taken to be in none of the learned languages.
 MIN_SCORE = 0.05
 UNKNOWN = "und"
@@ -115,7 +117,7 @@ def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> Profiles:
             u, where = np.unique(keys, return_inverse=True)
             sums[lang] = u, np.bincount(where, np.concatenate([c for _, c in parts])).astype(np.int64)
 
-        for batch in batches:
+        for batch in slices(batches, FIT_ROWS):
             new: dict[str, list] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 new.setdefault(lang, []).append(grams(text.as_py()))

@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import drop_stage, need_columns, settled, spread_join, stage_table
+from gridloom.llm.common import drop_stage, need_columns, settled, slices, spread_join, stage_table
 from gridloom.llm.components import components
 
 #: Words of a shingle.
@@ -48,8 +48,6 @@ HOT, SAMPLE = 64, 4
 #: Bits of a sketch of keys: 4 MB, however many keys there are. It only spares shuffling what has no
 #: partner; as more keys set more bits, it spares less, and results stay the same.
 SKETCH = 1 << 25
-#: Rows that a task takes from a batch at a time, so that it holds the arrays of few.
-SLICE = 1_000
 
 _rng = np.random.default_rng(20_240_229)
 _BYTES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -106,18 +104,11 @@ def bitmap(columns: np.ndarray) -> np.ndarray:
     return np.packbits(odd).view(np.int64)
 
 
-def _slices(batches):
-    """The batches in parts of at most SLICE rows."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, SLICE):
-            yield batch.slice(at, SLICE)
-
-
 def rows(docs: DataFrame) -> DataFrame:
     """doc_id, n, key (equal for equal sets), head (a bit over the first part), bits."""
 
     def run(batches):
-        for batch in _slices(batches):
+        for batch in slices(batches):
             made = []
             for text in batch.column(1):
                 s = shingles(text.as_py())
@@ -145,7 +136,7 @@ def sketch(keys: DataFrame):
 
     def run(batches):
         found = np.zeros(SKETCH // 64, np.uint64)
-        for batch in _slices(batches):
+        for batch in slices(batches):
             for at in _places(batch.column(0).to_numpy(zero_copy_only=False)):
                 np.bitwise_or.at(found, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
         word = np.flatnonzero(found)
@@ -177,7 +168,7 @@ def whole_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(mask & ids_.is_valid().to_numpy(zero_copy_only=False)))
 
     def run(batches):
-        for batch in _slices(batches):
+        for batch in slices(batches):
             made = pa.array([shingles(t.as_py()) for t in batch.column(1)], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), made], ["rep", "columns"])
 
@@ -190,7 +181,7 @@ def _postings(table: DataFrame, among) -> DataFrame:
     """rep, n, t of the columns (array own) that may be in a sketch."""
 
     def run(batches):
-        for batch in _slices(batches):
+        for batch in slices(batches):
             lists = batch.column(2)
             t = lists.flatten().to_numpy(zero_copy_only=False)
             row = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
@@ -205,7 +196,7 @@ def _first_parts(reps: DataFrame, late) -> DataFrame:
     """rep, n, own: the first part of each row without late columns; null where head has too few others (a dense row)."""
 
     def run(batches):
-        for batch in _slices(batches):
+        for batch in slices(batches):
             lists, need = batch.column(2), first_part(batch.column(1).to_numpy(zero_copy_only=False))
             long = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             t = lists.flatten().to_numpy(zero_copy_only=False)
@@ -227,7 +218,7 @@ def _told_late(rows: DataFrame, late) -> DataFrame:
     """rep, n, columns, and of these the late ones (hot1) and the others (cold1), in order."""
 
     def run(batches):
-        for batch in _slices(batches):
+        for batch in slices(batches):
             lists = batch.column(2)
             t = lists.flatten().to_numpy(zero_copy_only=False)
             row = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
@@ -396,7 +387,7 @@ def _distinct_rows(made: DataFrame) -> DataFrame:
 
     def chosen(wanted: bool) -> DataFrame:
         def run(batches):
-            for batch in _slices(batches):
+            for batch in slices(batches):
                 mask = _may_hold(several.value, batch.column(0).to_numpy(zero_copy_only=False))
                 yield batch.filter(pa.array(mask == wanted))
 

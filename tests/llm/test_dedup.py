@@ -2,6 +2,7 @@ import random
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import prose, table
 
@@ -150,7 +151,7 @@ def test_near_any_late_columns_give_the_same(docs, rows, monkeypatch):
 
 def test_near_first_parts_without_late_columns(spark):
     rng = np.random.default_rng(4)
-    rows = [(i, n, sorted(rng.choice(400, min(n, n // 5 + 1 + n // 10 + 8), replace=False).tolist())) for i, n in enumerate(rng.integers(1, 120, 3 * ngram_join.SLICE).tolist())]
+    rows = [(i, n, sorted(rng.choice(400, min(n, n // 5 + 1 + n // 10 + 8), replace=False).tolist())) for i, n in enumerate(rng.integers(1, 120, 3 * common.SLICE).tolist())]
     late = set(range(0, 400, 3))
     found = ngram_join.sketch(spark.createDataFrame([(t,) for t in late], "t long"))
     late = set(np.arange(400)[ngram_join._may_hold(found.value, np.arange(400))].tolist())
@@ -158,3 +159,16 @@ def test_near_first_parts_without_late_columns(spark):
     want = {i: (n, [t for t in head if t not in late]) for i, n, head in rows}
     assert {r.rep: (r.n, r.own) for r in got} == {i: (n, cold[: n // 5 + 1] if len(cold) > n // 5 else None) for i, (n, cold) in want.items()}
     assert any(r.own is None for r in got) and any(r.own for r in got)
+
+
+def test_stage_tables_are_made_in_small_batches(spark):
+    """A task of a stage table holds SLICE rows in Python at most; the session's own setting stays."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["rows"])
+
+    got = [r.rows for r in common.stage_table(spark.range(0, 5 * common.SLICE, 1, 1).mapInArrow(sizes, "rows long"), "sizes").collect()]
+    assert sum(got) == 5 * common.SLICE and max(got) == common.SLICE and spark.conf.get(setting) == before
