@@ -73,6 +73,23 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on at most SLICE rows go to Python at once in this session, where it is not less already."""
+    if not 0 < int(spark.conf.get(_BATCH)) <= SLICE:
+        spark.conf.set(_BATCH, str(SLICE))
+
+
+def release_heap(spark: SparkSession) -> None:
+    """Each executor collects its garbage and gives heap that it does not need back.
+
+    Else a JVM keeps what its largest query took, and Python workers and native
+    buffers of later queries come on top. One short task an executor; what it
+    misses, if others run, only stays larger.
+    """
+    n = max(1, spark.sparkContext._jsc.sc().getExecutorMemoryStatus().size() - 1)
+    spark.range(0, n, 1, n).select(F.java_method(F.lit("java.lang.System"), F.lit("gc")).alias("done")).collect()
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)

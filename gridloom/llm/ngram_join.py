@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import drop_stage, need_columns, settled, slices, spread_join, stage_table
+from gridloom.llm.common import drop_stage, need_columns, release_heap, settled, slices, spread_join, stage_table
 from gridloom.llm.components import components
 
 #: Words of a shingle.
@@ -415,6 +415,7 @@ def join(docs: DataFrame) -> DataFrame:
     firsts = stage_table(_first_parts(heads, late), "first-parts")
     reps = stage_table(heads.select("key", "rep", "n", "bits"), "reps")
     drop_stage(heads)
+    release_heap(docs.sparkSession)
     linked = _linked_rows(docs, reps, firsts, late)
 
     classes = reps.select("key", "rep").join(linked.select(F.col("node").alias("rep"), "component"), "rep", "left")

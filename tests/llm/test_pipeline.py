@@ -63,6 +63,25 @@ def test_mix_stage(stages):
     assert got == {d: n for d, n in want.items() if n} and max(got.values()) <= 3
 
 
+def test_stages_release_memory(spark, folder):
+    """Each stage starts with a full collection of the executors' heap and with small batches for Python."""
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    # The collector of the old generation is the last one.
+    full, batch = beans[len(beans) - 1], "spark.sql.execution.arrow.maxRecordsPerBatch"
+    docs, before = spark.read.parquet(f"{folder}/documents.parquet").limit(0), spark.conf.get(batch)
+    try:
+        for _, stage in corpus_pipeline.STAGES:
+            spark.conf.set(batch, "10000")
+            n = full.getCollectionCount()
+            stage(spark, docs, folder)
+            assert full.getCollectionCount() > n and spark.conf.get(batch) == "1000"
+        spark.conf.set(batch, "10")
+        corpus_pipeline.STAGES[-1][1](spark, docs, folder)
+        assert spark.conf.get(batch) == "10"
+    finally:
+        spark.conf.set(batch, before)
+
+
 def test_encoding_and_run(spark, folder, stages):
     import tiktoken
 
