@@ -40,6 +40,14 @@ def moment(x: Column, date1904: bool = False) -> Column:
     return F.when(finite(x) & (x >= low) & (x < high), F.to_timestamp_ntz(F.date_format(at, "yyyy-MM-dd HH:mm:ss.SSS"), F.lit("yyyy-MM-dd HH:mm:ss.SSS")))
 
 
+def far_day(x: Column, date1904: bool = False) -> Column:
+    """yyyy-MM-dd of a serial after the year 9999, which moment() leaves out; NULL up to then."""
+    low, base = (2_957_004.0, -24107) if date1904 else (2_958_466.0, -25569)
+    days = F.when(finite(x) & (x >= low), F.floor(F.round(x * DAY_MS) / DAY_MS) + base).try_cast("int")
+    day = F.date_from_unix_date(days)
+    return F.concat(F.year(day).cast("string"), *[F.concat(F.lit("-"), F.lpad(f(day).cast("string"), 2, "0")) for f in (F.month, F.day)])
+
+
 def elapsed(x: Column) -> Column:
     """[h]:mm:ss of a duration in days; the plain number if negative."""
     seconds = F.round(x * 86400).cast("long")
@@ -76,14 +84,15 @@ def class_of_code(code: Column) -> Column:
     )
 
 
-def render(x: Column, kind: Column, date1904: bool = False) -> Column:
-    """What a number shows under a class of number format."""
+def render(x: Column, kind: Column, date1904: bool = False, far: bool = False) -> Column:
+    """What a number shows under a class of number format. Days after the year 9999 are plain
+    numbers, as a workbook shows them; with far they are days of the calendar."""
     at = moment(x, date1904)
     made = (
         F.when(kind == "Percent", F.concat(format_number(x * 100), F.lit("%")))
         .when(kind == "ElapsedTime", elapsed(x))
         .when(kind.isin("Date", "DateTime") & (x == 0) & F.lit(not date1904), "00:00:00")
-        .when(kind == "Date", F.date_format(at, "yyyy-MM-dd"))
+        .when(kind == "Date", F.coalesce(F.date_format(at, "yyyy-MM-dd"), far_day(x, date1904)) if far else F.date_format(at, "yyyy-MM-dd"))
         .when(kind == "Time", F.date_format(at, "HH:mm:ss"))
         .when(kind == "DateTime", F.date_format(at, "yyyy-MM-dd HH:mm:ss"))
     )
