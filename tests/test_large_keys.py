@@ -36,3 +36,19 @@ def test_violations_of_keys_beyond_the_grid(spark, tmp_path):
     keys = [3, 50, 1_048_574, 1_048_575, 1_048_576, 1_048_577, 1_048_600, 2_097_151, 2_097_153, 7_199_999]
     got, want = both(spark, "write_violations", parts(spark, tmp_path, keys, "Brand#11"))
     assert got == want and ("CellOutOfGrid", 2) in got
+
+
+def test_levels_send_nothing_through_the_driver(spark, monkeypatch):
+    plans, kept = [], graph._kept
+
+    def seen(df):
+        plans.append(df)
+        return kept(df)
+
+    monkeypatch.setattr(graph, "_kept", seen)
+    nodes = spark.range(1, 200).withColumnRenamed("id", "node")
+    edges = nodes.select("node", F.expr("node div 2").alias("needs")).where("node > 1")
+    done = graph.levels(nodes, edges)
+    assert {r.node: r.level for r in done.collect()} == {k: k.bit_length() - 1 for k in range(1, 200)}
+    for df in [*plans, done]:
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
