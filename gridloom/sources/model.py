@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import io
+import pickle
 import zipfile
+import zlib
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 #: Bounds on what is read, so that a hostile file cannot exhaust a worker.
@@ -21,11 +24,46 @@ class ReadError(Exception):
         self.kind = kind
 
 
+class Packed(Sequence):
+    """A list that only grows, kept compressed but for its last rows: a sheet's cells as
+    Python objects take many times what its file does. Reading it in order unpacks a block at a time."""
+
+    BLOCK = 10_000
+
+    def __init__(self):
+        self.blocks: list[bytes] = []
+        self.last: list[tuple] = []
+
+    def append(self, row: tuple) -> None:
+        self.last.append(row)
+        if len(self.last) == self.BLOCK:
+            self.blocks.append(zlib.compress(pickle.dumps(self.last, 5), 1))
+            self.last = []
+
+    def _block(self, k: int) -> list[tuple]:
+        return pickle.loads(zlib.decompress(self.blocks[k])) if k < len(self.blocks) else self.last
+
+    def __len__(self) -> int:
+        return len(self.blocks) * self.BLOCK + len(self.last)
+
+    def __getitem__(self, k):
+        if isinstance(k, slice):
+            return [self[i] for i in range(*k.indices(len(self)))]
+        at = k + len(self) if k < 0 else k
+        if not 0 <= at < len(self):
+            raise IndexError(k)
+        return self._block(at // self.BLOCK)[at % self.BLOCK]
+
+    def __iter__(self):
+        for k in range(len(self.blocks) + 1):
+            yield from self._block(k)
+
+
 @dataclass
 class Workbook:
     """Rows without their workbook_id."""
 
-    cells: list[tuple] = field(default_factory=list)
+    cells: Sequence[tuple] = field(default_factory=list)
     sheets: list[tuple] = field(default_factory=list)
     names: list[tuple] = field(default_factory=list)
     ranges: list[tuple] = field(default_factory=list)

@@ -15,7 +15,7 @@ from __future__ import annotations
 import glob
 import os
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain, groupby, islice
 
 import pyarrow as pa
 from pyspark import StorageLevel
@@ -151,54 +151,74 @@ def read_tables(files: DataFrame, **options) -> dict[str, DataFrame]:
     return {t: tagged.where(F.col("__table") == t).select(*kind.names) for t, kind in kinds.items()}
 
 
+#: What a row is of the stream that a workbook is written from.
+NAMES, HEAD, MERGES, CELL = range(4)
+
+
 def to_workbooks(cells: DataFrame, sheets: DataFrame | None = None, names: DataFrame | None = None, ranges: DataFrame | None = None) -> DataFrame:
     """workbook_id, content (an .xlsx file) and error for each workbook of a cells table (effective cells).
 
     The tables sheets, names and ranges (schema.py), where given, add the sheets' states, order
     and frozen panes, defined names and merges; a sheet without cells is written too. A workbook
     with a cell that no sheet can hold has no content, and error says which rule and where.
+    A task writes its workbooks from a sorted stream of cells and never holds a sheet's cells.
     """
-    held = "struct<kind:string,num:double,str:string,bool:boolean,err:string>"
-    value = F.when(F.col("kind") == "formula", F.col("cached").cast(held)).otherwise(F.struct("kind", "num", "str", "bool", "err").cast(held))
-    rows = cells.select("workbook_id", "sheet_index", F.struct("row", "col", value.alias("value"), F.when(F.col("kind") == "formula", F.col("formula")).alias("formula")).alias("cell"), "sheet")
-    each = rows.groupBy("workbook_id", "sheet_index").agg(F.first("sheet").alias("title"), F.collect_list("cell").alias("cells"))
+    formula = F.col("kind") == "formula"
+    value = [F.when(formula, F.col(f"cached.{c}")).otherwise(F.col(c)).cast(kind).alias(c) for c, kind in (("kind", "string"), ("num", "double"), ("str", "string"), ("bool", "boolean"), ("err", "string"))]
+    # One stream a workbook, in order: its names, then of each sheet its head, its merges and its cells.
+    rows = cells.select("workbook_id", "sheet_index", F.lit(CELL).alias("part"), "row", "col", F.col("sheet").alias("title"), *value, F.when(formula, F.col("formula")).alias("formula"))
     if sheets is not None:
-        listed = sheets.select("workbook_id", "sheet_index", F.col("name").alias("listed"), "visible", F.struct("freeze_row", "freeze_col").alias("freeze"))
-        each = listed.join(each, ["workbook_id", "sheet_index"], "full_outer").withColumn("title", F.coalesce("listed", "title")).drop("listed")
-    else:
-        each = each.withColumns({"visible": F.lit("visible"), "freeze": F.lit(None).cast("struct<freeze_row:int,freeze_col:int>")})
+        rows = rows.unionByName(sheets.select("workbook_id", "sheet_index", F.lit(HEAD).alias("part"), F.col("name").alias("title"), F.struct(F.coalesce("visible", F.lit("visible")).alias("visible"), "freeze_row", "freeze_col").alias("head")), True)
     if ranges is not None:
         merges = ranges.where("kind = 'merge'").groupBy("workbook_id", "sheet_index").agg(F.collect_list(F.array("r0", "c0", "r1", "c1")).alias("merges"))
-        each = each.join(merges, ["workbook_id", "sheet_index"], "left")
-    else:
-        each = each.withColumn("merges", F.lit(None).cast("array<array<int>>"))
-    books = each.groupBy("workbook_id").agg(F.array_sort(F.collect_list(F.struct("sheet_index", "title", "visible", "freeze", "merges", "cells"))).alias("sheets"))
+        rows = rows.unionByName(merges.withColumn("part", F.lit(MERGES)), True)
     if names is not None:
         told = names.groupBy("workbook_id").agg(F.array_sort(F.collect_list(F.struct("scope_sheet", "name", "refers_to"))).alias("names"))
-        books = books.join(told, "workbook_id", "left")
-    else:
-        books = books.withColumn("names", F.lit(None).cast("array<struct<scope_sheet:string,name:string,refers_to:string>>"))
-
-    def cell(c: dict) -> tuple:
-        v = c["value"] or {}
-        kind = v.get("kind") or "text"
-        return kind, {"text": v.get("str"), "bool": v.get("bool"), "error": v.get("err")}.get(kind, v.get("num")), c["formula"]
+        rows = rows.unionByName(told.withColumns({"sheet_index": F.lit(-1), "part": F.lit(NAMES)}), True)
+    ordered = rows.repartition("workbook_id").sortWithinPartitions("workbook_id", "sheet_index", "part", "row", "col")
+
+    def cell(kind, num, text, bool_, err) -> tuple:
+        return kind or "text", {"text": text, "bool": bool_, "error": err}.get(kind or "text", num)
+
+    def placed(found):
+        """Place and cell of each row; of two at one place the later one."""
+        for place, same in groupby(found, key=lambda r: (r["row"], r["col"])):
+            *_, r = same
+            yield place, (*cell(*(r[c] for c in ("kind", "num", "str", "bool", "err"))), r["formula"])
+
+    def parts(found):
+        """The sheets of a workbook, each with its cells still to be read."""
+        for _, own in groupby(found, key=lambda r: r["sheet_index"]):
+            head, merges, first = None, [], None
+            for first in own:
+                if first["part"] == CELL:
+                    break
+                if first["part"] == HEAD:
+                    head, first = first, None
+                else:
+                    merges, first = first["merges"], None
+            if head is None and first is None:
+                continue
+            state = head["head"] if head else {"visible": "visible", "freeze_row": None, "freeze_col": None}
+            title = head["title"] if head and head["title"] is not None else first and first["title"]
+            yield {
+                "title": title, "state": state["visible"], "merges": [tuple(m) for m in merges], "freeze": (state["freeze_row"] or 0, state["freeze_col"] or 0),
+                "cells": placed(chain([first], own)) if first else (),
+            }
 
     def run(batches):
-        for batch in batches:
-            made = []
-            for book in batch.to_pylist():
-                parts = [
-                    {
-                        "title": s["title"], "state": s["visible"] or "visible", "merges": [tuple(m) for m in s["merges"] or []],
-                        "freeze": (s["freeze"]["freeze_row"] or 0, s["freeze"]["freeze_col"] or 0) if s["freeze"] else None, "cells": {(c["row"], c["col"]): cell(c) for c in s["cells"] or []},
-                    }
-                    for s in book["sheets"]
-                ]
-                try:
-                    made.append((book["workbook_id"], xlsx.write(parts, [(n["scope_sheet"], n["name"], n["refers_to"]) for n in book["names"] or []]), None))
-                except xlsx.WriteError as e:
-                    made.append((book["workbook_id"], None, str(e)))
-            yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], t) for k, t in enumerate((pa.string(), pa.binary(), pa.string()))], ["workbook_id", "content", "error"])
-
-    return books.select("workbook_id", "sheets", "names").mapInArrow(run, "workbook_id string, content binary, error string")
+        every = (dict(zip(batch.schema.names, r)) for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns)))
+        for book, found in groupby(every, key=lambda r: r["workbook_id"]):
+            told, first = [], next(found)
+            if first["part"] == NAMES:
+                told, first = [(n["scope_sheet"], n["name"], n["refers_to"]) for n in first["names"]], next(found, None)
+            sheets_ = parts(chain([first], found) if first else ())
+            try:
+                if (some := next(sheets_, None)) is None:
+                    continue
+                made = book, xlsx.write(chain([some], sheets_), told), None
+            except xlsx.WriteError as e:
+                made = book, None, str(e)
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(made, (pa.string(), pa.binary(), pa.string()))], ["workbook_id", "content", "error"])
+
+    return ordered.mapInArrow(run, "workbook_id string, content binary, error string")
