@@ -25,6 +25,14 @@ def both(spark, name, folder, table="part"):
     return sorted(map(tuple, made.collect()), key=str), sorted(want, key=str)
 
 
+def test_report_counts_all_formulas(spark, tmp_path):
+    evaluated = spark.range(10_050).select(F.lit("w").alias("workbook_id"), F.lit(0).alias("sheet_index"), F.col("id").alias("row"), F.lit(0).alias("col"), F.lit("computed").alias("status"), F.struct(F.lit("number").alias("kind")).alias("value"))
+    counted = lambda *most: [(r.computed, r.truncated) for r in report.bounded_outcomes(evaluated, *most).collect()]
+    assert counted() == [(10_000, True)] and counted(None) == [(10_050, False)]
+    got, want = both(spark, "report_json", parts(spark, tmp_path, range(10_050), "Brand#1"))
+    assert got == want
+
+
 @pytest.mark.parametrize("name", ["serial_to_date_1900", "serial_to_date_1904"])
 def test_days_after_9999(spark, tmp_path, name):
     keys = [0, 1, 58, 59, 60, 422_428, 422_429, 422_430, 422_520, 1_199_999, 2_958_463, 2_958_464, 2_958_465, 2_958_466, 7_199_999]
