@@ -4,7 +4,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.operators import graph, report
+from gridloom.operators import cells as C
+from gridloom.operators import export, graph, report
 
 
 def parts(spark, folder, keys, brand):
@@ -60,3 +61,10 @@ def test_levels_send_nothing_through_the_driver(spark, monkeypatch):
     assert {r.node: r.level for r in done.collect()} == {k: k.bit_length() - 1 for k in range(1, 200)}
     for df in [*plans, done]:
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_negative_zero_is_shown_as_zero(spark):
+    """As the reference has it; a bare -0 would be a field that begins with a minus and is not escaped."""
+    table = spark.createDataFrame([(1, -0.0), (2, 0.0), (3, -0.01)], "k int, v double")
+    cells = C.melt(table, ["v"], F.col("k"))
+    assert [r.line for r in export.csv_rows(cells, escape_formulas=True).orderBy("row").collect()] == ["0", "0", "\"'-0.01\""]
